@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, ngram_join, packing, secrets, topk
+from . import decontaminate, html, lm, ngram_join, packing, secrets, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Query] = {
     "op2_secret_scans": op2_secret_scans,
     "op3_decontamination": op3_decontamination,
     "op5_exact_topk": op5_exact_topk,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_html_extraction": op8_html_extraction,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
