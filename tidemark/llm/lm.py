@@ -32,6 +32,8 @@ ALPHA = 0.4
 MIN_COUNT = 2
 CODES = 65_535
 DENSE = 256
+#: Pairs that a task gathers before it sends them.
+PAIRS = 1 << 20
 _PAIR = constants(2, 71)
 
 
@@ -123,7 +125,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per bucket and kind: the pairs, and how many each document has; what needs no pair count is summed here."""
         for batch in batches:
-            ids, pieces = np.asarray(batch.column(0)), []
+            ids, pieces, held = np.asarray(batch.column(0)), [], 0
             for w in words(batch.column(1)):
                 code, (doc, second) = coder.codes(w.hashes), _pairs(w)
                 doc = doc + w.lo
@@ -137,23 +139,29 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
                 yield out(_parts(ids[w.lo : w.hi], sums, np.diff(w.bounds)))
                 rest = first[code[first] == CODES]
                 yield out(_tail(w.hashes[rest], ids[doc[rest]], 1, -log_n))
-                pieces.append((w.hashes[second - 1][~inner], w.hashes[second][~inner], a[~inner], b[~inner], doc[second][~inner]))
-            if not pieces:
-                continue
-            p, h, a, b, doc = (np.concatenate(x) for x in zip(*pieces))
-            kind = (a == CODES) * 2 + (b == CODES)
-            for k, (left, right) in enumerate(kinds):
-                at = np.flatnonzero(kind == k)
-                one, two = (a if left is np.uint16 else p)[at].astype(left), (b if right is np.uint16 else h)[at].astype(right)
-                bucket = ((mix(p[at] * _PAIR[0] + h[at] * _PAIR[1]) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")  # documents stay in order within a bucket
-                one, two, owner = one[order], two[order], doc[at][order]
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for x in np.flatnonzero(np.diff(cuts)):
-                    s = slice(cuts[x], cuts[x + 1])
-                    new = np.flatnonzero(np.diff(owner[s], prepend=-1))
-                    n = np.diff(np.append(new, s.stop - s.start)).astype(np.uint32)
-                    yield pa.RecordBatch.from_pydict({"bucket": [int(x)], "kind": [k], "one": [one[s].tobytes()], "two": [two[s].tobytes()], "docs": [ids[owner[s][new]].tobytes()], "n": [n.tobytes()]} | {f.name: pa.nulls(1, f.type) for f in _PARTS}, sent)
+                pieces.append((w.hashes[second - 1][~inner], w.hashes[second][~inner], a[~inner].astype(np.int32), b[~inner].astype(np.int32), doc[second][~inner].astype(np.int32)))
+                held += len(second)
+                if held > PAIRS:
+                    yield from packed(ids, pieces)
+                    pieces, held = [], 0
+            if pieces:
+                yield from packed(ids, pieces)
+
+    def packed(ids: np.ndarray, pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
+        p, h, a, b, doc = (np.concatenate(x) for x in zip(*pieces))
+        kind = (a == CODES) * 2 + (b == CODES)
+        for k, (left, right) in enumerate(kinds):
+            at = np.flatnonzero(kind == k)
+            one, two = (a if left is np.uint16 else p)[at].astype(left), (b if right is np.uint16 else h)[at].astype(right)
+            bucket = ((mix(p[at] * _PAIR[0] + h[at] * _PAIR[1]) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")  # documents stay in order within a bucket
+            one, two, owner = one[order], two[order], doc[at][order]
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for x in np.flatnonzero(np.diff(cuts)):
+                s = slice(cuts[x], cuts[x + 1])
+                new = np.flatnonzero(np.diff(owner[s], prepend=-1))
+                n = np.diff(np.append(new, s.stop - s.start)).astype(np.uint32)
+                yield pa.RecordBatch.from_pydict({"bucket": [int(x)], "kind": [k], "one": [one[s].tobytes()], "two": [two[s].tobytes()], "docs": [ids[owner[s][new]].tobytes()], "n": [n.tobytes()]} | {f.name: pa.nulls(1, f.type) for f in _PARTS}, sent)
 
     sent = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("one", "two", "docs", "n")), *_PARTS])
 
