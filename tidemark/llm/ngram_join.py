@@ -2,14 +2,17 @@
 
 Documents with the same set are one class, and a class stands for its copies from the first step on. The document-by-shingle incidence matrix is
 multiplied with its transpose block by block; overlap counts are summed up per pair and pairs below the overlap that their two sizes
-ask for are discarded. Which rows meet in a block comes from the same bound: two sets of similarity t and sizes n, m share
-ceil(t max(n, m)) members at least, so each must have one of the shared ones among its first n - ceil(t n) + 1 in an order common to all.
-
-1. Executors count shingles over all documents (32-bit codes per bucket, so each shingle costs 4 shuffled bytes) and mark those of more than
-   ``HOT`` documents in a filter of fixed size. The order puts unmarked shingles first: a passage that many documents
-   share says little about them, and documents meet in it only if they hold little else. The mark affects cost, never results.
-2. Each class posts its key under its first shingles. Of each posting list the smallest key is the leader, and the list becomes
-   links (leader, member): as many rows as members, not as pairs. Lists of marked shingles are never gathered in one task.
+ask for are discarded. Which rows meet in a block comes from the same bound: sets of similarity t and sizes a, b differ in
+D = floor((1 - t) / (1 + t) (a + b)) members at most.
+
+1. The shingles are dealt by hash into m segments, m a quarter larger than D at least. Sets that differ in D members agree in m - D whole
+   segments, so they share one of the first D + 1 non-empty segments in any common order. A class posts its key under these. A
+   segment holds several shingles from all over a document: passages that many documents share seldom fill one, and
+   documents meet hardly ever unless they are alike. m and D depend on the size; sizes are grouped so that linked ones lie in one group or two adjacent
+   ones, and a class posts for both. (Sets with too few non-empty segments post a common mark besides. In groups whose m is less than 3 D that isn't
+   needed, as the chance of so many empty segments is under 1e-9 per document, like that of a clash of 64-bit hashes.)
+2. Of each posting list the smallest key is the leader, and the list becomes links (leader, member): as many rows as members, not as pairs.
+   Lists that are long already within one task's documents aren't gathered in a task, but led by an aggregation and a join.
 3. All members of a leader meet in one group, so every pair of every posting list is covered. A group is cut into blocks of bounded
    size and all pairs of blocks are multiplied: frequent shingles densely, rare ones sparsely. A block returns a spanning forest of its
    links, not the links.
@@ -35,11 +38,13 @@ from .text import U64, mix, shingles, words
 
 WORDS = 5
 PERCENT = 80
-HOT = 32
+#: Members of a posting list within one batch from which on it is dealt by document.
+LONG = 16
 #: Documents and shingles of a block of the product.
 ROWS = 1024
 MEMBERS = 3_000_000
 _DENSE = 16
+_SUM, _SEGMENT, _WEAK = U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3), U64(0x1D8E4E27C47D124F)
 _COLUMNS = 4096
 
 
@@ -79,96 +84,138 @@ def _sets(column, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         yield values[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[keep])]), keys[keep]
 
 
-def hot_shingles(texts: DataFrame, k: int, hot: int, buckets: int, bits: int) -> sketch.Bloom:
-    """A filter of the codes of shingles in more than ``hot`` sets."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("codes", pa.binary())])
-        for batch in batches:
-            parts = [v for v, _, _ in _sets(batch.column(0), k)]
-            values = np.concatenate(parts) if parts else np.zeros(0, U64)
-            yield _batch(list(_blob_rows(_bucket(values, buckets), buckets, values.astype(np.uint32))), schema)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                blobs.setdefault(bucket, []).append(blob)
-        for bucket, own in blobs.items():
-            codes = np.frombuffer(b"".join(own), np.uint32).copy()
-            codes.sort()
-            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-            often = codes[first[np.diff(np.append(first, len(codes))) > hot]].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((bucket << 32) | often)], ["code"])
-
-    spreaded = texts.mapInArrow(spread, "bucket int, codes binary").repartitionById(buckets, "bucket")
-    return sketch.bloom(spreaded.mapInArrow(count, "code long"), bits)
-
-
 def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
     return ((values >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
 
 
 def _codes(values: np.ndarray, buckets: int) -> np.ndarray:
-    return (_bucket(values, buckets).astype(U64) << U64(32)) | (values & U64(0xFFFFFFFF))
-
-
-def _stars(texts: DataFrame, k: int, percent: int, marked: sketch.Bloom, buckets: int) -> DataFrame:
+    """Bucket and 32 further bits of each signature."""
+    return (_bucket(values, buckets).astype(np.int64) << 32) | (values & U64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _bucket_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> 32).astype(np.int32)
+
+
+def size_groups(percent: int, largest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First size of each group, and the D and m of links whose smaller set is in it. A set's partners of at least its size are in its group or the next."""
+    first, differ = [], []
+    n = 1
+    while n <= largest:
+        last = max(n, n * 100 // percent)
+        first.append(n)
+        differ.append((100 - percent) * (last + last * 100 // percent) // (100 + percent))
+        n = last + 1
+    d = np.array(differ)
+    return np.array(first), d, d + np.maximum(12, d // 4)
+
+
+def signatures(values: np.ndarray, at: np.ndarray, groups: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What each set is posted under: signatures and the places of their sets, in order of the sets."""
+    first, differ, segments = groups
+    sizes = np.diff(at)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    mixed, placed = mix(values ^ _SUM), mix(values ^ _SEGMENT) >> U64(32)
+    found, owner = [], []
+    for step in (0, 1):
+        group = np.searchsorted(first, sizes, side="right") - 1 - step
+        valid = (group >= 0) & (sizes > 0)
+        group = np.maximum(group, 0)
+        segment = placed * segments[group][doc].astype(U64) >> U64(32)
+        code = (doc.astype(U64) << U64(40)) | segment
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(mixed[order], begin) if len(begin) else np.zeros(0, U64)
+        own = (code[begin] >> U64(40)).astype(np.int64)
+        tag = ((code[begin] & U64((1 << 40) - 1)) << U64(8)) + group[own].astype(U64)
+        signature = mix(sums + mix(tag))
+        order = np.lexsort((signature, own))
+        signature, own = signature[order], own[order]
+        filled = np.bincount(own, minlength=len(sizes))
+        place = np.arange(len(own)) - (np.cumsum(filled) - filled)[own]
+        take = (place <= differ[group][own]) & valid[own]
+        weak = np.flatnonzero(valid & (filled <= 2 * differ[group]) & (segments[group] >= 3 * differ[group]) & (differ[group] > 0))
+        found += [signature[take], mix(_WEAK + group[weak].astype(U64))]
+        owner += [own[take], weak]
+    signature, own = np.concatenate(found), np.concatenate(owner)
+    order = np.argsort(own, kind="stable")
+    return signature[order], own[order]
+
+
+def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(owner))).astype(np.uint32)
+
+
+def _stars(texts: DataFrame, k: int, percent: int, long: int, buckets: int) -> DataFrame:
     """leader and member of each posting list."""
+    groups = size_groups(percent)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows: bucket, codes of signatures, and the keys they are posted for, with the length of each key's run; or codes of long
+        lists (no keys); or, dealt by document, whole tokens of long lists (no codes)."""
         for batch in batches:
-            tokens, keys, flags = [], [], []
+            parts = []
             for values, at, own in _sets(batch.column(0), k):
-                sizes = np.diff(at)
-                often = marked.test(_codes(values, buckets))
-                doc = np.repeat(np.arange(len(own)), sizes)
-                seen = np.concatenate([[0], np.cumsum(~often)])
-                before = seen[:-1] - seen[at[doc]]  # unmarked ones before this one, in its document
-                place = np.where(often, seen[at[doc + 1]] - seen[at[doc]] + (np.arange(len(values)) - at[doc] - before), before)
-                take = place < (sizes + (-sizes * percent // 100) + 1)[doc]  # n - ceil(t n) + 1
-                tokens.append(values[take])
-                keys.append(own[doc[take]])
-                flags.append(often[take])
-            if tokens:
-                t, o, f = np.concatenate(tokens), np.concatenate(keys), np.concatenate(flags)
-                rows = [(b, False, *x) for b, *x in _blob_rows(_bucket(t[~f], buckets), buckets, t[~f], o[~f])]
-                # Lists of marked shingles may be of any length: their entries are dealt by document.
-                rows += [(b, True, *x) for b, *x in _blob_rows(_bucket(mix(o[f].view(U64)), buckets), buckets, t[f], o[f])]
-                yield _batch(rows, posted)
+                signature, place = signatures(values, at, groups)
+                parts.append((signature, own[place]))
+            if not parts:
+                continue
+            signature, key = (np.concatenate(x) for x in zip(*parts))
+            token = _codes(signature, buckets)
+            kind, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
+            marked = kind[count >= long]
+            is_long = (count >= long)[inverse]
+            rows = [(b, codes, None, None, None) for b, codes in _blob_rows(_bucket_of(marked), buckets, marked.astype(np.uint32))]
+            rows += [(b, None, t, o, None) for b, t, o in _blob_rows(_bucket(mix(key[is_long].view(U64)), buckets), buckets, token[is_long], key[is_long])]
+            token, key = token[~is_long], key[~is_long]
+            bucket = _bucket_of(token)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)):
+                s = order[cuts[b] : cuts[b + 1]]
+                begin, length = _runs(key[s])
+                rows.append((int(b), token[s].astype(np.uint32).tobytes(), None, key[s][begin].tobytes(), length.tobytes()))
+            yield _batch(rows, posted)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[bool, list[tuple[bytes, bytes]]] = {False: [], True: []}
+        marked, tokens, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            for flag, t, o in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
-                blobs[flag].append((t, o))
-        for flag, own in blobs.items():
-            if not own:
-                continue
-            t, o = np.frombuffer(b"".join(x for x, _ in own), np.int64), np.frombuffer(b"".join(x for _, x in own), np.int64)
-            order = np.lexsort((o, t))
-            t, o = t[order], o[order]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
-            t, o = t[new], o[new]
-            if flag:
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), -1)), pa.array(o)], ["token", "leader", "member"])
-                continue
-            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            size = np.diff(np.append(first, len(t)))
-            leader = np.repeat(o[first], size)
-            keep = np.repeat(size > 1, size)
-            pair = np.unique(np.stack([leader[keep], o[keep]]), axis=1) if keep.any() else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(pair.shape[1], np.int64)), pa.array(pair[0]), pa.array(pair[1])], ["token", "leader", "member"])
-
-    posted = pa.schema([("bucket", pa.int32()), ("marked", pa.bool_()), ("tokens", pa.binary()), ("keys", pa.binary())])
-    blobs = texts.mapInArrow(post, "bucket int, marked boolean, tokens binary, keys binary").repartitionById(buckets, "bucket")
-    # A leader of -1 marks entries whose list is not complete here.
+            for bucket, codes, whole, own, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                if codes is None:
+                    t, o = np.frombuffer(whole, np.int64), np.frombuffer(own, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(t), pa.nulls(len(t), pa.int64()), pa.array(o)], ["token", "leader", "member"])
+                    continue
+                token = (bucket << 32) | np.frombuffer(codes, np.uint32).astype(np.int64)
+                if own is None:
+                    marked.append(token)
+                else:
+                    tokens.append(token)
+                    keys.append(np.repeat(np.frombuffer(own, np.int64), np.frombuffer(runs, np.uint32)))
+        t, o, long_ones = np.concatenate(tokens), np.concatenate(keys), np.unique(np.concatenate(marked))
+        order = np.lexsort((o, t))
+        t, o = t[order], o[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
+        t, o = t[new], o[new]
+        is_long = np.isin(t, long_ones)
+        yield pa.RecordBatch.from_arrays([pa.array(t[is_long]), pa.nulls(int(is_long.sum()), pa.int64()), pa.array(o[is_long])], ["token", "leader", "member"])
+        t, o = t[~is_long], o[~is_long]
+        first, size = _runs(t)
+        leader, keep = np.repeat(o[first], size), np.repeat(size > 1, size)
+        if keep.any():
+            pair = np.unique(np.stack([leader[keep], o[keep]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.nulls(pair.shape[1], pa.int64()), pa.array(pair[0]), pa.array(pair[1])], ["token", "leader", "member"])
+
+    posted = pa.schema([("bucket", pa.int32()), ("codes", pa.binary()), ("tokens", pa.binary()), ("keys", pa.binary()), ("runs", pa.binary())])
+    blobs = texts.mapInArrow(post, "bucket int, codes binary, tokens binary, keys binary, runs binary").repartitionById(buckets, "bucket")
     found = storage.keep(blobs.mapInArrow(lists, "token long, leader long, member long"), "lists")
-    open_lists = found.where("leader = -1 and token <> 0").select("token", "member")
-    leaders = open_lists.groupBy("token").agg(F.min("member").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    rest = open_lists.join(leaders.drop("n"), "token").select("leader", "member")
-    return found.where("token = 0").select("leader", "member").unionByName(rest).distinct()
+    open_lists = found.where("token is not null").select("token", "member")
+    leaders = open_lists.groupBy("token").agg(F.min("member").alias("leader"))
+    rest = open_lists.join(leaders, "token").select("leader", "member")
+    return found.where("token is null").select("leader", "member").unionByName(rest).distinct()
 
 
 def _product(values: np.ndarray, doc: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -205,6 +252,12 @@ def _product(values: np.ndarray, doc: np.ndarray, n: int, m: int) -> np.ndarray:
     return out
 
 
+def _wide(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(U64)
+
+
 def block_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within a block (side all 0), or between its two sides."""
     order = np.argsort(side, kind="stable")
@@ -233,8 +286,10 @@ def block_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, perc
     return list(zip(keys[moved].tolist(), keys[label[moved]].tolist()))
 
 
-def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot: int = HOT, rows: int = ROWS, members: int = MEMBERS, bits: int = sketch.BITS) -> DataFrame:
+def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: int = LONG, rows: int = ROWS, members: int = MEMBERS, bits: int = sketch.BITS) -> DataFrame:
     """doc_id, n_shingles, class_key (the key of its set) and component_id of every document."""
+    if not 1 <= percent <= 99:
+        raise ValueError("percent is 1 to 99; equal sets share a class_key")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = storage.partitions(spark)
@@ -250,8 +305,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot: int = HOT
 
     described = storage.keep(docs.mapInArrow(describe, "doc_id long, n_shingles long, class_key long"), "classes")
     texts = docs.where("doc_id is not null").select("text")
-    marked = hot_shingles(texts, k, hot, buckets, bits)
-    stars = storage.keep(_stars(texts, k, percent, marked, buckets), "stars")
+    stars = storage.keep(_stars(texts, k, percent, long, buckets), "stars")
 
     candidates = stars.select(F.col("member").alias("class_key")).distinct()
     named = described.where("doc_id is not null").groupBy("class_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
@@ -265,9 +319,9 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot: int = HOT
             out = []
             for w in words(batch.column(1).take(pa.array(take))):
                 values, at = shingles(w, k)
-                own = values.tobytes()
+                own = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()  # 48 bits tell the members of a block apart
                 for i, key in enumerate(_keys(values, at).tolist()):
-                    out.append((int(ids[take[w.lo + i]]), key, own[8 * at[i] : 8 * at[i + 1]]))
+                    out.append((int(ids[take[w.lo + i]]), key, own[6 * at[i] : 6 * at[i + 1]]))
             yield _batch(out, pa.schema([("doc_id", pa.int64()), ("class_key", pa.int64()), ("members", pa.binary())]))
 
     sets = docs.where("doc_id is not null").mapInArrow(incidence, "doc_id long, class_key long, members binary")
@@ -286,7 +340,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot: int = HOT
         blobs = table["members"].take(pa.array(first)).to_pylist()
         found = []
         if len(keys) > 1 and (i == j or 0 < side.sum() < len(side)):
-            found = block_links(keys, [np.frombuffer(b, U64) for b in blobs], side if i != j else np.zeros(len(keys), np.int64), percent)
+            found = block_links(keys, [_wide(b) for b in blobs], side if i != j else np.zeros(len(keys), np.int64), percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     links = storage.keep(met.groupBy("leader", "i", "j").applyInArrow(multiply, "a long, b long"), "pairs")
