@@ -71,24 +71,24 @@ def _pairs(w) -> tuple[np.ndarray, np.ndarray]:
     return doc, np.flatnonzero(doc[1:] == doc[:-1]) + 1
 
 
-def _dense_counts(docs: DataFrame, coder: Coder) -> np.ndarray:
+def _dense_counts(docs: DataFrame, coder: Coder, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = np.sort(coder.words[coder.order < DENSE])
+        top = np.sort(coder.words[coder.order < size])
         code = coder.codes(top)
-        total = np.zeros(DENSE * DENSE, np.int64)
+        total = np.zeros(size * size, np.int64)
         for batch in batches:
             for w in words(batch.column(0)):
                 at = np.minimum(np.searchsorted(top, w.hashes), max(0, len(top) - 1))
-                own = np.where(top[at] == w.hashes, code[at], DENSE) if len(top) else np.full(len(w.hashes), DENSE)
+                own = np.where(top[at] == w.hashes, code[at], size) if len(top) else np.full(len(w.hashes), size)
                 _, second = _pairs(w)
                 a, b = own[second - 1], own[second]
-                both = (a < DENSE) & (b < DENSE)
-                total += np.bincount(a[both] * DENSE + b[both], minlength=DENSE * DENSE)
+                both = (a < size) & (b < size)
+                total += np.bincount(a[both] * size + b[both], minlength=size * size)
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
 
     found = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(DENSE * DENSE, np.int64)
+    out = np.zeros(size * size, np.int64)
     out[np.asarray(found["cell"])] = np.asarray(found["n"])
     return out
 
@@ -107,16 +107,16 @@ def _parts(ids: np.ndarray, score: np.ndarray, n_words: np.ndarray | None = None
     return pa.RecordBatch.from_arrays([pa.array(ids), *empty, pa.array(score.astype(float)), pa.array(np.zeros(len(ids), np.int64) if n_words is None else n_words)], schema=_PARTS)
 
 
-def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
+def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, codes: int = CODES, top: int = DENSE) -> DataFrame:
     """doc_id, n_words, score (sum of natural logarithms) and perplexity."""
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = storage.keep(unigrams(docs), "unigrams")
     total = table.agg(F.sum("n")).first()[0] or 1
-    coder = Coder(table.orderBy(F.desc("n"), "word").limit(CODES).toArrow())
+    coder = Coder(table.orderBy(F.desc("n"), "word").limit(codes).toArrow())
     log_c1 = np.append(np.log(np.maximum(coder.counts, 1)), 0.0)
     log_c1 = np.append(log_c1, np.zeros(CODES + 1 - len(log_c1)))  # 0 for words without a code
-    dense = _dense_counts(docs, coder)
+    dense = _dense_counts(docs, coder, top)
     buckets = storage.partitions(spark)
     back, log_n = math.log(alpha), math.log(total)
     # What travels: pairs of two codes, code and word, word and code, two words.
@@ -130,8 +130,8 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
                 code, (doc, second) = coder.codes(w.hashes), _pairs(w)
                 doc = doc + w.lo
                 a, b = code[second - 1], code[second]
-                inner = (a < DENSE) & (b < DENSE)
-                c2 = dense[a[inner] * DENSE + b[inner]]
+                inner = (a < top) & (b < top)
+                c2 = dense[a[inner] * top + b[inner]]
                 own = np.where(c2 >= min_count, np.log(np.maximum(c2, 1)) - log_c1[a[inner]], back + log_c1[b[inner]] - log_n)
                 first = np.setdiff1d(np.arange(len(doc)), second, assume_unique=True)
                 known = first[code[first] < CODES]
