@@ -19,7 +19,6 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 class Rule(NamedTuple):
@@ -50,8 +49,8 @@ ADDED = (
     Rule("jwt", 1, "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + ADDED
-LEDGER = T.StructType.fromDDL("blob_id string, rule string")
-FINDINGS = T.StructType.fromDDL('blob_id string, kind string, version int, "start" long, "end" long'.replace('"', "`"))
+LEDGER = "blob_id string, rule string"
+FINDINGS = "blob_id string, kind string, version int, start long, `end` long"
 
 
 def blob_id(text: Column) -> Column:
@@ -103,7 +102,7 @@ class Ledger:
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _read(self, name: str, schema: T.StructType) -> DataFrame | None:
+    def _read(self, name: str, schema: str) -> DataFrame | None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         there = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else None

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .features import NOT_ALNUM, SECOND_PERSON, SPACE, buffers, byte_shares, hash_words, known, lower, lowered_words
 from .learn import BoostedTrees, Isotonic
-from .text import U64, Words, mix, words
+from .text import U64, Words, constants, mix, words
 
 ROWS = 20_000
 UNITS = 4096
@@ -43,7 +43,7 @@ SEED = (
 LOOKALIKE = {"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t"}
 PREFIXES = (4, 5, 6)
 
-_KINDS = [U64(k) * U64(0x9FB21C651E98DF25) for k in range(len(PREFIXES) + 1)]
+_KINDS = constants(len(PREFIXES) + 1, 91)
 
 
 class Lexicon(NamedTuple):
