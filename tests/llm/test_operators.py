@@ -232,7 +232,7 @@ def test_license_cosine_against_brute_force(spark):
         return min((f for f in found if -f[0] >= licenses.LEAST), default=None)
 
     def expected(text):
-        units = [*re.split(r"\n[ \t\r]*\n", text), *text.split("\n"), *(s for line in text.split("\n") for s in re.split(r"(?<=[.!?])\s+", line))]
+        units = [*re.split(r"\n[ \t\r]*\n", text), *text.split("\n"), *(s for line in text.split("\n") for s in re.split(r"(?<=[.!?])[ \t\r]+", line))]
         return min((b for u in units if re.search(licenses.CUE, u) and (b := best(u.strip()))), default=None)
 
     got = {r.path: r for r in licenses.scan(spark.createDataFrame([(f"d/{i}", t) for i, t in enumerate(texts)], "path string, text string")).collect()}

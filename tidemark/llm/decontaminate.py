@@ -19,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch, storage
-from .text import NOT_ALNUM, SPACE, grams, shingles, words
+from .text import NOT_ALNUM, SPACE, grams, lowered_words, shingles
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -32,7 +31,7 @@ _SEPARATORS = NOT_ALNUM | SPACE
 
 
 def _words(column):
-    return words(pc.utf8_lower(pa.chunked_array([column]) if isinstance(column, pa.Array) else column), separators=_SEPARATORS)
+    return lowered_words(column, _SEPARATORS)
 
 
 def item_shingles(items: DataFrame, k: int = WORDS) -> DataFrame:

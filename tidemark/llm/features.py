@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import text
 from .text import NOT_ALNUM, SPACE, U64, Words, buffers, mix, shingles, words
 
 # Frequent function words, and words that address the reader.
@@ -65,7 +66,7 @@ def byte_shares(column) -> np.ndarray:
 
 
 def lowered_words(column) -> Iterator[Words]:
-    return words(lower(column), separators=SEPARATORS)
+    return text.lowered_words(column, SEPARATORS)
 
 
 def known(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:

@@ -67,7 +67,7 @@ def template_terms(templates: list[tuple[str, str]]) -> tuple[list[tuple[int, st
 def _units(path: Column, text: Column) -> Column:
     paragraphs = F.split(text, "\\n[\\x20\\t\\r]*\\n")
     lines = F.split(text, "\\n")
-    sentences = F.flatten(F.transform(lines, lambda x: F.split(x, "(?<=[.!?])\\s+")))
+    sentences = F.split(F.regexp_replace(text, "([.!?])[\\x20\\t\\r]+", "$1\n"), "\\n")
     some = F.filter(F.concat(paragraphs, lines, sentences), lambda x: x.rlike(CUE))
     return F.array_distinct(F.transform(F.concat(some, F.when(path.rlike(LICENCE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))), F.trim))
 

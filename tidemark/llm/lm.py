@@ -65,6 +65,18 @@ class Coder:
         return np.where(self.words[at] == hashes, self.order[at], CODES)
 
 
+def _most_frequent(table: DataFrame, codes: int) -> DataFrame:
+    """The most frequent words. A histogram of counts, of a few hundred bars whatever the table's size, tells first which counts can be among them."""
+    bar = F.floor(F.log2("n") * 8).cast("int")
+    bars = table.groupBy(bar.alias("bar")).agg(F.count("*").alias("words")).orderBy(F.desc("bar")).collect()
+    least, held = 0, 0
+    for b in bars:
+        least, held = b.bar, held + b.words
+        if held >= codes:
+            break
+    return table.where(bar >= least).orderBy(F.desc("n"), "word").limit(codes)
+
+
 def _pairs(w) -> tuple[np.ndarray, np.ndarray]:
     """Documents of all words, and the places of words that follow another of their document."""
     doc = np.repeat(np.arange(w.hi - w.lo), np.diff(w.bounds))
@@ -113,7 +125,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, cod
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = storage.keep(unigrams(docs), "unigrams")
     total = table.agg(F.sum("n")).first()[0] or 1
-    coder = Coder(table.orderBy(F.desc("n"), "word").limit(codes).toArrow())
+    coder = Coder(_most_frequent(table, codes).toArrow())
     log_c1 = np.append(np.log(np.maximum(coder.counts, 1)), 0.0)
     log_c1 = np.append(log_c1, np.zeros(CODES + 1 - len(log_c1)))  # 0 for words without a code
     dense = _dense_counts(docs, coder, top)

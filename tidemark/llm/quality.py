@@ -132,9 +132,8 @@ def cotrain(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.nda
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, pool: int = POOL) -> Model:
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
-    order = F.xxhash64("doc_id", F.lit(3)), F.col("doc_id")
-    chosen = storage.keep(usable.orderBy(*order).limit(rows), "labels")  # at most ``rows`` ids and labels
-    others = docs.select("doc_id").where("doc_id is not null").join(F.broadcast(chosen), "doc_id", "left_anti").orderBy(*order).limit(pool)
+    chosen = storage.keep(storage.sample(usable, "doc_id", rows), "labels")  # at most ``rows`` ids and labels
+    others = storage.sample(docs.select("doc_id").where("doc_id is not null").join(F.broadcast(chosen), "doc_id", "left_anti"), "doc_id", pool)
     ids = storage.keep(chosen.unionByName(others.select("doc_id", F.lit(None).cast("int").alias("y"))), "sample").dropDuplicates(["doc_id"])
     sample = docs.select("doc_id", *_inputs(docs)).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, licenses, lm, ngram_join, packing, quality, secrets, topk, toxicity
+from . import decontaminate, html, licenses, lm, ngram_join, oracles, packing, quality, secrets, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +41,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"))
+    scored = lm.score(table(spark, sf_dir, "documents"))
+    # Rounded, as sums of floating-point numbers depend on their order.
+    return scored.withColumn("score", F.round("score", 4)).withColumn("perplexity", F.round("perplexity", 2))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +71,11 @@ QUERIES: dict[str, Query] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op2_secret_scans": oracles.SECRETS,
+    "op3_decontamination": oracles.DECONTAMINATION,
+    "op4_license_scans": oracles.LICENSES,
+    "op7_lm_scoring": oracles.LM,
     "op5_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e

@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Bytes of text that are brought to lower case at once.
+SLICE = 4 << 20
 U64 = np.uint64
 
 
@@ -100,6 +102,23 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
+def slices(column) -> Iterator[tuple[int, pa.Array]]:
+    """First row and rows of parts of a column of about ``SLICE`` bytes."""
+    _, offsets = buffers(column)
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, side="right")) - 1))
+        yield lo, column.slice(lo, hi - lo)
+        lo = hi
+
+
+def lowered_words(column, separators: np.ndarray) -> Iterator[Words]:
+    """Blocks of words of the column in lower case, by Unicode."""
+    for base, part in slices(column):
+        for w in words(pc.utf8_lower(part.cast(pa.large_string())), separators=separators):
+            yield w._replace(lo=base + w.lo, hi=base + w.hi)
+
+
 def words(column, lower: bool = True, separators: np.ndarray = SPACE) -> Iterator[Words]:
     """Blocks of words; ``lower`` folds A-Z only."""
     raw, offsets = buffers(column)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
 from .features import NOT_ALNUM, SECOND_PERSON, SPACE, buffers, byte_shares, hash_words, known, lower, lowered_words
 from .learn import BoostedTrees, Isotonic
 from .text import U64, Words, constants, mix, words
@@ -171,9 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn: Col
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     usable = usable if may_learn is None else usable.where(may_learn)
     usable = usable.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    usable = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most ``rows`` ids and labels
-    from . import storage
-
+    usable = storage.sample(usable, "doc_id", rows)  # at most ``rows`` ids and labels
     sample = storage.keep(docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4))), "labelled")
     total, positives = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < positives < total:
