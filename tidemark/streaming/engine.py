@@ -17,12 +17,15 @@ from ..operators.linear import WEIGHT
 from ..plans.lowering import lower
 from ..plans.model import Plan, stages
 from ..plans.parser import SqlError
-from ..sources.changelog import ChangeLog, Transaction
+from ..sources.changelog import PLACE, ChangeLog, Transaction
 from . import zset
 from .delta import Epoch, changed
 from .store import Store
 
 
+RESERVED = {*PLACE, "txn"}
+
+
 class EngineError(RuntimeError):
     pass
 
@@ -68,8 +71,8 @@ class Engine:
             raise EngineError(f"source {name} has no columns")
         if any(isinstance(f.dataType, T.MapType) for f in schema):
             raise EngineError("map columns cannot be compared and are not supported in sources")
-        if len({n.lower() for n in schema.names}) != len(schema.names) or any(n.startswith("__") for n in schema.names):
-            raise EngineError("source columns need distinct names that don't begin with __")
+        if len({n.lower() for n in schema.names}) != len(schema.names) or any(n.startswith("__") or n.lower() in RESERVED for n in schema.names):
+            raise EngineError("source columns need distinct names that don't begin with __ and aren't the log's own")
         if not isinstance(table, str):
             table.write.parquet(path)
         self._write_json(f"sources/{name}.json", {"path": path, "schema": schema.jsonValue()})
