@@ -72,6 +72,9 @@ def test_ngram_join_edges(spark, k, percent):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(documents(spark, TEXTS), k=k, percent=percent).collect()}
     assert got == brute_components(TEXTS, k, percent)
     assert ngram_join.join(empty(spark), k=k, percent=percent).count() == 0
+    nameless = documents(spark, TEXTS).unionByName(documents(spark, [BASE, BASE], repeat=False).withColumn("doc_id", F.lit(None).cast("long")))
+    kept = [r.doc_id for r in ngram_join.deduplicate(nameless, k=k, percent=percent).collect()]
+    assert kept.count(None) == 2 and sorted(d for d in kept if d is not None) == sorted({c for _, c in got.values()})
 
 
 def test_ngram_join_large_group_in_blocks(spark):

@@ -20,7 +20,7 @@ D = floor((1 - t) / (1 + t) (a + b)) members at most.
 
 Shingles and sets are compared by 64-bit hashes. Defined cases: A-Z count as a-z; words are runs of other characters
 than space and U+0009 to U+000D; a document of fewer words than a shingle has its whole sequence as its only one; without words (or text) its set is empty
-and it is linked with nothing; repeated rows and ids are kept; a null doc_id keeps its row and is linked with nothing; other columns are ignored.
+and it is linked with nothing; ``join`` keeps repeated rows and ids; a row without a doc_id is linked with nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -347,15 +347,20 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: int = LO
     found = components(links)
 
     labelled = described.join(found.withColumnRenamed("node", "class_key"), "class_key", "left")
-    labelled = labelled.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "class_key")))
+    labelled = labelled.withColumn("component", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "class_key")))
     smallest = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(smallest, "component", "left")
-    return out.select("doc_id", "n_shingles", "class_key", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "class_key", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group of linked ones: that with the smallest doc_id."""
-    found = join(docs, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return one.select(*docs.columns)
+    """docs with one document of each group of linked ones: that with the smallest doc_id, and one row of it. Rows without an id stay."""
+    found = storage.keep(join(docs, **options), "components")
+    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg((F.count("*") > 1).alias("_repeated"))
+    one = docs.join(kept, F.col("doc_id").cast("long") == F.col("_id"))
+    out = one.where(~F.col("_repeated")).select(*docs.columns)
+    if not kept.where("_repeated").isEmpty():
+        out = out.unionByName(one.where("_repeated").dropDuplicates(["_id"]).select(*docs.columns))
+    if not found.where("doc_id is null").isEmpty():
+        out = out.unionByName(docs.where("doc_id is null"))
+    return out
