@@ -15,6 +15,8 @@ RESULTS = {
     "filtered": "SELECT id, amount, label FROM l WHERE amount IS NOT NULL AND group_id IS DISTINCT FROM 2",
     "joined": "SELECT l.id, r.id AS rid, l.amount + r.amount AS total FROM l LEFT JOIN r ON l.group_id = r.group_id",
     "grouped": "SELECT group_id, count(*) AS n, sum(amount) AS s, max(label) AS m FROM l GROUP BY group_id",
+    "summed": "SELECT group_id, count(*) AS n, count(amount) AS c, sum(amount) FILTER (WHERE id > 3) AS s, avg(amount) AS a FROM l GROUP BY group_id",
+    "summed_all": "SELECT count(*) AS n, sum(amount) AS s FROM l WHERE amount > 4",
     "distinct_groups": "SELECT DISTINCT group_id FROM l",
     "bag": "SELECT group_id FROM l UNION ALL SELECT group_id FROM r",
     "ranked": "SELECT id, rank() OVER (PARTITION BY group_id ORDER BY amount, id) AS k FROM l",
@@ -143,7 +145,7 @@ def test_crash_around_the_commit_point(spark, engine, when):
 
 
 def test_lifecycle(spark, engine):
-    engine.create("t", "CREATE TABLE results.t AS SELECT id FROM l WHERE id > 1")
+    engine.execute("CREATE TABLE results.t AS SELECT id FROM l WHERE id > 1;")
     assert engine.results() == ["t"] and sorted(engine.sources()) == ["l", "r"]
     explained = engine.explain("t")
     assert [s["operator"] for s in explained["stages"]] == ["Scan", "Filter", "Project", "Sink"]
@@ -152,8 +154,10 @@ def test_lifecycle(spark, engine):
         engine.create("t", "SELECT id FROM l")
     with pytest.raises(EngineError):
         engine.drop_source("l")
-    engine.drop("t")
+    engine.execute("DROP TABLE t")
     assert engine.results() == []
+    with pytest.raises(SqlError):
+        engine.execute("DELETE FROM l")
     with pytest.raises(EngineError):
         engine.read("t")
     engine.stop()
@@ -187,3 +191,49 @@ def test_maintained_queries_parse(name):
     from tidemark.plans.parser import parse
 
     assert parse(MAINTAINED[name][0]).items
+
+
+def test_index(spark, engine):
+    engine.create("g", "SELECT group_id, amount, id FROM l")
+    engine.create_index("g", "by_group", ["group_id"])
+    look = lambda *v: sorted(r.id for r in engine.lookup("g", "by_group", *v).collect())
+    assert look(1) == [1, 4, 4] and look(None) == [2] and look(9) == []
+    engine.begin().insert("l", rows(spark, LEFT, (30, 9, 1, "i"))).delete("l", rows(spark, LEFT, (4, 1, 5, "a"))).commit()
+    engine.run_available()
+    assert look(1) == [1, 4] and look(9) == [30] and same(engine.read("g"), engine.recompute("g"))
+    for bad in (["nothing"], [], ["id"] * 9):
+        with pytest.raises(EngineError):
+            engine.create_index("g", "other", bad)
+    engine.drop_index("g", "by_group")
+    with pytest.raises(EngineError):
+        engine.lookup("g", "by_group", 1)
+
+
+def test_range_join_has_every_pair_once(spark):
+    """Bins against plain comparison, with null, reversed, huge and non-finite bounds."""
+    from tidemark import operators
+    from tidemark.plans.lowering import lower
+
+    nan, inf = float("nan"), float("inf")
+    points = rows(spark, "id int, x double", *enumerate([0.0, -0.0, 1.5, 2.0, -7.25, 1e12, None, nan, inf, -inf, 3.0, 3.0]))
+    ranges = rows(spark, "k int, lo double, hi double", *((i, *b) for i, b in enumerate([(0.0, 2.0), (2.0, 2.0), (3.0, 1.0), (None, 5.0), (-1e13, 1e13), (-10.0, nan), (-inf, 0.0), (inf, inf), (2.5, 3.5), (-8.0, -7.0)])))
+    tables = {"p": points, "r": ranges}
+    schemas = {n: tuple(t.columns) for n, t in tables.items()}
+    for where in ("p.x BETWEEN r.lo AND r.hi", "p.x >= r.lo AND r.hi > p.x", "r.lo < p.x AND p.x <= r.hi AND p.id <> r.k"):
+        for source in ("p JOIN r", "r JOIN p"):
+            got = operators.evaluate(lower(f"SELECT p.id, r.k FROM {source} ON {where}", schemas), tables.__getitem__)
+            want = points.alias("p").crossJoin(ranges.alias("r")).where(where).selectExpr("p.id", "r.k")
+            assert same(got, want), (where, source)
+
+
+def test_continuous_run(spark, engine):
+    engine.create("c", "SELECT count(*) AS n FROM l")
+    running = engine.run_continuously()
+    try:
+        for i in range(2):
+            engine.wait_for("c", engine.begin().insert("l", rows(spark, LEFT, (50 + i, 1, 1, "s"))).commit())
+            assert engine.read("c").first()[0] == 6 + i
+        with pytest.raises(EngineError):
+            engine.wait_for("c", engine.log.next_lsn(), 0.1)
+    finally:
+        running.stop()

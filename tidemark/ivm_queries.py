@@ -69,22 +69,22 @@ def maintained(sql: str) -> Callable[[SparkSession, str], DataFrame]:
             start, *repairs[name] = altered(df)
             engine.register_source(name, start)
         engine.create("result", sql)
-        for name, df in tables.items():
-            if name not in engine.plan("result").sources:
-                continue
-            missing, extra, wrong = repairs[name]
-            aborted = engine.begin().delete(name, df.limit(0)).insert(name, missing)
-            aborted.abort()
+        used = [n for n in tables if n in engine.plan("result").sources]
+        for name in used:
+            missing, _, _ = repairs[name]
+            engine.begin().insert(name, missing).abort()
             txn = engine.begin()
             mark = txn.savepoint()
             txn.insert(name, missing)
             txn.rollback_to(mark)
             txn.insert(name, missing)
             txn.commit()
-            engine.run_available()
-            right = df.join(wrong.select("id"), "id", "left_semi").select(*df.columns)
+        engine.run_available()
+        for name in used:
+            _, extra, wrong = repairs[name]
+            right = tables[name].join(wrong.select("id"), "id", "left_semi").select(*tables[name].columns)
             engine.begin().delete(name, extra).update(name, wrong, right).commit()
-            engine.run_available()
+        engine.run_available()
         return engine.read("result")
 
     return query

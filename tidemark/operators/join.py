@@ -1,4 +1,9 @@
-"""Joins. Equal keys and the rest of the condition are given apart, so that Catalyst sees an equi-join wherever there is one."""
+"""Joins. Equal keys and the rest of the condition are given apart, so that Catalyst sees an equi-join wherever there is one.
+
+An inner join whose only condition is that a number lies in a range would pair all rows with all. It is made an equi-join by bins: a range
+is given to each bin it touches, a number to its one bin, so every pair meets exactly once. The width of the bins comes
+from the ranges' lengths, so that a range touches ``BINS`` bins at most, and about two in the middle.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rendering import Renderer
-from ..functions.tree import Binary
+from ..functions.tree import Between, Binary, Node, Slot, conjuncts, walk
 from ..plans.model import Join
 
+BINS = 64
 HOW = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 
 
@@ -23,6 +29,10 @@ def join(stage: Join, left: DataFrame, right: DataFrame) -> DataFrame:
         return not_in(stage, left, right)
     if stage.kind == "inner" and not stage.keys and stage.condition is None:
         return left.crossJoin(right)  # asked for as such
+    if stage.kind == "inner" and not stage.keys:
+        bounds = range_bounds(stage.condition, set(left.columns), set(right.columns))
+        if bounds and (binned := range_join(stage, left, right, *bounds)) is not None:
+            return binned
     return left.join(right, on(stage, left, right), HOW[stage.kind])
 
 
@@ -39,3 +49,63 @@ def not_in(stage: Join, left: DataFrame, right: DataFrame) -> DataFrame:
     equal = " AND ".join(both(Binary("=", a, b)) for a, b in stage.keys)
     open_or_equal = f"coalesce({equal}, true)"
     return left.join(right, F.expr(open_or_equal + (f" AND {both(stage.condition)}" if stage.condition else "")), "left_anti")
+
+
+def _slots(*nodes: Node) -> set[str]:
+    return {x.name for n in nodes for x in walk(n) if isinstance(x, Slot)}
+
+
+def range_bounds(condition: Node | None, left: set[str], right: set[str]) -> tuple[bool, Node, Node, Node] | None:
+    """(whether the number is on the left, number, low, high), if the condition says that a number of one side lies between two of the other."""
+
+    def across(x: Node, low: Node, high: Node) -> tuple[bool, Node, Node, Node] | None:
+        own, ends = _slots(x), [_slots(low), _slots(high)]
+        for number_left, a, b in ((True, left, right), (False, right, left)):
+            if own and own <= a and all(e and e <= b for e in ends):
+                return number_left, x, low, high
+        return None
+
+    least: list[tuple[Node, Node]] = []
+    most: list[tuple[Node, Node]] = []
+    for t in conjuncts(condition):
+        if isinstance(t, Between) and not t.negated:
+            if found := across(t.x, t.low, t.high):
+                return found
+        elif isinstance(t, Binary) and t.op in (">=", ">", "<=", "<"):
+            (least if t.op[0] == ">" else most).append((t.a, t.b))
+            (most if t.op[0] == ">" else least).append((t.b, t.a))
+    for x, low in least:
+        for y, high in most:
+            if x == y and (found := across(x, low, high)):
+                return found
+    return None
+
+
+def range_join(stage: Join, left: DataFrame, right: DataFrame, number_left: bool, x: Node, low: Node, high: Node) -> DataFrame | None:
+    """None if the bounds aren't numbers."""
+    points, ranges = (left, right) if number_left else (right, left)
+    p, r = Renderer(points), Renderer(ranges)
+    kinds = {p.kind(x), r.kind(low), r.kind(high)}
+    if not all(k in ("tinyint", "smallint", "int", "bigint", "float", "double") or k.startswith("decimal") for k in kinds):
+        return None
+    number, a, b = (f"CAST({e} AS DOUBLE)" for e in (p(x), r(low), r(high)))
+    finite = lambda e: f"({e} > double('-Infinity') AND {e} < double('Infinity'))"
+    inside, odd = ranges.where(f"{finite(a)} AND {finite(b)}"), ranges.where(f"NOT ({finite(a)} AND {finite(b)})")
+    longest, middle = inside.selectExpr(f"max({b} - {a})", f"percentile_approx({b} - {a}, 0.5)").first()
+    if longest is None:
+        longest = middle = 0.0
+    width = max(longest / (BINS - 1), middle, 1e-12) or 1.0
+    width = width if longest > 0 else 1.0
+    cell = lambda e: f"CAST(floor({e} / {width!r}D) AS BIGINT)"
+    dealt = inside.where(f"{a} <= {b}").selectExpr("*", f"explode(sequence({cell(a)}, {cell(b)})) AS __bin_r")
+    placed = points.where(finite(number)).selectExpr("*", f"{cell(number)} AS __bin_p")
+    sides = (placed, dealt) if number_left else (dealt, placed)
+    columns = [*left.columns, *right.columns]
+    condition = on(stage, left, right)
+    met = sides[0].join(sides[1], (F.col("__bin_p") == F.col("__bin_r")) & condition).select(*columns)
+    # NaN and the infinities have no bin; there are few, if any.
+    strange = points.where(f"NOT {finite(number)}")
+    both = lambda u, v: (u.join(v, condition) if number_left else v.join(u, condition)).select(*columns)
+    if not any(k in ("float", "double") for k in kinds):
+        return met
+    return met.unionByName(both(strange, ranges)).unionByName(both(points.where(finite(number)), odd))

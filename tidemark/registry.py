@@ -80,6 +80,8 @@ ENTRIES: dict[str, Entry] = {
     "anti_not_in_null": Entry(f"SELECT r_regionkey FROM region WHERE r_regionkey NOT IN (SELECT k FROM ({NULLS}) t)"),
     "anti_not_in_empty": Entry(f"SELECT o_orderkey, k FROM ({NULLS}) t WHERE k NOT IN (SELECT n_regionkey FROM nation WHERE n_regionkey > 99)"),
     "anti_not_in_multi": Entry("SELECT n_nationkey FROM nation WHERE (n_nationkey, n_regionkey) NOT IN (SELECT c_nationkey, nullif(c_nationkey % 5, 1) FROM customer WHERE c_custkey < 12)", "SELECT n_nationkey FROM nation n WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey < 12 AND coalesce(n.n_nationkey = c_nationkey AND n.n_regionkey = nullif(c_nationkey % 5, 1), true))"),
+    "join_nan_keys": Entry("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN CAST('NaN' AS DOUBLE PRECISION) ELSE CAST(n_nationkey % 3 AS DOUBLE PRECISION) END AS v FROM nation) a JOIN (SELECT n_nationkey, CASE WHEN n_nationkey % 6 = 0 THEN CAST('NaN' AS DOUBLE PRECISION) ELSE CAST(n_regionkey AS DOUBLE PRECISION) END AS v FROM nation) b ON a.v = b.v"),
+    "join_array_keys": Entry("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON ARRAY[a.n_regionkey, a.n_nationkey % 2] = ARRAY[b.n_regionkey, b.n_nationkey % 3]"),
     "self_join": Entry("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
     "join_chain": Entry("SELECT r_name, n_name, c_custkey, o_orderkey FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey WHERE r_name LIKE 'A%'"),
     # Aggregation and DISTINCT.
@@ -93,6 +95,7 @@ ENTRIES: dict[str, Entry] = {
     "agg_distinct_multi": Entry(f"SELECT o_orderstatus, regr_count(DISTINCT k, o_custkey % 20) AS n FROM ({NULLS}) t GROUP BY o_orderstatus", f"SELECT o_orderstatus, count(DISTINCT (k, o_custkey % 20)) FILTER (WHERE k IS NOT NULL) AS n FROM ({NULLS}) t GROUP BY o_orderstatus"),
     "agg_ordered": Entry("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name DESC) AS names, array_agg(n_nationkey ORDER BY n_nationkey % 3 DESC, n_nationkey) AS keys, max(n_name ORDER BY n_nationkey) AS m FROM nation GROUP BY n_regionkey"),
     "agg_ordered_filter": Entry("SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_nationkey) FILTER (WHERE n_nationkey > 6) AS names FROM nation GROUP BY n_regionkey"),
+    "agg_float_fold": Entry("SELECT event_type, round(sum(value ORDER BY event_id DESC), 2) AS s, round(avg(value ORDER BY event_id) FILTER (WHERE value > 1), 4) AS a FROM events GROUP BY event_type"),
     "agg_having": Entry("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12 AND min(o_totalprice) < 50000"),
     "agg_having_global": Entry("SELECT count(*) AS n FROM orders HAVING count(*) > 5"),
     "agg_minmax": Entry("SELECT p_brand, min(p_name) AS a, max(p_name) AS b, min(p_size) AS c, max(p_retailprice) AS d FROM part GROUP BY p_brand"),

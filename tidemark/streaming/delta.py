@@ -1,20 +1,21 @@
 """Delta rules: from what changed in a stage's inputs and what it remembers of them, to what changed in its output.
 
 Filter, Project, Scan and UNION ALL map the change itself. An inner join is bilinear: it joins each side's change with the other side.
-All others recompute what the change can have affected (the keys, groups or partitions that occur in it) before and after, with the same operators that
+Aggregates that are sums (count, and sum and avg of whole numbers or sum of decimals) keep their sums per group and add the change's, whatever the
+size of a group. A top-N keeps its rows and reads its whole input again only when one of them goes. All others recompute what the change can have affected (the keys, groups or partitions that occur in it) before and after, with the same operators that
 run full queries, and take the difference; so Catalyst plans every rule. State is read by the buckets of the affected keys only.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import operators
 from ..functions.rendering import Renderer
-from ..functions.tree import Slot
+from ..functions.tree import Slot, Star
 from ..operators.linear import WEIGHT, filtered, projected, scan
 from ..plans.model import Aggregate, Distinct, Filter, Join, Project, Scan, SetOperation, Stage, TopN, Window
 from . import zset
@@ -38,13 +39,13 @@ class Epoch:
         dealt = [F.expr(k) for k in keys] if keys else None
         part = self.store.write(name, zset.consolidated(delta), dealt, self.buckets)
         read = self.store.read([part], delta.schema)
-        n = read.count()
+        n, negative = read.agg(F.count("*"), F.count_if(F.col(WEIGHT) < 0)).first()
         self.rows[name] = n
         if n:
             self.tables[name] = [*before, part]
         elif name not in self.tables:
             self.tables[name] = []
-        memory = Memory(self.store, before, part if n else None, delta, n)
+        memory = Memory(self.store, before, part if n else None, delta, n, negative)
         return memory if n or self.first else None
 
 
@@ -57,16 +58,18 @@ class Memory:
     part: dict | None
     like: DataFrame
     n: int
+    negative: int = 0
+    _touched: list[int] | None = None
 
     @property
     def delta(self) -> DataFrame:
         return self.store.read([self.part] if self.part else [], self.like.schema)
 
     def touched(self) -> list[int]:
-        if not self.part:
-            return []
-        path = f"{self.store.path}/{self.part['folder']}"
-        return sorted(r[0] for r in self.store.spark.read.parquet(path).select(BUCKET).distinct().collect())
+        """Buckets that the change has rows in, by the names of its folders."""
+        if self._touched is None:
+            self._touched = self.store.buckets(self.part) if self.part else []
+        return self._touched
 
     def old(self, only: list[int] | None = None) -> DataFrame:
         return self.store.read(self.before, self.like.schema, only)
@@ -124,13 +127,104 @@ def changed(stage: Stage, epoch: Epoch, at: str = "s") -> DataFrame | None:
         case Distinct():
             keys = [r(Slot(s)) for s in stage.outputs]
         case Aggregate():
+            if (sums := _sums(stage, r)) is not None:
+                return _added_up(stage, epoch, at, delta, r, sums)
             keys = [r(g) for g in stage.groups]
         case Window():
             keys = [r(p) for p in stage.over.partition]
         case TopN():
             keys = []
     memory = epoch.remember(at, delta, keys)
-    return None if memory is None else _recomputed(stage, memory, keys, epoch.first)
+    if memory is None:
+        return None
+    if isinstance(stage, TopN) and stage.limit:
+        return _top(stage, epoch, at, memory)
+    return _recomputed(stage, memory, keys, epoch.first)
+
+
+def _top(stage: TopN, epoch: Epoch, at: str, memory: Memory) -> DataFrame:
+    """Keeps the first offset + limit rows beside the whole input, which is read again only when one of them is deleted: until then the new ones are among the kept
+    and the inserted rows."""
+    name, whole = f"{at}_head", replace(stage, limit=stage.offset + stage.limit, offset=0)
+    store, schema = epoch.store, memory.like.schema
+    old = store.read(epoch.tables.get(name, []), schema)
+    rows = memory.new()
+    if not epoch.first:
+        every = [f"`{s}`" for s in zset.columns(memory.like)]
+        gone = memory.delta.where(F.col(WEIGHT) < 0)
+        if not memory.negative or _restricted(old, every, _keys(every, gone)).isEmpty():
+            rows = zset.added(old, memory.delta.where(F.col(WEIGHT) > 0))
+    head = operators.apply(whole, zset.expanded(zset.consolidated(rows)))
+    epoch.tables[name] = [store.write(name, zset.consolidated(zset.weighted(head)), None, 1)]
+    out = lambda df: zset.weighted(operators.apply(stage, zset.expanded(df)))
+    new = out(store.read(epoch.tables[name], schema))
+    return new if epoch.first else zset.difference(new, out(old))
+
+
+def _sums(stage: Aggregate, r: Renderer) -> list[tuple[str, str | None]] | None:
+    """For each aggregate: when a row counts, and what it adds; None if they aren't all sums."""
+    found: list[tuple[str, str | None]] = []
+    for call in stage.aggregates:
+        if call.name not in ("count", "sum", "avg") or call.distinct or len(call.args) > 1:
+            return None
+        where = [f"({r(call.where)}) IS TRUE"] if call.where is not None else []
+        value = None
+        if call.args and not isinstance(call.args[0], Star):
+            value = r(call.args[0])
+            where.append(f"{value} IS NOT NULL")
+        if call.name == "count":
+            value = None
+        else:
+            kind = r.kind(call.args[0])
+            if kind not in ("tinyint", "smallint", "int", "bigint") and not (call.name == "sum" and kind.startswith("decimal")):
+                return None
+        found.append((" AND ".join(where) or "true", value))
+    return found
+
+
+def _added_up(stage: Aggregate, epoch: Epoch, at: str, delta: DataFrame, r: Renderer, sums: list[tuple[str, str | None]]) -> DataFrame | None:
+    groups = list(stage.outputs[: len(stage.groups)])
+    grouped = delta.selectExpr("*", *(f"{r(g)} AS `{s}`" for g, s in zip(stage.groups, groups)))
+    total = [F.sum(WEIGHT).alias("__n")]
+    for i, (where, value) in enumerate(sums):
+        total.append(F.expr(f"sum(CASE WHEN {where} THEN {WEIGHT} ELSE 0 END)").alias(f"__c{i}"))
+        if value is not None:
+            total.append(F.expr(f"sum(CASE WHEN {where} THEN {WEIGHT} * {value} ELSE 0 END)").alias(f"__s{i}"))
+    own = [F.col(f"`{g}`") for g in groups]
+    change = (grouped.groupBy(*own).agg(*total) if own else grouped.agg(*total)).na.fill(0, [f"__c{i}" for i in range(len(sums))] + ["__n"])
+    before = list(epoch.tables.get(at, []))
+    part = epoch.store.write(at, change, own, epoch.buckets) | {"groups": len(groups)}
+    epoch.tables[at] = [*before, part]
+    schema = change.schema
+    change = epoch.store.read([part], schema)
+    epoch.rows[at] = change.count()
+    if not epoch.rows[at]:
+        return None
+    rest = [c for c in schema.names if c not in groups]
+
+    def summed(df: DataFrame) -> DataFrame:
+        added = [F.sum(c).cast(schema[c].dataType).alias(c) for c in rest]
+        return df.groupBy(*own).agg(*added) if own else df.agg(*added)
+
+    only = epoch.store.buckets(part)
+    expressions = [f"`{g}`" for g in groups]
+    old = _restricted(epoch.store.read(before, schema, only), expressions, _keys(expressions, change))
+    like = operators.apply(stage, delta.drop(WEIGHT).limit(0)).schema
+
+    def rows(df: DataFrame) -> DataFrame:
+        checked = df.where(F.when(F.col("__n") < 0, F.raise_error(F.lit("a group's multiplicity fell below zero")).cast("boolean")).otherwise(F.lit(True) if not own else F.col("__n") > 0))
+        made = []
+        for i, (call, slot) in enumerate(zip(stage.aggregates, stage.outputs[len(groups) :])):
+            value = {"count": f"__c{i}", "sum": f"CASE WHEN __c{i} > 0 THEN __s{i} END", "avg": f"CASE WHEN __c{i} > 0 THEN CAST(__s{i} AS DOUBLE) / __c{i} END"}[call.name]
+            made.append(F.expr(value).cast(like[slot].dataType).alias(slot))
+        return zset.weighted(checked.select(*own, *made))
+
+    new = rows(summed(old.unionByName(change)))
+    if epoch.first:
+        return new
+    if not own:
+        return zset.difference(new, rows(summed(old).na.fill(0, [c for c in rest if c[:3] in ("__n", "__c")])))
+    return zset.difference(new, rows(summed(old)))
 
 
 def _empty(stage: Stage, epoch: Epoch, at: str) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators.linear import WEIGHT
 from ..plans.lowering import lower
 from ..plans.model import Plan, stages
 from ..plans.parser import SqlError
-from ..sources.changelog import PLACE, ChangeLog, Transaction
+from ..sources.changelog import PLACE, TRANSACTIONS, ChangeLog, Transaction
 from . import zset
 from .delta import Epoch, changed
 from .store import Store
@@ -117,8 +117,6 @@ class Engine:
         self._check_name(name)
         if name in self.results() or name in self.sources():
             raise EngineError(f"{name} exists")
-        m = re.fullmatch(r"(?is)\s*create\s+table\s+\S+\s+as\s+(.*)", sql)
-        sql = m[1] if m else sql
         plan = self._lower(sql)
         self.check(plan)
         lsn = max([0, *(x for *_, x in self._committed(self.log.transactions()))])
@@ -127,6 +125,56 @@ class Engine:
         deltas = {s: zset.weighted(self.table(s, lsn)) for s in plan.sources}
         self._apply(name, plan, store, manifest, deltas, lsn, True)
 
+    def execute(self, statement: str) -> None:
+        """CREATE TABLE name AS SELECT ..., or DROP TABLE name; a schema before the name is ignored."""
+        if m := re.fullmatch(r"(?is)\s*create\s+table\s+(?:\w+\.)?(\w+)\s+as\s+(.*?);?\s*", statement):
+            return self.create(m[1].lower(), m[2])
+        if m := re.fullmatch(r"(?is)\s*drop\s+table\s+(?:\w+\.)?(\w+)\s*;?\s*", statement):
+            return self.drop(m[1].lower())
+        raise SqlError("only CREATE TABLE ... AS SELECT and DROP TABLE are supported")
+
+    # Indexes: copies of a result that are dealt by some of its columns, so that a lookup opens one bucket.
+    def create_index(self, name: str, index: str, columns: list[str]) -> None:
+        self._check_name(index)
+        m, store = self._manifest(name), self._store(name)
+        indexes = m.get("indexes", {})
+        if index in indexes:
+            raise EngineError(f"index {index} exists")
+        if not 1 <= len(columns) <= 8 or len(indexes) >= 8:
+            raise EngineError("an index has 1 to 8 columns, and a result 8 indexes at most")
+        schema = T.StructType.fromJson(m["schema"])
+        slots = dict(zip(m["names"], schema.names))
+        for c in columns:
+            if c not in slots:
+                raise EngineError(f"{name} has no column {c}")
+            if isinstance(schema[slots[c]].dataType, (T.ArrayType, T.StructType)):
+                raise EngineError(f"column {c} cannot be indexed")
+        whole = zset.consolidated(store.read(m["tables"]["result"], schema))
+        part = store.write(f"index_{index}", whole, [F.col(slots[c]) for c in columns], self.config.buckets)
+        store.publish(m | {"number": m["number"] + 1, "indexes": indexes | {index: columns}, "tables": m["tables"] | {f"index_{index}": [part]}})
+
+    def drop_index(self, name: str, index: str) -> None:
+        m = self._manifest(name)
+        if index not in m.get("indexes", {}):
+            raise EngineError(f"index {index} does not exist")
+        indexes = {k: v for k, v in m["indexes"].items() if k != index}
+        self._store(name).publish(m | {"number": m["number"] + 1, "indexes": indexes, "tables": {k: v for k, v in m["tables"].items() if k != f"index_{index}"}})
+
+    def lookup(self, name: str, index: str, *values: object) -> DataFrame:
+        """The result's rows whose indexed columns have these values."""
+        m = self._manifest(name)
+        columns = m.get("indexes", {}).get(index)
+        if columns is None or len(columns) != len(values):
+            raise EngineError(f"index {index} does not exist or has other columns")
+        schema = T.StructType.fromJson(m["schema"])
+        slots = [schema[schema.names[m["names"].index(c)]] for c in columns]
+        given = [F.lit(v).cast(s.dataType) for v, s in zip(values, slots)]
+        bucket = self.spark.range(1).select(F.pmod(F.hash(*given), F.lit(self.config.buckets)).alias("b")).first()[0]
+        rows = self._store(name).read(m["tables"][f"index_{index}"], schema, [bucket])
+        for v, s in zip(given, slots):
+            rows = rows.where(F.col(s.name).eqNullSafe(v))
+        return zset.expanded(zset.consolidated(rows)).toDF(*m["names"])
+
     def check(self, plan: Plan) -> None:
         """Lets Catalyst analyse the plan over empty tables, and refuses what isn't a function of the tables."""
         empty = operators.evaluate(plan, lambda s: self.spark.createDataFrame([], self.schema(s)))
@@ -172,12 +220,7 @@ class Engine:
         if not self.active:
             raise EngineError("the engine is not started")
         before = self._epochs
-        stream = (
-            self.spark.readStream.schema("txn_id long, status string, commit_lsn long, aborted_subxids array<long>, ended_at timestamp")
-            .option("maxFilesPerTrigger", self.config.files_per_epoch)
-            .parquet(self.log.transactions_path)
-        )
-        query = stream.writeStream.foreachBatch(self._epoch).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
+        query = self._writer().trigger(availableNow=True).start()
         try:
             query.awaitTermination()
         except Exception as e:
@@ -186,6 +229,24 @@ class Engine:
             raise
         return self._epochs - before
 
+    def _writer(self):
+        stream = self.spark.readStream.schema(TRANSACTIONS).option("maxFilesPerTrigger", self.config.files_per_epoch).parquet(self.log.transactions_path)
+        return stream.writeStream.foreachBatch(self._epoch).option("checkpointLocation", f"{self.root}/checkpoint")
+
+    def run_continuously(self, interval: str = "0 seconds"):
+        """A running StreamingQuery that applies transactions as they end; stop() it before run_available is used again."""
+        if not self.active:
+            raise EngineError("the engine is not started")
+        return self._writer().trigger(processingTime=interval).start()
+
+    def wait_for(self, name: str, lsn: int, seconds: float = 60.0) -> None:
+        """Returns when a result shows what was committed at lsn."""
+        until = time.time() + seconds
+        while self._manifest(name)["lsn"] < lsn:
+            if time.time() > until:
+                raise EngineError(f"{name} did not reach {lsn} in {seconds} s")
+            time.sleep(0.01)
+
     def _epoch(self, ended: DataFrame, _: int) -> None:
         committed = self._committed(ended)
         for name in self.results():
@@ -211,7 +272,10 @@ class Engine:
             keys = [f"`{s}`" for s in plan.top.outputs]
             memory = epoch.remember("result", delta, keys)
             manifest["schema"] = delta.schema.jsonValue()
-            if memory and memory.n and not first:
+            for index, columns in manifest.get("indexes", {}).items():
+                slots = dict(zip(plan.names, plan.top.outputs))
+                epoch.remember(f"index_{index}", memory.delta if memory else delta, [f"`{slots[c]}`" for c in columns])
+            if memory and memory.negative:
                 self._check_result(memory, keys)
         for table, parts in list(epoch.tables.items()):
             if len(parts) >= self.config.compact_after:
@@ -239,13 +303,17 @@ class Engine:
         for p in parts:
             df = self.spark.read.schema(T.StructType([*schema, T.StructField(BUCKET, T.IntegerType())])).parquet(f"{store.path}/{p['folder']}")
             whole = df if whole is None else whole.unionByName(df)
-        own = [f"`{c}`" for c in whole.columns if c != WEIGHT]
-        total = whole.groupBy(*own).agg(F.sum(WEIGHT).cast("long").alias(WEIGHT)).where(F.col(WEIGHT) != 0)
+        if "groups" in parts[0]:  # sums by group, not weighted rows
+            own = [f"`{c}`" for c in schema.names[: parts[0]["groups"]]]
+            total = whole.groupBy(*own, BUCKET).agg(*(F.sum(c).cast(schema[c].dataType).alias(c) for c in schema.names[len(own) :]))
+        else:
+            own = [f"`{c}`" for c in whole.columns if c != WEIGHT]
+            total = whole.groupBy(*own).agg(F.sum(WEIGHT).cast("long").alias(WEIGHT)).where(F.col(WEIGHT) != 0)
         import uuid
 
         folder = f"{table}/{uuid.uuid4().hex}"
         total.select(*schema.names, BUCKET).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{store.path}/{folder}")
-        return {"folder": folder, "schema": schema.jsonValue()}
+        return parts[0] | {"folder": folder, "schema": schema.jsonValue()}
 
     # Introspection.
     def progress(self, name: str) -> dict:

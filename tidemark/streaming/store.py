@@ -62,6 +62,11 @@ class Store:
         dealt.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
         return {"folder": folder, "schema": df.schema.jsonValue()}
 
+    def buckets(self, part: dict) -> list[int]:
+        fs, p = self._hadoop(f"{self.path}/{part['folder']}")
+        names = (s.getPath().getName() for s in fs.listStatus(p))
+        return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{BUCKET}="))
+
     def read(self, parts: list[dict], schema: T.StructType, only: list[int] | None = None) -> DataFrame:
         """The parts' rows together, not consolidated; only: buckets to read."""
         out = self.spark.createDataFrame([], schema)
