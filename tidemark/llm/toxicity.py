@@ -33,6 +33,8 @@ UNITS = 4096
 #: Evidence (log-likelihood ratio) from which on a unit is in the lexicon.
 EVIDENCE = 12.0
 NEAR = 5
+#: Units that a task holds before it sums them up.
+GATHERED = 1_000_000
 # Insults, and characters that stand for letters.
 SEED = (
     "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns dumb fool fools jerk"
@@ -141,18 +143,28 @@ def _lexicon(sample: DataFrame, positives: int, total: int) -> Lexicon:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = np.asarray(batch.column(1)).astype(bool)
-            found, flags = [], []
+            found, flags, held = [], [], 0
             for w in lowered_words(batch.column(0)):
                 doc = np.repeat(np.arange(w.lo, w.hi), np.diff(w.bounds))
                 for u in _units(w):
-                    pair = np.unique(np.stack([u.view(np.int64), doc]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
-                    found.append(pair[0])
-                    flags.append(toxic[pair[1]])
-            if found:
-                unit, inverse = np.unique(np.concatenate(found), return_inverse=True)
-                pos = np.bincount(inverse, np.concatenate(flags), len(unit)).astype(np.int64)
-                all_of = np.bincount(inverse, minlength=len(unit))
-                yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(pos), pa.array(all_of - pos)], ["unit", "pos", "neg"])
+                    order = np.lexsort((u, doc))
+                    unit, owner = u[order].view(np.int64), doc[order]
+                    new = np.ones(len(unit), bool)  # a document counts once for a unit
+                    new[1:] = (unit[1:] != unit[:-1]) | (owner[1:] != owner[:-1])
+                    found.append(unit[new])
+                    flags.append(toxic[owner[new]])
+                    held += int(new.sum())
+                if held > GATHERED:
+                    yield tally(found, flags)
+                    found, flags, held = [], [], 0
+            if held:
+                yield tally(found, flags)
+
+    def tally(found: list[np.ndarray], flags: list[np.ndarray]) -> pa.RecordBatch:
+        unit, inverse = np.unique(np.concatenate(found), return_inverse=True)
+        pos = np.bincount(inverse, np.concatenate(flags), len(unit)).astype(np.int64)
+        all_of = np.bincount(inverse, minlength=len(unit))
+        return pa.RecordBatch.from_arrays([pa.array(unit), pa.array(pos), pa.array(all_of - pos)], ["unit", "pos", "neg"])
 
     counted = sample.select("text", "y").mapInArrow(count, "unit long, pos long, neg long").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     rate = positives / total
