@@ -43,6 +43,8 @@ MARKS = set(
     " login share sharing social related recommended comment comments disqus respond reply replies breadcrumb breadcrumbs pagination pager"
     " toolbar skip dropdown toc".split()
 )
+STRONG = set("comment comments cookie cookies sidebar sidenav advert adverts advertisement adsbygoogle newsletter breadcrumb breadcrumbs disqus sponsored pagination footer navbar".split())
+STRONG_STARTS = ("commentlist", "commentform", "commentbody", "commentarea", "sidebar", "cookiebar", "cookiebanner", "cookienotice", "advertis", "adslot", "adbanner", "navbar", "sharebuttons", "relatedposts", "newsletter")
 NEGATED = {"has", "with", "no", "without", "is", "not", "hide", "show"}
 NEVER_BY_CLASS = {"html", "body", "main"}
 
@@ -65,15 +67,16 @@ class Node:
 
 
 def _marked(words: str) -> bool:
-    """Whether a class or id says that the element is not the article: the first or last part of one of its names is a mark."""
+    """Whether a class or id says that the element is not the article: a strong mark in one of its names, or another mark that begins or ends it."""
     for name in words.split():
         parts = [p.lower() for p in _PART.findall(name)]
-        if parts and parts[0] not in NEGATED and (parts[0] in MARKS or parts[-1] in MARKS):
+        cut = next((i for i, p in enumerate(parts) if p in NEGATED), len(parts))
+        if any(p in STRONG or p.startswith(STRONG_STARTS) for p in parts[:cut]) or cut == len(parts) and parts and (parts[0] in MARKS or parts[-1] in MARKS):
             return True
     return False
 
 
-def _dropped(tag: str, attrs: str) -> bool:
+def _dropped(tag: str, attrs: str, by_class: bool = True) -> bool:
     if tag in DROPPED:
         return True
     if not attrs.strip() or tag in NEVER_BY_CLASS:
@@ -83,6 +86,8 @@ def _dropped(tag: str, attrs: str) -> bool:
         return True
     if set(found.get("role", "").lower().split()) & ROLES:
         return True
+    if not by_class:
+        return False
     words = f"{found.get('class', '')} {found.get('id', '')}"
     if tag == "article":
         return "comment" in words.lower()
@@ -99,7 +104,8 @@ def _close(stack: list[Node], tags: set[str], scope: set[str]) -> None:
             return
 
 
-def parse(page: str) -> Node:
+def parse(page: str, by_class: bool = True) -> Node:
+    """The page's tree; by_class: also leave out elements whose class or id marks them."""
     root = Node("#root", None, 0)
     stack, at, order = [root], 0, 0
     skipping: list[str] = []  # open elements from the dropped one down
@@ -143,7 +149,7 @@ def parse(page: str) -> Node:
         if tag in VOID:
             stack[-1].kids.append("\x00" if tag == "hr" else " ")
             continue
-        if _dropped(tag, m[3]):
+        if _dropped(tag, m[3], by_class):
             if tag in BLOCK:
                 stack[-1].kids.append("\x00")
             if not m[3].endswith("/"):
@@ -209,8 +215,8 @@ def main_text(page: str | None) -> str:
     """The page's main text, or an empty string."""
     if not page:
         return ""
-    root = parse(page.replace("\x00", ""))
-    blocks = _blocks(root)
+    page = page.replace("\x00", "")
+    blocks = _blocks(parse(page)) or _blocks(parse(page, by_class=False))  # some layouts name the article's own element after what stands beside it
     scored: dict[int, Node] = {}
     for owner, text, linked in blocks:
         node, step = (owner.parent or owner) if owner.tag in ("p", "pre", "li", "td", "blockquote", "dd", "h1", "h2", "h3", "h4", "h5", "h6") else owner, 0
