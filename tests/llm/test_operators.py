@@ -216,6 +216,8 @@ def test_licenses(spark):
         rows = licenses.scan(spark.createDataFrame([("x/y.txt", f"Some words.\n{text}\nOther words.")], "path string, text string")).collect()
         assert rows[0].license == name, (name, rows)
         break
+    chains = ["licence " + "a.b-" * 40_000, "licensed " + "x " * 40_000, "-----BEGIN " + "AB " * 40_000]
+    assert licenses.query(documents(spark, chains, repeat=False)).count() == 3 and secrets.digest(documents(spark, chains, repeat=False)).count() == 3
     assert licenses.query(documents(spark, TEXTS)).count() == len(TEXTS) + 2
     assert licenses.query(empty(spark)).count() == 0
 
@@ -335,6 +337,7 @@ def test_html(spark):
     text = "Title here\n\nFirst paragraph, with commas, and a link here <ok> of some length to be scored.\n\nSecond one unclosed, also long enough to be counted, surely\n\nitem one\n\nitem two\n\nQuote — text"
     article = "<nav><a>x</a></nav><article><h1>T &amp; t</h1><p><b>One.<br><p>Two" + " words, and" * 40 + "</p></article><footer>&copy; f</footer>"
     pages = [PAGE, None, "", "plain text only, without any tags at all", article, "<p>", "<script>a</script>", "<div>" * 300 + "deep text, deep, deep" + "</div>" * 300, "<!-- <p>no</p> --><p>Yes, this is it, and it is long enough.</p>", "<p>" + "long, text " * 50_000]
+    pages += ["<a " * 50_000, '<p title="a > b" data-x=\'<i>\'>' + "quoted, signs, do not end the tag, or start one" + '<b class="x"">!</b></p>', "<" * 20_000 + " text, that stays, as it is no tag at all", '<div a="' * 3000]
     rows = [(i, f"u{i}", p, "n", 1) for i, p in enumerate(pages)]
     table = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string, text string, n_chars int")
     got = html.extract(table).collect()
@@ -344,6 +347,7 @@ def test_html(spark):
     assert texts[0] == text and texts[1] == texts[2] == texts[5] == texts[6] == ""
     assert texts[3] == pages[3] and texts[4] == "T & t\n\nOne.\n\nTwo" + " words, and" * 40
     assert texts[7] == "deep text, deep, deep" and texts[8] == "Yes, this is it, and it is long enough." and texts[9] == ("long, text " * 50_000).strip()
+    assert texts[11] == "quoted, signs, do not end the tag, or start one!" and texts[12].endswith("no tag at all")
     assert html.extract(table.where("false")).count() == 0
 
 

@@ -47,7 +47,7 @@ TEMPLATES = [
 ]
 CUE = "(?i)licen[cs]|copyright|permission|redistribut|public domain|all rights reserved|creative commons|\\bcc[ -](?:by|0)"
 LICENCE_FILE = "(?i)(?:^|/)(?:licen[cs]e|copying|unlicense|notice)(?:[.-][^/]*)?$"
-TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*+"  # possessive: long chains need no stack
 
 
 def template_terms(templates: list[tuple[str, str]]) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:

@@ -75,7 +75,7 @@ parts AS (
             regexp_split_to_array(text, '\\n[\\x20\\t\\r]*\\n'), string_split(text, chr(10)), string_split(regexp_replace(text, '([.!?])[\\x20\\t\\r]+', '\\1' || chr(10), 'g'), chr(10))
         ), lambda x: regexp_matches(x, {_text(licenses.CUE)})))) AS unit FROM files WHERE regexp_matches(text, {_text(licenses.CUE)}))
 ),
-tf AS (SELECT unit, term, count(*) AS n FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), {_text(licenses.TERM)})) AS term FROM (SELECT DISTINCT unit FROM parts)) GROUP BY ALL),
+tf AS (SELECT unit, term, count(*) AS n FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), {_text(licenses.TERM.replace('*+', '*'))})) AS term FROM (SELECT DISTINCT unit FROM parts)) GROUP BY ALL),
 w AS (SELECT unit, term, (1 + ln(n)) * coalesce(idf, {_UNSEEN!r}::DOUBLE) AS w FROM tf LEFT JOIN idf USING (term)),
 norms AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY unit),
 scored AS (SELECT unit, license, round(sum(w * weight) / any_value(norm), 6) AS s FROM w JOIN terms USING (term) JOIN norms USING (unit) GROUP BY unit, template, license),

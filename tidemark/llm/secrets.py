@@ -42,7 +42,7 @@ BASE = (
     Rule("hex", 1, "[0-9a-f]{32,}"),
 )
 ADDED = (
-    Rule("pem", 1, "-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\\s]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?"),
+    Rule("pem", 1, "-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----(?:[A-Za-z0-9+/=\\s]*-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----)?"),
     Rule("github", 1, "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", 1, "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", 1, "AIza[A-Za-z0-9_-]{35}"),
