@@ -11,11 +11,13 @@ DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def text(v):
+    if hasattr(v, "tolist"):
+        v = v.tolist()
     if v is None or v is pd.NA or v is pd.NaT or v != v:
         return "NULL"
     if isinstance(v, float):
         return str(int(v)) if v.is_integer() else repr(v)
-    return str(list(v)) if hasattr(v, "tolist") else str(v)
+    return str(v)
 
 
 @pytest.fixture(scope="module")
