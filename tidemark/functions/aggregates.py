@@ -67,7 +67,3 @@ def render(call: Call, r: Renderer) -> str:
     name = {"some": "bool_or", "array_agg": "collect_set"}.get(call.name)
     inner = r(Call(name or call.name, args or (Star(),), call.distinct))
     return inner + where
-
-
-def aggregate_dtype_cast(call: Call) -> str | None:
-    return "bigint" if call.name in ("count", "regr_count", "approx_count_distinct", "count_if") else None
