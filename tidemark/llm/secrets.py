@@ -8,7 +8,8 @@ Where a match lies comes from the lengths of the text's pieces between matches a
 so positions count code points. A text without a match of a rule costs that rule's search alone.
 
 Skew: copies of one text are one blob; only (path, blob) pairs of them are shuffled, pre-aggregated before the shuffle, and the join back
-to paths is a plain equi-join that adaptive execution may split. Defined cases: a null text is an empty one; repeated
+to paths is a plain equi-join that adaptive execution may split. Defined cases: a null text is an empty one; rows without a path
+are scanned, reported and redacted like others; repeated
 rows are reported once each; rules may overlap, and each reports its own spans; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -83,8 +84,9 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         blobs = blobs.join(seen, "blob_id", "left").withColumn("pending", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))).drop("seen")
         blobs = blobs.where(F.size("pending") > 0)
     done = blobs.select("blob_id", F.explode("pending").alias("rule"))
-    texts = versions.where("path is not null").select("path", blob_id(F.col("text")).alias("blob_id"), "text")
-    texts = texts.join(blobs.hint("shuffle_hash"), ["path", "blob_id"])
+    # A blob without any path is represented by its rows without one.
+    texts = versions.select(F.col("path").alias("_path"), blob_id(F.col("text")).alias("_blob"), "text")
+    texts = texts.join(blobs.hint("shuffle_hash"), F.expr("_path <=> path AND _blob = blob_id"))
     every = F.filter(F.array(*(_matches(r, k) for k, r in enumerate(rules))), lambda x: x.isNotNull())
     hits = texts.select("blob_id", F.explode(F.flatten(every)).alias("x")).select("blob_id", "x.*")
     order = Window.partitionBy("blob_id", "k").orderBy("i")
