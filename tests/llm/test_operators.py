@@ -386,6 +386,24 @@ def test_quality(spark):
     assert quality.keep(empty(spark), quality.fit(empty(spark), table)).count() == 0
 
 
+def test_quality_draws_from_all_unlabelled_documents(spark):
+    """More of them than a fixed pool of 8,000, repeated rows and a row without an id."""
+    frame = spark.range(9_000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN concat('plain words here and there ', id) ELSE concat('BAD | X | ', id, '!!') END AS text")
+    table = spark.range(0, 400).selectExpr("id AS doc_id", "CAST(id % 2 = 0 AS INT) AS quality")
+    seen = []
+
+    def watched(others, sure):
+        seen.append(others.count())
+        return find(others, sure)
+
+    find, quality._surest = quality._surest, watched
+    try:
+        model = quality.fit(frame.union(frame.limit(500)).union(spark.createDataFrame([(None, "no id")], "doc_id long, text string")), table)
+    finally:
+        quality._surest = find
+    assert seen[0] >= 9_000 - 400 + 1 and len(model.exchanged) == quality.ROUNDS and sum(model.exchanged) > 0
+
+
 def check_packing(rows, lengths, capacity):
     """Every document whole, in order; every sequence gapless and within the capacity."""
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)

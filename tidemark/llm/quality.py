@@ -6,8 +6,9 @@ classifier. Over some rounds, each labels the unlabelled documents it is surest
 are calibrated on labelled rows that neither learnt from, and the calibrated views are combined, each in proportion to
 how well it does there, to score all documents.
 
-Bounds (parameters): ``ROWS`` labelled and ``POOL`` unlabelled documents, those with the smallest hash of their id, are described on the driver as dense features;
-each round adds at most a tenth of the labelled rows to each view. Everything else covers all documents. Defined cases: a null text is an empty one; null metadata is a value of its own;
+Bounds (parameters): ``ROWS`` labelled documents, those with the smallest hash of their id, are described on the driver as dense features;
+each round scores all other documents where they lie and brings the surest, at most a tenth of the labelled rows, to each view (of equally sure ones those
+with the smallest hash). Everything else covers all documents. Defined cases: a null text is an empty one; null metadata is a value of its own;
 repeated rows are scored once each; labels that are null or of documents that are not there are left out, and of several labels of a document
 the smallest counts; without both kinds of labels every score is the share of good ones (1 without any); an empty table gives an
 empty result; other columns are kept by ``keep`` and ignored otherwise.
@@ -16,7 +17,7 @@ empty result; other columns are kept by ``keep`` and ignored otherwise.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +31,6 @@ from .features import STOPWORDS, byte_shares, distinct_share, hash_words, known,
 from .learn import BoostedTrees, Isotonic
 
 ROWS = 8_000
-POOL = 8_000
 ROUNDS = 3
 SURE = 0.95
 #: Documents rejected by ``keep`` score below this.
@@ -92,30 +92,32 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-odds))
 
 
-def cotrain(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, sure: float = SURE) -> Model:
+#: Of each view the margins' trees, calibration and keys already handed on, and how many at most: for each view both descriptions and chances of the surest.
+Surest = Callable[[list[BoostedTrees], list[Isotonic], list[np.ndarray], int], list[tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]]]
+
+
+def cotrain(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, surest: Surest, rounds: int = ROUNDS) -> Model:
     """fold 0 is held back for calibration."""
     train, held = fold > 0, fold == 0
     if len(np.unique(y[train])) < 2 or len(np.unique(y[held])) < 2:
         train[:] = held[:] = True
     given = [(x[train], y[train]) for x in labelled]
-    left = [np.arange(len(pool[0])), np.arange(len(pool[0]))]
+    taken = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
     most = max(1, int(train.sum()) // 10)
     exchanged = []
     fits = lambda: [BoostedTrees(trees=60).fit(x, t) for x, t in given]
     trees = fits()
     for _ in range(rounds):
+        calibrated = [Isotonic().fit(trees[k].margin(labelled[k][held]), y[held]) for k in (0, 1)]
         added = 0
-        for own, other in ((0, 1), (1, 0)):
-            rows = left[own]
-            if not len(rows):
+        for own, (keys, found, p) in enumerate(surest(trees, calibrated, taken, most)):
+            other = 1 - own
+            if not len(keys):
                 continue
-            p = Isotonic().fit(trees[own].margin(labelled[own][held]), y[held])(trees[own].margin(pool[own][rows]))
-            surest = np.argsort(-np.abs(p - 0.5), kind="stable")[:most]
-            surest = surest[(p[surest] >= sure) | (p[surest] <= 1 - sure)]
             x, t = given[other]
-            given[other] = np.concatenate([x, pool[other][rows[surest]]]), np.concatenate([t, (p[surest] > 0.5).astype(float)])
-            left[own] = np.delete(rows, surest)
-            added += len(surest)
+            given[other] = np.concatenate([x, found[other]]), np.concatenate([t, (p > 0.5).astype(float)])
+            taken[own] = np.concatenate([taken[own], keys])
+            added += len(keys)
         exchanged.append(added)
         if not added:
             break
@@ -130,31 +132,75 @@ def cotrain(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.nda
     return Model(tuple(v._replace(weight=s / sum(skill)) for v, s in zip(views, skill)), float(y.mean()), tuple(exchanged))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, pool: int = POOL) -> Model:
-    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
-    chosen = storage.keep(storage.sample(usable, "doc_id", rows), "labels")  # at most ``rows`` ids and labels
-    others = storage.sample(docs.select("doc_id").where("doc_id is not null").join(F.broadcast(chosen), "doc_id", "left_anti"), "doc_id", pool)
-    ids = storage.keep(chosen.unionByName(others.select("doc_id", F.lit(None).cast("int").alias("y"))), "sample").dropDuplicates(["doc_id"])
-    sample = docs.select("doc_id", *_inputs(docs)).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matrix(column) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _described(docs: DataFrame, keys: str) -> DataFrame:
+    """Both views a and b of docs, whose two first columns, keys, are kept."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = _views(batch, 2)
-                kind = pa.list_(pa.float64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(a), kind), pa.array(list(b), kind)], ["fold", "y", "a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(a), _lists(b)], [*names, "a", "b"])
 
+    names = [k.split()[0] for k in keys.split(", ")]
+    return docs.select(*names, "text", "lang", "source", "n_chars").mapInArrow(work, f"{keys}, a array<double>, b array<double>")
+
+
+def _surest(others: DataFrame, sure: float) -> Surest:
+    """Finds the surest among all rows of others (key, a, b) on the executors."""
+
+    def find(trees, calibrated, taken, most):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = np.asarray(batch.column(0))
+                for k in (0, 1):
+                    p = calibrated[k](trees[k].margin(_matrix(batch.column(1 + k)))) if len(keys) else np.zeros(0)
+                    good = ((p >= sure) | (p <= 1 - sure)) & ~np.isin(keys, taken[k])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[good]), pa.array(np.full(int(good.sum()), k, np.int32)), pa.array(p[good])], ["key", "view", "p"])
+
+        scored = storage.keep(others.select("key", "a", "b").mapInArrow(work, "key long, view int, p double").dropDuplicates(["key", "view"]), "sure")
+        best = [scored.where(F.col("view") == k).orderBy(F.abs(F.col("p") - 0.5).desc(), "key").limit(most) for k in (0, 1)]
+        best = storage.keep(best[0].unionByName(best[1]), "surest")
+        rows = others.join(F.broadcast(best), "key").dropDuplicates(["key", "view"]).select("key", "view", "p", "a", "b").toArrow()
+        keys, view, p = (np.asarray(rows[c]) for c in ("key", "view", "p"))
+        a, b = (_matrix(rows[c]) if len(keys) else np.zeros((0, 0)) for c in ("a", "b"))
+        out = []
+        for k in (0, 1):
+            own = np.flatnonzero(view == k)
+            own = own[np.argsort(keys[own])]
+            out.append((keys[own], (a[own], b[own]), p[own]))
+        return out
+
+    return find
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, sure: float = SURE) -> Model:
+    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
+    chosen = storage.keep(storage.sample(usable, "doc_id", rows), "labels")  # at most ``rows`` ids and labels
+    inputs = docs.select("doc_id", *_inputs(docs))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)).cast("int")
-    table = sample.select(fold.alias("fold"), "y", "text", "lang", "source", "n_chars").mapInArrow(describe, "fold int, y int, a array<double>, b array<double>").toArrow()
-    is_labelled = ~np.asarray(table["y"].is_null())
-    y = np.asarray(table["y"].fill_null(0)).astype(float)[is_labelled]
+    sample = inputs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).withColumn("fold", fold)
+    table = _described(sample, "fold int, y int").toArrow()
+    y = np.asarray(table["y"]).astype(float)
     if len(np.unique(y)) < 2:
         return Model(None, float(y.mean()) if len(y) else 1.0)
-    a, b = (np.array(table[c].to_pylist()) for c in ("a", "b"))
-    fold = np.asarray(table["fold"])[is_labelled]
-    both = np.column_stack([a, b])
-    one, two = np.lexsort((*both[is_labelled].T, y, fold)), np.lexsort(both[~is_labelled].T) if (~is_labelled).any() else np.zeros(0, np.int64)
-    return cotrain((a[is_labelled][one], b[is_labelled][one]), y[one], fold[one], (a[~is_labelled][two], b[~is_labelled][two]))
+    a, b, fold = _matrix(table["a"]), _matrix(table["b"]), np.asarray(table["fold"])
+    order = np.lexsort((*np.column_stack([a, b]).T, y, fold))
+    others = inputs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+    # Repeated rows have one key. Rows without an id count as documents.
+    content = F.xxhash64(F.col("doc_id"), *(F.col(c) for c in ("text", "lang", "source", "n_chars")))
+    others = others.withColumn("key", content).withColumn("none", F.lit(0))
+    others = storage.keep(_described(others, "key long, none int").drop("none"), "described")
+    return cotrain((a[order], b[order]), y[order], fold[order], _surest(others, sure))
 
 
 def _inputs(docs: DataFrame) -> list:
