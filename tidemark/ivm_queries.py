@@ -39,8 +39,10 @@ MAINTAINED: dict[str, tuple[str, str | None]] = {
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
+    """A new folder that driver and executors share; on a cluster it has to be named in spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
     return f"{root.rstrip('/')}/engine-{uuid.uuid4().hex}"
@@ -90,5 +92,28 @@ def maintained(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-QUERIES = {name: maintained(sql) for name, (sql, _) in MAINTAINED.items()}
-ORACLE = {name: f"WITH fact AS {FACT}, dim AS {DIM} {oracle or sql}" for name, (sql, oracle) in MAINTAINED.items()}
+def late_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several writers: the transaction that began first is committed last, when what came after it has been applied, and two are open at once."""
+    from .registry import run
+
+    root = scratch(spark)
+    engine, other = Engine(spark, root, EngineConfig(buckets=4)), Engine(spark, root, EngineConfig(buckets=4))
+    engine.start()
+    whole = run(spark, sf_dir, f"SELECT * FROM {FACT} t")
+    start, missing, extra, wrong = altered(whole)
+    engine.register_source("fact", start)
+    engine.create("result", LATE)
+    right = whole.join(wrong.select("id"), "id", "left_semi").select(*whole.columns)
+    first = engine.begin().insert("fact", missing)
+    second, third = other.begin().delete("fact", extra), engine.begin().update("fact", wrong, right)
+    third.commit()
+    second.commit()
+    engine.run_available()
+    first.commit()
+    engine.run_available()
+    return engine.read("result")
+
+
+LATE = "SELECT st, k, count(*) AS n, CAST(sum(v) AS BIGINT) AS s FROM fact GROUP BY st, k"
+QUERIES = {name: maintained(sql) for name, (sql, _) in MAINTAINED.items()} | {"ivm_late_commit": late_commit}
+ORACLE = {name: f"WITH fact AS {FACT}, dim AS {DIM} {oracle or sql}" for name, (sql, oracle) in MAINTAINED.items()} | {"ivm_late_commit": f"WITH fact AS {FACT} {LATE}"}

@@ -4,12 +4,19 @@ Filter, Project, Scan and UNION ALL map the change itself. An inner join is bili
 Aggregates that are sums (count, and sum and avg of whole numbers or sum of decimals) keep their sums per group and add the change's, whatever the
 size of a group. A top-N keeps its rows and reads its whole input again only when one of them goes. All others recompute what the change can have affected (the keys, groups or partitions that occur in it) before and after, with the same operators that
 run full queries, and take the difference; so Catalyst plans every rule. State is read by the buckets of the affected keys only.
+
+A change of at most ``small_rows`` rows is brought to the driver once, where it is a local table: what it touches is known without a further job, joins with it need no
+shuffle, and the state it is written to is written while later stages already go on. A larger one is written first and read back. Either way nothing
+counts before the manifest that names it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,28 +31,82 @@ from .store import BUCKET, Store
 
 @dataclass
 class Epoch:
-    """One application of changes: the store, what its tables are made of, and what the sources' changes are (None: none)."""
+    """One application of changes: the store, what its tables are made of, and what the sources' changes are (None: none). Leaving it waits for all writes."""
 
     store: Store
     tables: dict[str, list[dict]]
     deltas: dict[str, DataFrame]
     first: bool
     buckets: int
+    small_rows: int = 0
     rows: dict[str, int] = field(default_factory=dict)
 
+    def __enter__(self) -> Epoch:
+        self._pool = ThreadPoolExecutor(4)
+        self._writes: list[Future] = []
+        if not self.first:
+            for name, delta in self.deltas.items():
+                self.deltas[name] = self.few(delta)
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        self._pool.shutdown(wait=True)
+        if kind is None:
+            for w in self._writes:
+                w.result()
+
+    def local(self, df: DataFrame) -> tuple[DataFrame, pa.Table] | None:
+        """A frame of few rows as a local table, and its rows; None if it has more, or if this is a first fill, which is large as a rule."""
+        if self.first or not self.small_rows:
+            return None
+        found = df.limit(self.small_rows + 1).toArrow()
+        if found.num_rows > self.small_rows:
+            return None
+        out = df.sparkSession.createDataFrame(found, df.schema) if found.num_rows else df.sparkSession.createDataFrame([], df.schema)
+        return out, found
+
+    def few(self, df: DataFrame) -> DataFrame:
+        """df; if it has few rows, as a local table in one partition, which needs no shuffle from there on."""
+        found = self.local(df)
+        return df if found is None else found[0].coalesce(1)
+
+    def later(self, work: Callable[[], object]) -> None:
+        self._writes.append(self._pool.submit(work))
+
+    def save(self, name: str, df: DataFrame, dealt: list | None, few: bool, buckets: int | None = None) -> dict:
+        """A new part of a table; few: df is local, and is written while the epoch goes on."""
+        part = self.store.part(name, df)
+        work = lambda: self.store.fill(part, df, dealt, buckets or self.buckets, few)
+        if few:
+            self.later(work)
+        else:
+            work()
+        return part
+
+    def touched(self, df: DataFrame, dealt: list | None) -> list[int]:
+        """Buckets that a local table has rows in; no job is needed to tell."""
+        return sorted({r[0] for r in df.select(self.store.bucket(dealt, self.buckets)).collect()})
+
     def remember(self, name: str, delta: DataFrame, keys: list[str] | None) -> Memory | None:
         """Adds a change to a table of state and gives the table before and after; None if nothing changed."""
         before = list(self.tables.get(name, []))
         dealt = [F.expr(k) for k in keys] if keys else None
-        part = self.store.write(name, zset.consolidated(delta), dealt, self.buckets)
-        read = self.store.read([part], delta.schema)
-        n, negative = read.agg(F.count("*"), F.count_if(F.col(WEIGHT) < 0)).first()
+        found = self.local(zset.consolidated(delta))
+        if found is not None:
+            own, table = found
+            n, negative = table.num_rows, sum(w < 0 for w in table.column(WEIGHT).to_pylist())
+            part = self.save(name, own, dealt, True) if n else None
+            memory = Memory(self.store, before, part, delta, n, negative, self.touched(own, dealt) if n else [], own.coalesce(1))
+        else:
+            part = self.save(name, zset.consolidated(delta), dealt, False)
+            read = self.store.read([part], delta.schema)
+            n, negative = read.agg(F.count("*"), F.count_if(F.col(WEIGHT) < 0)).first()
+            memory = Memory(self.store, before, part if n else None, delta, n, negative)
         self.rows[name] = n
         if n:
             self.tables[name] = [*before, part]
         elif name not in self.tables:
             self.tables[name] = []
-        memory = Memory(self.store, before, part if n else None, delta, n, negative)
         return memory if n or self.first else None
 
 
@@ -60,10 +121,11 @@ class Memory:
     n: int
     negative: int = 0
     _touched: list[int] | None = None
+    own: DataFrame | None = None
 
     @property
     def delta(self) -> DataFrame:
-        return self.store.read([self.part] if self.part else [], self.like.schema)
+        return self.own if self.own is not None else self.store.read([self.part] if self.part else [], self.like.schema)
 
     def touched(self) -> list[int]:
         """Buckets that the change has rows in, by the names of its folders."""
@@ -75,6 +137,9 @@ class Memory:
         return self.store.read(self.before, self.like.schema, only)
 
     def new(self, only: list[int] | None = None) -> DataFrame:
+        if self.own is not None:  # its part may still be being written
+            old = self.old(only)
+            return self.own if not self.before else old.unionByName(self.own)
         return self.store.read([*self.before, *([self.part] if self.part else [])], self.like.schema, only)
 
 
@@ -93,15 +158,21 @@ def _restricted(df: DataFrame, expressions: list[str], keys: DataFrame) -> DataF
     return own.join(keys, on, "left_semi").select(*df.columns)
 
 
-def _recomputed(stage: Stage, memory: Memory, expressions: list[str], first: bool) -> DataFrame:
+def _before_and_after(epoch: Epoch, memory: Memory, expressions: list[str], keys: DataFrame | None, only: list[int] | None) -> tuple[DataFrame | None, DataFrame]:
+    """What the change can have affected of a table of state, before (None on a first fill) and after it, as weighted bags."""
+    part = lambda df: _restricted(df, expressions, keys) if keys is not None else df
+    if epoch.first:
+        return None, zset.consolidated(part(memory.new(only)))
+    old = epoch.few(part(memory.old(only)))
+    return zset.consolidated(old), zset.consolidated(old.unionByName(part(memory.delta)))
+
+
+def _recomputed(stage: Stage, epoch: Epoch, memory: Memory, expressions: list[str]) -> DataFrame:
     """The difference of the stage over the affected rows, after and before."""
     keys = _keys(expressions, memory.delta) if expressions else None
-    only = memory.touched() if expressions else None
-    part = lambda df: zset.expanded(zset.consolidated(_restricted(df, expressions, keys)))
-    new = zset.weighted(operators.apply(stage, part(memory.new(only))))
-    if first:
-        return new
-    return zset.difference(new, zset.weighted(operators.apply(stage, part(memory.old(only)))))
+    old, new = _before_and_after(epoch, memory, expressions, keys, memory.touched() if expressions else None)
+    made = zset.weighted(operators.apply(stage, zset.expanded(new)))
+    return made if old is None else zset.difference(made, zset.weighted(operators.apply(stage, zset.expanded(old))))
 
 
 def changed(stage: Stage, epoch: Epoch, at: str = "s") -> DataFrame | None:
@@ -139,7 +210,7 @@ def changed(stage: Stage, epoch: Epoch, at: str = "s") -> DataFrame | None:
         return None
     if isinstance(stage, TopN) and stage.limit:
         return _top(stage, epoch, at, memory)
-    return _recomputed(stage, memory, keys, epoch.first)
+    return _recomputed(stage, epoch, memory, keys)
 
 
 def _top(stage: TopN, epoch: Epoch, at: str, memory: Memory) -> DataFrame:
@@ -147,17 +218,18 @@ def _top(stage: TopN, epoch: Epoch, at: str, memory: Memory) -> DataFrame:
     and the inserted rows."""
     name, whole = f"{at}_head", replace(stage, limit=stage.offset + stage.limit, offset=0)
     store, schema = epoch.store, memory.like.schema
-    old = store.read(epoch.tables.get(name, []), schema)
+    old = epoch.few(store.read(epoch.tables.get(name, []), schema))
     rows = memory.new()
     if not epoch.first:
         every = [f"`{s}`" for s in zset.columns(memory.like)]
         gone = memory.delta.where(F.col(WEIGHT) < 0)
         if not memory.negative or _restricted(old, every, _keys(every, gone)).isEmpty():
             rows = zset.added(old, memory.delta.where(F.col(WEIGHT) > 0))
-    head = operators.apply(whole, zset.expanded(zset.consolidated(rows)))
-    epoch.tables[name] = [store.write(name, zset.consolidated(zset.weighted(head)), None, 1)]
+    head = zset.consolidated(zset.weighted(operators.apply(whole, zset.expanded(zset.consolidated(rows)))))
+    found = epoch.local(head)
+    epoch.tables[name] = [epoch.save(name, found[0] if found else head, None, found is not None, 1)]
     out = lambda df: zset.weighted(operators.apply(stage, zset.expanded(df)))
-    new = out(store.read(epoch.tables[name], schema))
+    new = out(found[0].coalesce(1) if found else store.read(epoch.tables[name], schema))
     return new if epoch.first else zset.difference(new, out(old))
 
 
@@ -193,22 +265,30 @@ def _added_up(stage: Aggregate, epoch: Epoch, at: str, delta: DataFrame, r: Rend
     own = [F.col(f"`{g}`") for g in groups]
     change = (grouped.groupBy(*own).agg(*total) if own else grouped.agg(*total)).na.fill(0, [f"__c{i}" for i in range(len(sums))] + ["__n"])
     before = list(epoch.tables.get(at, []))
-    part = epoch.store.write(at, change, own, epoch.buckets) | {"groups": len(groups)}
-    epoch.tables[at] = [*before, part]
     schema = change.schema
-    change = epoch.store.read([part], schema)
-    epoch.rows[at] = change.count()
-    if not epoch.rows[at]:
-        return None
+    found = epoch.local(change)
+    if found is not None:
+        change, epoch.rows[at] = found[0].coalesce(1), found[1].num_rows
+        if not epoch.rows[at]:
+            return None
+        only = epoch.touched(found[0], own)
+        part = epoch.save(at, found[0], own, True) | {"groups": len(groups)}
+    else:
+        part = epoch.save(at, change, own, False) | {"groups": len(groups)}
+        change = epoch.store.read([part], schema)
+        epoch.rows[at] = change.count()
+        if not epoch.rows[at]:
+            return None
+        only = epoch.store.buckets(part)
+    epoch.tables[at] = [*before, part]
     rest = [c for c in schema.names if c not in groups]
 
     def summed(df: DataFrame) -> DataFrame:
         added = [F.sum(c).cast(schema[c].dataType).alias(c) for c in rest]
         return df.groupBy(*own).agg(*added) if own else df.agg(*added)
 
-    only = epoch.store.buckets(part)
     expressions = [f"`{g}`" for g in groups]
-    old = _restricted(epoch.store.read(before, schema, only), expressions, _keys(expressions, change))
+    old = epoch.few(_restricted(epoch.store.read(before, schema, only), expressions, _keys(expressions, change)))
     like = operators.apply(stage, delta.drop(WEIGHT).limit(0)).schema
 
     def rows(df: DataFrame) -> DataFrame:
@@ -298,11 +378,11 @@ def _join(stage: Join, epoch: Epoch, at: str, left: DataFrame | None, right: Dat
     whole = not lk
     only = None if whole else sorted({*l.touched(), *r.touched()})
     keys = None if whole else _keys(lk, l.delta).unionByName(_keys(rk, r.delta)).distinct()
-    part = lambda df, e: _checked(zset.consolidated(df if whole else _restricted(df, e, keys)))
-    new = _joined(stage, part(l.new(only), lk), part(r.new(only), rk))
+    sides = [_before_and_after(epoch, m, e, keys, only) for m, e in ((l, lk), (r, rk))]
+    new = _joined(stage, *(_checked(after) for _, after in sides))
     if epoch.first:
         return new
-    return zset.difference(new, _joined(stage, part(l.old(only), lk), part(r.old(only), rk)))
+    return zset.difference(new, _joined(stage, *(_checked(before) for before, _ in sides)))
 
 
 def _set_operation(stage: SetOperation, epoch: Epoch, at: str, left: DataFrame | None, right: DataFrame | None) -> DataFrame | None:
@@ -321,8 +401,8 @@ def _set_operation(stage: SetOperation, epoch: Epoch, at: str, left: DataFrame |
     l, r = memories  # noqa: E741
     keys = _keys(expressions, l.delta.unionByName(r.delta))
     only = sorted({*l.touched(), *r.touched()})
-    part = lambda df: zset.expanded(zset.consolidated(_restricted(df, expressions, keys)))
-    new = zset.weighted(operators.apply(stage, part(l.new(only)), part(r.new(only))))
+    sides = [_before_and_after(epoch, m, expressions, keys, only) for m in (l, r)]
+    new = zset.weighted(operators.apply(stage, *(zset.expanded(after) for _, after in sides)))
     if epoch.first:
         return new
-    return zset.difference(new, zset.weighted(operators.apply(stage, part(l.old(only)), part(r.old(only)))))
+    return zset.difference(new, zset.weighted(operators.apply(stage, *(zset.expanded(before) for before, _ in sides))))

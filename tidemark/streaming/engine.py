@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import re
 import time
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +18,11 @@ from ..operators.linear import WEIGHT
 from ..plans.lowering import lower
 from ..plans.model import Plan, stages
 from ..plans.parser import SqlError
-from ..sources.changelog import PLACE, TRANSACTIONS, ChangeLog, Transaction
+from ..sources import files
+from ..sources.changelog import RECORD, ChangeLog, Transaction, number
 from . import zset
-from .delta import Epoch, changed
-from .store import Store
-
-
-RESERVED = {*PLACE, "txn"}
+from .delta import Epoch, _keys, _restricted, changed
+from .store import BUCKET, Store
 
 
 class EngineError(RuntimeError):
@@ -32,13 +31,31 @@ class EngineError(RuntimeError):
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """buckets: folders a table of state is dealt into. files_per_epoch: ended transactions that one epoch takes at most.
-    compact_after: parts from which on a table is rewritten as one. keep_versions: manifests kept for readers."""
+    """buckets: folders a table of state is dealt into. files_per_epoch, bytes_per_epoch: ended transactions, and bytes of their changes, that one epoch of a result
+    takes at most (one transaction at least). small_rows: changes up to this size are held by the driver during an epoch. compact_after: parts from which on a table is
+    rewritten as one. keep_versions: manifests kept for readers. workers: results that are brought forward at the same time. retry_after: epochs that a
+    failed result rests at first; twice as many after each further failure. history: epochs that ``snapshot`` remembers. stall_seconds: age of a pending transaction that is an alert."""
 
     buckets: int = 8
     files_per_epoch: int = 64
+    bytes_per_epoch: int = 1 << 30
+    small_rows: int = 10_000
     compact_after: int = 8
     keep_versions: int = 2
+    workers: int = 4
+    retry_after: int = 1
+    history: int = 48
+    stall_seconds: float = 300.0
+
+
+@dataclass
+class Failure:
+    """A result that could not be brought forward: it stays as it was, the others go on."""
+
+    error: str
+    since: float
+    times: int = 1
+    rest: int = 0
 
 
 class Engine:
@@ -49,10 +66,13 @@ class Engine:
         self.log = ChangeLog(spark, f"{self.root}/log")
         self.log.prepare()
         self._plans: dict[str, Plan] = {}
+        self._failures: dict[str, Failure] = {}
+        self._history: list[dict] = []
         self.active = False
         #: Called with ("before" | "after", result) around an epoch's commit point; tests raise here.
         self.at_commit: Callable[[str, str], None] = lambda when, result: None
         self._epochs = self._errors = 0
+        self._seconds = 0.0
         self._last_error: str | None = None
 
     # Sources.
@@ -64,52 +84,73 @@ class Engine:
         if isinstance(table, str):
             path, schema = table, self.spark.read.parquet(table).schema
         else:
-            path, schema = f"{self.root}/base/{name}", table.schema
+            path, schema = f"{self.root}/base/{name}-{uuid.uuid4().hex}", table.schema
             if table.isStreaming:
                 raise EngineError("a source is a table, not a stream")
         if not schema.names:
             raise EngineError(f"source {name} has no columns")
         if any(isinstance(f.dataType, T.MapType) for f in schema):
             raise EngineError("map columns cannot be compared and are not supported in sources")
-        if len({n.lower() for n in schema.names}) != len(schema.names) or any(n.startswith("__") or n.lower() in RESERVED for n in schema.names):
-            raise EngineError("source columns need distinct names that don't begin with __ and aren't the log's own")
+        if len({n.lower() for n in schema.names}) != len(schema.names) or any(n.startswith("__") for n in schema.names):
+            raise EngineError("source columns need distinct names that don't begin with __")
         if not isinstance(table, str):
             table.write.parquet(path)
-        self._write_json(f"sources/{name}.json", {"path": path, "schema": schema.jsonValue()})
+        self._source(name).publish({"number": 0, "path": path, "schema": schema.jsonValue(), "lsn": self.log.latest(), "tables": {}})
+
+    def _source(self, name: str) -> Store:
+        return Store(self.spark, f"{self.root}/sources/{name}")
 
     def sources(self) -> dict[str, dict]:
-        return {n: self._read_json(f"sources/{n}.json") for n in self._names("sources")}
+        return {n: m for n in self._names("sources") if (m := self._source(n).manifest()) is not None}
 
     def drop_source(self, name: str) -> None:
         readers = [r for r in self.results() if name in self.plan(r).sources]
         if readers:
             raise EngineError(f"source {name} is read by {', '.join(readers)}")
-        self._delete(f"sources/{name}.json")
+        self._source(name).delete()
+
+    def _info(self, source: str) -> dict:
+        info = self._source(source).manifest()
+        if info is None:
+            raise EngineError(f"source {source} does not exist")
+        return info
 
     def schema(self, source: str) -> T.StructType:
-        return T.StructType.fromJson(self.sources()[source]["schema"])
+        return T.StructType.fromJson(self._info(source)["schema"])
 
     def table(self, source: str, lsn: int | None = None) -> DataFrame:
         """A source's rows with all changes committed up to lsn."""
-        info = self.sources()[source]
+        info = self._info(source)
         schema = T.StructType.fromJson(info["schema"])
         base = zset.weighted(self.spark.read.schema(schema).parquet(info["path"]))
-        done = self._committed(self.log.transactions(), lsn)
-        delta = self.log.changes(source, schema, [(t, a) for t, a, _ in done])
+        delta = self.log.changes(source, schema, self.log.records(info["lsn"], self.log.latest() if lsn is None else lsn))
         return base.drop(WEIGHT) if delta is None else zset.expanded(zset.consolidated(zset.added(base, delta)))
 
+    def _check_files(self, source: str) -> None:
+        """The registered files still have the registered columns and types."""
+        info = self._info(source)
+        found, known = self.spark.read.parquet(info["path"]).schema, T.StructType.fromJson(info["schema"])
+        kinds = lambda schema: {f.name: f.dataType.simpleString() for f in schema}
+        if kinds(found) != kinds(known):
+            raise EngineError(f"the files of source {source} have other columns than when it was registered")
+
     def begin(self) -> Transaction:
-        return self.log.begin()
-
-    @staticmethod
-    def _committed(transactions: DataFrame, lsn: int | None = None, after: int | None = None) -> list[tuple[int, list[int], int]]:
-        rows = transactions.where("status = 'committed'")
-        if lsn is not None:
-            rows = rows.where(F.col("commit_lsn") <= lsn)
-        if after is not None:
-            rows = rows.where(F.col("commit_lsn") > after)
-        found = rows.dropDuplicates(["txn_id"]).orderBy("commit_lsn").collect()
-        return [(r.txn_id, r.aborted_subxids or [], r.commit_lsn) for r in found]
+        return Transaction(self.log, self.schema)
+
+    def vacuum(self) -> int:
+        """Writes what all results have applied into new copies of the sources and deletes it from the log; returns how many transactions were forgotten."""
+        low = min([self._manifest(r)["lsn"] for r in self.results()], default=self.log.latest())
+        for name, info in self.sources().items():
+            records = self.log.records(info["lsn"], low)
+            if not any(t == name for _, r in records for t, _ in r["writes"]):
+                self._source(name).publish(info | {"number": info["number"] + 1, "lsn": max(low, info["lsn"])})
+                continue
+            path = f"{self.root}/base/{name}-{uuid.uuid4().hex}"
+            self.table(name, low).write.parquet(path)
+            self._source(name).publish(info | {"number": info["number"] + 1, "path": path, "lsn": low, "before": info["path"]})
+            if (old := info.get("before", "")).startswith(f"{self.root}/base/"):  # readers of the last copy may still be at work
+                files.delete(self.spark, old)
+        return self.log.forget(low)
 
     # Results.
     def create(self, name: str, sql: str) -> None:
@@ -119,7 +160,9 @@ class Engine:
             raise EngineError(f"{name} exists")
         plan = self._lower(sql)
         self.check(plan)
-        lsn = max([0, *(x for *_, x in self._committed(self.log.transactions()))])
+        for s in plan.sources:
+            self._check_files(s)
+        lsn = self.log.latest()
         store = self._store(name)
         manifest = {"number": 0, "lsn": lsn, "sql": sql, "names": list(plan.names), "tables": {}, "rows": {}, "seconds": 0.0}
         deltas = {s: zset.weighted(self.table(s, lsn)) for s in plan.sources}
@@ -186,6 +229,7 @@ class Engine:
             raise EngineError(f"result {name} does not exist")
         self._store(name).delete()
         self._plans.pop(name, None)
+        self._failures.pop(name, None)
 
     def results(self) -> list[str]:
         return self._names("results")
@@ -216,22 +260,26 @@ class Engine:
         self.active = False
 
     def run_available(self) -> int:
-        """Applies all transactions that have ended; returns how many epochs that took. After a failure the next call goes on with the epoch that failed."""
+        """Applies all transactions that have ended to all results; returns how many epochs that took. A result that fails stays as it was, is named in the error
+        raised once the others are done, and is tried again by the next call."""
         if not self.active:
             raise EngineError("the engine is not started")
         before = self._epochs
+        for f in self._failures.values():
+            f.rest = 0
+        tried = {n: f.times for n, f in self._failures.items()}
         query = self._writer().trigger(availableNow=True).start()
-        try:
-            query.awaitTermination()
-        except Exception as e:
-            self._errors += 1
-            self._last_error = str(e).splitlines()[0][:200]
-            raise
+        query.awaitTermination()
+        self._advance(self.log.latest())  # results that were left behind without anything new in the log
+        failed = {n: f for n, f in self._failures.items() if f.times > tried.get(n, 0)}
+        if failed:
+            raise EngineError("; ".join(f"{n}: {f.error}" for n, f in sorted(failed.items())))
         return self._epochs - before
 
     def _writer(self):
-        stream = self.spark.readStream.schema(TRANSACTIONS).option("maxFilesPerTrigger", self.config.files_per_epoch).parquet(self.log.transactions_path)
-        return stream.writeStream.foreachBatch(self._epoch).option("checkpointLocation", f"{self.root}/checkpoint")
+        stream = self.spark.readStream.schema(RECORD).option("maxFilesPerTrigger", self.config.files_per_epoch).option("ignoreMissingFiles", "true").json(self.log.transactions_path)
+        named = stream.select(F.col("_metadata.file_name").alias("name"))
+        return named.writeStream.foreachBatch(self._epoch).option("checkpointLocation", f"{self.root}/checkpoint")
 
     def run_continuously(self, interval: str = "0 seconds"):
         """A running StreamingQuery that applies transactions as they end; stop() it before run_available is used again."""
@@ -248,56 +296,85 @@ class Engine:
             time.sleep(0.01)
 
     def _epoch(self, ended: DataFrame, _: int) -> None:
-        committed = self._committed(ended)
-        for name in self.results():
+        """What the stream has seen says how far to go; what to apply follows from each result's own number, so neither a late file nor a repeated batch matters."""
+        newest = ended.agg(F.max("name")).first()[0]
+        for f in self._failures.values():
+            f.rest -= 1
+        if newest is not None:
+            self._advance(number(newest))
+
+    def _advance(self, upto: int) -> None:
+        """Brings all results forward to a transaction, in turns of one epoch each, several at a time."""
+        began, waiting = time.time(), [n for n in self.results() if n not in self._failures or self._failures[n].rest <= 0]
+        worked = 0
+        with ThreadPoolExecutor(max(1, self.config.workers)) as pool:
+            while waiting:
+                found = list(pool.map(lambda n: self._step(n, upto), waiting))
+                worked += sum(x != "done" for x in found)
+                waiting = [n for n, x in zip(waiting, found) if x == "more"]
+        if worked:
+            self._epochs += 1
+            self._seconds += time.time() - began
+            self._history = [*self._history, {"at": began, "seconds": round(time.time() - began, 3), "upto": upto, "steps": worked, "failed": sorted(self._failures)}][-self.config.history :]
+
+    def _step(self, name: str, upto: int) -> str:
+        """One epoch of a result: whether there is "more" to apply, it is "last", there was nothing ("done") or it "failed"."""
+        try:
             store, m = self._store(name), self._manifest(name)
-            new = [(t, a, x) for t, a, x in committed if x > m["lsn"]]  # the rest was in the snapshot, or applied before a restart
-            if not new:
-                continue
-            plan = self.plan(name)
-            deltas = {}
+            if m["lsn"] >= upto:
+                return "done"
+            new = self.log.records(m["lsn"], upto, self.config.files_per_epoch, self.config.bytes_per_epoch)
+            plan, deltas = self.plan(name), {}
             for s in plan.sources:
-                d = self.log.changes(s, self.schema(s), [(t, a) for t, a, _ in new])
+                d = self.log.changes(s, self.schema(s), new)
                 if d is not None:
                     deltas[s] = d
-            self._apply(name, plan, store, m | {"number": m["number"] + 1}, deltas, max(x for *_, x in new), False)
-        self._epochs += 1
+            self._apply(name, plan, store, m | {"number": m["number"] + 1}, deltas, new[-1][0], False)
+            self._failures.pop(name, None)
+            return "more" if new[-1][0] < upto else "last"
+        except Exception as e:
+            known = self._failures.get(name)
+            times = known.times + 1 if known else 1
+            said = str(e).strip().splitlines() or [type(e).__name__]
+            error = next((x for x in said if "below zero" in x), said[0])[:300]
+            self._failures[name] = Failure(error, known.since if known else time.time(), times, self.config.retry_after * 2 ** min(times - 1, 10))
+            self._errors += 1
+            self._last_error = f"{name}: {error}"
+            return "failed"
 
     def _apply(self, name: str, plan: Plan, store: Store, manifest: dict, deltas: dict[str, DataFrame], lsn: int, first: bool) -> None:
         began = time.time()
-        epoch = Epoch(store, {k: list(v) for k, v in manifest["tables"].items()}, deltas, first, self.config.buckets)
-        delta = changed(plan.top, epoch)
-        if delta is not None:
-            delta = delta.select(*plan.top.outputs, WEIGHT)
-            keys = [f"`{s}`" for s in plan.top.outputs]
-            memory = epoch.remember("result", delta, keys)
-            manifest["schema"] = delta.schema.jsonValue()
-            for index, columns in manifest.get("indexes", {}).items():
-                slots = dict(zip(plan.names, plan.top.outputs))
-                epoch.remember(f"index_{index}", memory.delta if memory else delta, [f"`{slots[c]}`" for c in columns])
-            if memory and memory.negative:
-                self._check_result(memory, keys)
+        with Epoch(store, {k: list(v) for k, v in manifest["tables"].items()}, deltas, first, self.config.buckets, self.config.small_rows) as epoch:
+            delta = changed(plan.top, epoch)
+            if delta is not None:
+                delta = delta.select(*plan.top.outputs, WEIGHT)
+                keys = [f"`{s}`" for s in plan.top.outputs]
+                memory = epoch.remember("result", delta, keys)
+                manifest["schema"] = delta.schema.jsonValue()
+                for index, columns in manifest.get("indexes", {}).items():
+                    slots = dict(zip(plan.names, plan.top.outputs))
+                    if memory:
+                        epoch.remember(f"index_{index}", memory.delta, [f"`{slots[c]}`" for c in columns])
+                if memory and memory.negative:
+                    self._check_result(memory, keys)
         for table, parts in list(epoch.tables.items()):
             if len(parts) >= self.config.compact_after:
                 epoch.tables[table] = [self._compacted(store, table, parts)]
         epoch.tables.setdefault("result", [])
-        manifest |= {"tables": epoch.tables, "lsn": lsn, "rows": epoch.rows, "seconds": round(time.time() - began, 3), "updated_at": time.time()}
+        now = time.time()
+        manifest |= {"tables": epoch.tables, "lsn": lsn, "rows": epoch.rows, "seconds": round(now - began, 3), "updated_at": now, "total_seconds": round(manifest.get("total_seconds", 0.0) + now - began, 3)}
         self.at_commit("before", name)
         store.publish(manifest)
         self.at_commit("after", name)
         store.collect_garbage(manifest, self.config.keep_versions)
 
     def _check_result(self, memory, keys: list[str]) -> None:
-        from .delta import _keys, _restricted
-
         now = zset.consolidated(_restricted(memory.new(memory.touched()), keys, _keys(keys, memory.delta)))
         if not now.where(F.col(WEIGHT) < 0).isEmpty():
             raise EngineError("a result row's multiplicity fell below zero")
 
     def _compacted(self, store: Store, table: str, parts: list[dict]) -> dict:
         """One part with the same rows; buckets stay as they are."""
-        from .store import BUCKET
-
         schema = T.StructType([f for f in T.StructType.fromJson(parts[0]["schema"]) if f.name != BUCKET])
         whole = None
         for p in parts:
@@ -309,17 +386,20 @@ class Engine:
         else:
             own = [f"`{c}`" for c in whole.columns if c != WEIGHT]
             total = whole.groupBy(*own).agg(F.sum(WEIGHT).cast("long").alias(WEIGHT)).where(F.col(WEIGHT) != 0)
-        import uuid
-
         folder = f"{table}/{uuid.uuid4().hex}"
         total.select(*schema.names, BUCKET).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{store.path}/{folder}")
         return parts[0] | {"folder": folder, "schema": schema.jsonValue()}
 
-    # Introspection.
+    # Introspection. All of it reads manifests and the records of the log, none of the data.
     def progress(self, name: str) -> dict:
         m = self._manifest(name)
-        pending = self._committed(self.log.transactions(), after=m["lsn"])
-        return {"result": name, "epoch": m["number"], "applied_lsn": m["lsn"], "pending_transactions": len(pending), "updated_at": m["updated_at"]}
+        waiting = [r for _, r in self.log.records(m["lsn"], self.log.latest()) if r["status"] == "committed"]
+        failure = self._failures.get(name)
+        return {
+            "result": name, "epoch": m["number"], "applied_lsn": m["lsn"], "latest_lsn": self.log.latest(), "pending_transactions": len(waiting), "pending_bytes": sum(r["bytes"] for r in waiting),
+            "oldest_pending_seconds": round(time.time() - min(r["ended_at"] for r in waiting), 3) if waiting else 0.0, "updated_at": m["updated_at"],
+            "state": "failed" if failure else "behind" if waiting else "current", "error": failure.error if failure else None,
+        }
 
     def explain(self, name: str) -> dict:
         """The plan's stages, inputs first, with what each remembers."""
@@ -336,31 +416,66 @@ class Engine:
         listed.append({"stage": "sink", "operator": "Sink", "outputs": list(plan.names), "inputs": ["s"], "state_parts": {"result": len(m["tables"]["result"])}})
         return {"result": name, "sql": m["sql"], "sources": list(plan.sources), "stages": listed}
 
+    def _log_records(self) -> list[dict]:
+        return [self.log.record(n) for n in self.log.numbers()]
+
     def runtime_status(self) -> DataFrame:
-        row = (self.active, __version__, len(self.results()), len(self.sources()), self._epochs, self._errors, self._last_error)
-        return self.spark.createDataFrame([row], "active boolean, version string, results int, sources int, epochs int, errors int, last_error string")
+        """One row on the health of the whole engine."""
+        found, records = [self.progress(n) for n in self.results()], self._log_records()
+        manifests = [self._manifest(n) for n in self.results()]
+        last = self._history[-1] if self._history else {}
+        values: list[tuple[str, str, object]] = [
+            ("active", "boolean", self.active), ("version", "string", __version__), ("results", "int", len(found)), ("sources", "int", len(self.sources())),
+            ("results_current", "int", sum(p["state"] == "current" for p in found)), ("results_behind", "int", sum(p["state"] == "behind" for p in found)),
+            ("results_failed", "int", sum(p["state"] == "failed" for p in found)), ("healthy", "boolean", not self._failures), ("epochs", "int", self._epochs), ("errors", "int", self._errors),
+            ("last_error", "string", self._last_error), ("latest_lsn", "long", self.log.latest()), ("least_applied_lsn", "long", min((p["applied_lsn"] for p in found), default=None)),
+            ("lag", "long", max((p["latest_lsn"] - p["applied_lsn"] for p in found), default=0)), ("pending_transactions", "long", max((p["pending_transactions"] for p in found), default=0)),
+            ("pending_bytes", "long", max((p["pending_bytes"] for p in found), default=0)), ("oldest_pending_seconds", "double", max((p["oldest_pending_seconds"] for p in found), default=0.0)),
+            ("log_transactions", "int", len(records)), ("log_committed", "int", sum(r["status"] == "committed" for r in records)), ("log_aborted", "int", sum(r["status"] == "aborted" for r in records)),
+            ("log_bytes", "long", sum(r["bytes"] for r in records)), ("state_tables", "int", sum(len(m["tables"]) for m in manifests)), ("state_parts", "int", sum(len(v) for m in manifests for v in m["tables"].values())),
+            ("epoch_seconds", "double", round(self._seconds, 3)), ("last_epoch_seconds", "double", last.get("seconds")), ("last_epoch_at", "double", last.get("at")),
+            ("buckets", "int", self.config.buckets), ("files_per_epoch", "int", self.config.files_per_epoch), ("bytes_per_epoch", "long", self.config.bytes_per_epoch),
+            ("small_rows", "int", self.config.small_rows), ("workers", "int", self.config.workers), ("root", "string", self.root),
+        ]
+        return self.spark.createDataFrame([tuple(v for *_, v in values)], ", ".join(f"{n} {kind}" for n, kind, _ in values))
 
     def dataflow_status(self) -> DataFrame:
+        """A row per result: how far it is, what waits for it, and what it keeps."""
         rows = []
         for n in self.results():
-            m, p = self._manifest(n), self.progress(n)
-            rows.append((n, p["epoch"], p["applied_lsn"], p["pending_transactions"], len(stages(self.plan(n).top)) + 1, sum(map(len, m["tables"].values())), m["seconds"]))
-        return self.spark.createDataFrame(rows, "result string, epoch int, applied_lsn long, pending_transactions int, stages int, parts int, last_seconds double")
+            m, p, f = self._manifest(n), self.progress(n), self._failures.get(n)
+            rows.append((
+                n, p["state"], p["epoch"], p["applied_lsn"], p["latest_lsn"] - p["applied_lsn"], p["pending_transactions"], p["pending_bytes"], p["oldest_pending_seconds"], len(stages(self.plan(n).top)) + 1,
+                len(m["tables"]), sum(map(len, m["tables"].values())), m["rows"].get("result", 0), m["seconds"], m.get("total_seconds", 0.0), f.times if f else 0, max(0, f.rest) if f else 0, p["error"], float(m["updated_at"]),
+            ))
+        return self.spark.createDataFrame(rows, "result string, state string, epoch int, applied_lsn long, lag long, pending_transactions int, pending_bytes long, oldest_pending_seconds double, stages int, state_tables int, parts int, last_changed_rows long, last_seconds double, total_seconds double, failures int, epochs_until_retry int, error string, updated_at double")
 
     def runtime_metrics(self) -> DataFrame:
-        ended = self.log.transactions()
+        status = self.runtime_status().first().asDict()
+        manifests = [self._manifest(n) for n in self.results()]
         rows = [
-            ("epochs", float(self._epochs)), ("errors", float(self._errors)), ("results", float(len(self.results()))), ("sources", float(len(self.sources()))),
-            ("transactions_committed", float(ended.where("status = 'committed'").count())), ("transactions_aborted", float(ended.where("status = 'aborted'").count())),
-            ("changed_rows", float(sum(self._manifest(n)["rows"].get("result", 0) for n in self.results()))),
-            ("pending_transactions", float(sum(self.progress(n)["pending_transactions"] for n in self.results()))),
+            *((k, float(status[k])) for k in ("epochs", "errors", "results", "sources", "results_failed", "results_behind", "pending_transactions", "pending_bytes", "log_bytes", "state_parts", "epoch_seconds")),
+            ("transactions_committed", float(status["log_committed"])), ("transactions_aborted", float(status["log_aborted"])),
+            ("changed_rows", float(sum(m["rows"].get("result", 0) for m in manifests))),
         ]
         return self.spark.createDataFrame(rows, "name string, value double")
 
+    def alerts(self) -> list[dict]:
+        """What needs attention: failed results, and transactions that have waited too long."""
+        found = [{"level": "error", "result": n, "text": f"failed {f.times} times: {f.error}", "since": f.since} for n, f in sorted(self._failures.items())]
+        for n in self.results():
+            p = self.progress(n)
+            if p["oldest_pending_seconds"] > self.config.stall_seconds:
+                found.append({"level": "warning", "result": n, "text": f"a transaction waits for {p['oldest_pending_seconds']:.0f} s", "since": time.time() - p["oldest_pending_seconds"]})
+        return found
+
     def snapshot(self) -> dict:
         """What a dashboard shows."""
         rows = lambda df: [r.asDict() for r in df.collect()]
-        return {"runtime": rows(self.runtime_status())[0], "dataflows": rows(self.dataflow_status()), "metrics": rows(self.runtime_metrics()), "dags": [self.explain(n) for n in self.results()], "config": asdict(self.config)}
+        return {
+            "runtime": rows(self.runtime_status())[0], "dataflows": rows(self.dataflow_status()), "metrics": rows(self.runtime_metrics()), "dags": [self.explain(n) for n in self.results()],
+            "alerts": self.alerts(), "history": list(self._history), "config": asdict(self.config),
+        }
 
     # Files.
     def _lower(self, sql: str) -> Plan:
@@ -379,33 +494,5 @@ class Engine:
             raise EngineError(f"result {name} does not exist")
         return m
 
-    def _hadoop(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
     def _names(self, folder: str) -> list[str]:
-        fs, p = self._hadoop(folder)
-        found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        if folder == "results":
-            return sorted(n for n in found if self._store(n).manifest() is not None)
-        return sorted(n[:-5] for n in found if n.endswith(".json") and not n.startswith("."))
-
-    def _write_json(self, path: str, value: dict) -> None:
-        fs, p = self._hadoop(path)
-        out = fs.create(p, False)
-        out.write(bytearray(json.dumps(value).encode()))
-        out.close()
-
-    def _read_json(self, path: str) -> dict:
-        fs, p = self._hadoop(path)
-        stream = fs.open(p)
-        try:
-            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-        finally:
-            stream.close()
-
-    def _delete(self, path: str) -> None:
-        fs, p = self._hadoop(path)
-        fs.delete(p, True)
-
-
+        return [n for n in files.names(self.spark, f"{self.root}/{folder}") if Store(self.spark, f"{self.root}/{folder}/{n}").manifest() is not None]

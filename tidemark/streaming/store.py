@@ -1,20 +1,20 @@
 """Versioned weighted tables under one folder, published by one manifest.
 
 A table is a list of folders of Parquet files whose rows add up. An epoch writes new folders and then a manifest that names all folders that count; a
-reader takes the manifest with the largest number. A manifest is written under another name and renamed, which on a shared store either happens or
+reader takes the manifest with the largest number. A manifest's number is claimed in one atomic step (``sources.files``), which either happens or
 doesn't, so an epoch that dies before leaves nothing that is read, and one that is run again after it finds it done. Rows of a table are
 dealt into ``buckets`` folders by the hash of its key, so that reading what belongs to a few keys opens few files.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import files
 
 BUCKET = "__bucket"
 
@@ -22,50 +22,49 @@ BUCKET = "__bucket"
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._fs = None
 
-    def _hadoop(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    def _numbers(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in files.names(self.spark, f"{self.path}/manifests") if n.endswith(".json") and n[0].isdigit())
 
     def manifest(self) -> dict | None:
-        fs, p = self._hadoop(f"{self.path}/manifests")
-        if not fs.exists(p):
-            return None
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        numbers = [int(n[:-5]) for n in names if n.endswith(".json")]
-        if not numbers:
-            return None
-        fs, p = self._hadoop(f"{self.path}/manifests/{max(numbers)}.json")
-        stream = fs.open(p)
-        try:
-            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-        finally:
-            stream.close()
+        while numbers := self._numbers():
+            try:
+                return files.read_json(self.spark, f"{self.path}/manifests/{numbers[-1]}.json")
+            except Exception:
+                if self._numbers()[-1:] == numbers[-1:]:  # else it was superseded and deleted meanwhile
+                    raise
+        return None
 
     def publish(self, manifest: dict) -> None:
         """The commit point of an epoch."""
-        fs, final = self._hadoop(f"{self.path}/manifests/{manifest['number']}.json")
-        _, draft = self._hadoop(f"{self.path}/manifests/.{uuid.uuid4().hex}")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        if not fs.rename(draft, final):
-            fs.delete(draft, False)
+        if not files.claim_json(self.spark, f"{self.path}/manifests", f"{manifest['number']}.json", manifest):
             raise RuntimeError(f"manifest {manifest['number']} exists already")
 
-    def write(self, name: str, df: DataFrame, keys: list | None, buckets: int) -> dict:
-        """A new part of a table; keys: expressions to deal by."""
-        folder = f"{name}/{uuid.uuid4().hex}"
-        dealt = df.withColumn(BUCKET, (F.pmod(F.hash(*keys), F.lit(buckets)) if keys else F.lit(0)).cast("int"))
+    def part(self, name: str, df: DataFrame) -> dict:
+        """The name of a new part of a table, still to be filled."""
+        return {"folder": f"{name}/{uuid.uuid4().hex}", "schema": df.schema.jsonValue()}
+
+    @staticmethod
+    def bucket(keys: list | None, buckets: int):
+        """The bucket of a row; keys: expressions to deal by."""
+        return (F.pmod(F.hash(*keys), F.lit(buckets)) if keys else F.lit(0)).cast("int").alias(BUCKET)
+
+    def fill(self, part: dict, df: DataFrame, keys: list | None, buckets: int, few: bool = False) -> None:
+        """few: df is a local table, which one task writes."""
+        dealt = df.withColumn(BUCKET, self.bucket(keys, buckets))
         # Few files: each bucket together, unless it is large.
-        dealt.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
-        return {"folder": folder, "schema": df.schema.jsonValue()}
+        dealt = dealt.coalesce(1) if few else dealt.hint("rebalance", BUCKET)
+        dealt.write.partitionBy(BUCKET).parquet(f"{self.path}/{part['folder']}")
+
+    def write(self, name: str, df: DataFrame, keys: list | None, buckets: int) -> dict:
+        """A new part of a table, written at once."""
+        part = self.part(name, df)
+        self.fill(part, df, keys, buckets)
+        return part
 
     def buckets(self, part: dict) -> list[int]:
-        fs, p = self._hadoop(f"{self.path}/{part['folder']}")
-        names = (s.getPath().getName() for s in fs.listStatus(p))
-        return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{BUCKET}="))
+        found = files.names(self.spark, f"{self.path}/{part['folder']}")
+        return sorted(int(n.partition("=")[2]) for n in found if n.startswith(f"{BUCKET}="))
 
     def read(self, parts: list[dict], schema: T.StructType, only: list[int] | None = None) -> DataFrame:
         """The parts' rows together, not consolidated; only: buckets to read."""
@@ -81,30 +80,17 @@ class Store:
 
     def collect_garbage(self, manifest: dict, keep: int = 2) -> int:
         """Deletes folders that neither this manifest nor the ones right before name; returns how many."""
-        fs, p = self._hadoop(f"{self.path}/manifests")
-        numbers = sorted(int(s.getPath().getName()[:-5]) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json"))
-        live = set()
-        for n in numbers[-keep:]:
-            _, q = self._hadoop(f"{self.path}/manifests/{n}.json")
-            stream = fs.open(q)
-            m = json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-            stream.close()
-            live |= {x["folder"] for t in m["tables"].values() for x in t}
+        numbers = self._numbers()
+        live = {x["folder"] for n in numbers[-keep:] for t in files.read_json(self.spark, f"{self.path}/manifests/{n}.json")["tables"].values() for x in t}
         gone = 0
         for name in manifest["tables"]:
-            fs, p = self._hadoop(f"{self.path}/{name}")
-            if fs.exists(p):
-                for s in fs.listStatus(p):
-                    if f"{name}/{s.getPath().getName()}" not in live:
-                        fs.delete(s.getPath(), True)
-                        gone += 1
+            for own in files.names(self.spark, f"{self.path}/{name}"):
+                if f"{name}/{own}" not in live:
+                    files.delete(self.spark, f"{self.path}/{name}/{own}")
+                    gone += 1
         for n in numbers[:-keep]:
-            _, q = self._hadoop(f"{self.path}/manifests/{n}.json")
-            fs.delete(q, False)
+            files.delete(self.spark, f"{self.path}/manifests/{n}.json")
         return gone
 
     def delete(self) -> None:
-        fs, p = self._hadoop(self.path)
-        fs.delete(p, True)
-
-
+        files.delete(self.spark, self.path)
