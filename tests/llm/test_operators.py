@@ -19,8 +19,11 @@ from tidemark.llm.text import U64, hash_word, words
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 # Names that operators use inside, and of other columns of documents.
-CLASH = {"score": 1.5, "path": "x", "component": 3, "word": "w", "_score": 2.0, "lang": "en", "source": "s", "n_chars": 7, "token": "t", "leader": 0}
-SCHEMA = "doc_id long, text string, score double, path string, component int, word string, _score double, lang string, source string, n_chars long, token string, leader int"
+CLASH = {"score": 1.5, "path": "x", "component": 3, "word": "w", "_score": 2.0, "lang": "en", "source": "s", "n_chars": 7, "token": "t", "leader": 0, "_id": 1, "id": 2, "_spans": "x", "spans": "y", "_blob": "b", "blob": "c", "key": 5, "_k0": "k", "repeated": True, "a.b": 1}
+SCHEMA = (
+    "doc_id long, text string, score double, path string, component int, word string, _score double, lang string, source string, n_chars long, token string, leader int,"
+    " _id int, id int, _spans string, spans string, _blob string, blob string, key int, _k0 string, repeated boolean, `a.b` int"
+)
 
 
 def prose(seed: int, n: int) -> str:

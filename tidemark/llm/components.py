@@ -25,7 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = storage.keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, edges = edges, storage.keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        storage.discard(last)
         now = edges.agg(*total).first()
         if now == before:
             break

@@ -13,14 +13,16 @@ D = floor((1 - t) / (1 + t) (a + b)) members at most.
    needed, as the chance of so many empty segments is under 1e-9 per document, like that of a clash of 64-bit hashes.)
 2. Of each posting list the smallest key is the leader, and the list becomes links (leader, member): as many rows as members, not as pairs.
    Lists that are long already within one task's documents aren't gathered in a task, but led by an aggregation and a join.
-3. All members of a leader meet in one group, so every pair of every posting list is covered. A group is cut into blocks of bounded
-   size and all pairs of blocks are multiplied: frequent shingles densely, rare ones sparsely. A block returns a spanning forest of its
-   links, not the links.
+3. All members of a leader are one group, so every pair of every posting list is covered. A group is cut into blocks of bounded
+   size, and the leader's set goes to each; every block is multiplied with itself: frequent shingles densely, rare ones sparsely. A block returns a spanning forest of its
+   links, not the links, and, if its group has more blocks, the members that no link of the block connects to the leader. Only these are multiplied with the
+   group's other blocks: all others are one component already. A group of copies so costs rows in proportion to its members.
 4. Connected components of the links, brought back to all documents of the classes.
 
-Shingles and sets are compared by 64-bit hashes. Defined cases: A-Z count as a-z; words are runs of other characters
+Shingles are compared by 64-bit hashes, sets by a 64-bit key (n sets of different texts hold a false match with a chance of n^2 / 2^65). Defined cases: A-Z count as a-z; words are runs of other characters
 than space and U+0009 to U+000D; a document of fewer words than a shingle has its whole sequence as its only one; without words (or text) its set is empty
-and it is linked with nothing; ``join`` keeps repeated rows and ids; a row without a doc_id is linked with nothing; other columns are ignored.
+and it is linked with nothing; ``join`` keeps repeated rows and ids; a row without a doc_id is linked with nothing; other columns are ignored by
+``join`` and kept, whatever their names, by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -43,6 +45,10 @@ LONG = 16
 #: Documents and shingles of a block of the product.
 ROWS = 1024
 MEMBERS = 3_000_000
+#: Postings that a task sorts, about.
+POSTINGS = 16_000_000
+#: Parts that a long posting list is dealt into.
+SALTS = 16
 _DENSE = 16
 _SUM, _SEGMENT, _WEAK = U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3), U64(0x1D8E4E27C47D124F)
 _COLUMNS = 4096
@@ -213,8 +219,9 @@ def _stars(texts: DataFrame, k: int, percent: int, long: int, buckets: int) -> D
     blobs = texts.mapInArrow(post, "bucket int, codes binary, tokens binary, keys binary, runs binary").repartitionById(buckets, "bucket")
     found = storage.keep(blobs.mapInArrow(lists, "token long, leader long, member long"), "lists")
     open_lists = found.where("token is not null").select("token", "member")
-    leaders = open_lists.groupBy("token").agg(F.min("member").alias("leader"))
-    rest = open_lists.join(leaders, "token").select("leader", "member")
+    leaders = open_lists.groupBy("token").agg(F.min("member").alias("leader"), F.max("member").alias("last")).where("leader < last")
+    salted = open_lists.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)))
+    rest = salted.join(leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), ["token", "salt"]).select("leader", "member")
     return found.where("token is null").select("leader", "member").unionByName(rest).distinct()
 
 
@@ -252,14 +259,8 @@ def _product(values: np.ndarray, doc: np.ndarray, n: int, m: int) -> np.ndarray:
     return out
 
 
-def _wide(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(U64)
-
-
-def block_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within a block (side all 0), or between its two sides."""
+def block_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and for each the least place of a key that links of the block connect it to: links within the block (side all 0), or between its two sides."""
     order = np.argsort(side, kind="stable")
     keys, sets = keys[order], [sets[i] for i in order]
     n, m = int((side == 0).sum()), int((side == 1).sum())
@@ -282,17 +283,76 @@ def block_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, perc
         if (new == label).all():
             break
         label = new
+    return keys, label
+
+
+def _forest(keys: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
     moved = np.flatnonzero(label != np.arange(len(keys)))
     return list(zip(keys[moved].tolist(), keys[label[moved]].tolist()))
 
 
-def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: int = LONG, rows: int = ROWS, members: int = MEMBERS, bits: int = sketch.BITS) -> DataFrame:
+def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Keys, sides and sets of a block's members, each once."""
+    keys, side = table["member"].to_numpy(), table["side"].to_numpy().astype(np.int64)
+    _, first = np.unique(np.stack([keys, side]), axis=1, return_index=True)
+    blobs = table["members"].take(pa.array(first)).to_pylist()
+    return keys[first], side[first], [np.frombuffer(b, U64) for b in blobs]
+
+
+def _links(stars: DataFrame, named: DataFrame, sets: DataFrame, percent: int, rows: int, members: int) -> DataFrame:
+    """Links a, b that connect what is connected within each leader's group."""
+    sized = stars.join(named.select(F.col("class_key").alias("member"), "n", "doc_id"), "member")
+    blocks = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / members)).cast("int")
+    # Groups of more than one block: one in some hundreds of members at most.
+    large = storage.keep(sized.groupBy("leader").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
+    dealt = sized.join(storage.few(large), "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    first = dealt.withColumn("block", F.explode(F.when(F.col("member") == F.col("leader"), every).otherwise(F.array("own"))))
+    with_sets = lambda df: df.join(sets.withColumnRenamed("class_key", "member"), ["member", "doc_id"])
+    first = with_sets(first.select("leader", "block", F.lit(0).alias("side"), F.col("blocks"), "member", "doc_id"))
+
+    def within(table: pa.Table) -> pa.Table:
+        leader, blocks = table["leader"][0].as_py(), table["blocks"][0].as_py()
+        keys, side, own = _distinct(table)
+        links, apart = [], np.zeros(0, np.int64)
+        if len(keys) > 1:
+            keys, label = block_links(keys, own, side, percent)
+            links = _forest(keys, label)
+            apart = keys[label != label[np.flatnonzero(keys == leader)[0]]] if blocks > 1 else apart
+        a, b = (np.array([x[i] for x in links], np.int64) for i in (0, 1))
+        n = len(apart)
+        return pa.table({"leader": pa.array([None] * len(a) + [leader] * n, pa.int64()), "a": np.concatenate([a, apart]), "b": pa.array([*b.tolist(), *[None] * n], pa.int64())})
+
+    found = storage.keep(first.groupBy("leader", "block").applyInArrow(within, "leader long, a long, b long"), "pairs")
+    links = found.where("leader is null").select("a", "b")
+    apart = found.where("leader is not null").select("leader", F.col("a").alias("member"))
+    if apart.isEmpty():
+        return links
+    # Blocks of members apart, against all blocks of their group.
+    apart = apart.join(named.select(F.col("class_key").alias("member"), "n", "doc_id"), "member")
+    parts = storage.keep(apart.groupBy("leader").agg(blocks.alias("parts")), "apart")
+    small = storage.few(parts)
+    one = apart.join(small, "leader").join(storage.few(large), "leader").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+    one = one.withColumn("block", F.explode(every)).select("leader", "part", "block", F.lit(0).alias("side"), "member", "doc_id")
+    two = dealt.join(small, "leader").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    two = two.select("leader", "part", F.col("own").alias("block"), F.lit(1).alias("side"), "member", "doc_id")
+
+    def across(table: pa.Table) -> pa.Table:
+        keys, side, own = _distinct(table)
+        links = _forest(*block_links(keys, own, side, percent)) if 0 < side.sum() < len(side) else []
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    more = with_sets(one.unionByName(two)).groupBy("leader", "part", "block").applyInArrow(across, "a long, b long")
+    return links.unionByName(storage.keep(more, "pairs"))
+
+
+def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: int = LONG, rows: int = ROWS, members: int = MEMBERS, bits: int | None = None) -> DataFrame:
     """doc_id, n_shingles, class_key (the key of its set) and component_id of every document."""
     if not 1 <= percent <= 99:
         raise ValueError("percent is 1 to 99; equal sets share a class_key")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = storage.partitions(spark)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,12 +365,15 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: int = LO
 
     described = storage.keep(docs.mapInArrow(describe, "doc_id long, n_shingles long, class_key long"), "classes")
     texts = docs.where("doc_id is not null").select("text")
+    # A set is posted under a share of its members that follows from percent.
+    posted = (described.agg(F.sum("n_shingles")).first()[0] or 0) * 4 * (100 - percent) / (100 + percent)
+    buckets = max(storage.partitions(spark), int(posted / POSTINGS))
     stars = storage.keep(_stars(texts, k, percent, long, buckets), "stars")
 
     candidates = stars.select(F.col("member").alias("class_key")).distinct()
     named = described.where("doc_id is not null").groupBy("class_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     named = storage.keep(named.join(candidates, "class_key", "left_semi"), "members")
-    wanted = sketch.bloom(named.select("doc_id"), bits)
+    wanted = sketch.bloom(named.select("doc_id"), bits or sketch.fitting(named.count()))
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,31 +382,12 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: int = LO
             out = []
             for w in words(batch.column(1).take(pa.array(take))):
                 values, at = shingles(w, k)
-                own = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()  # 48 bits tell the members of a block apart
                 for i, key in enumerate(_keys(values, at).tolist()):
-                    out.append((int(ids[take[w.lo + i]]), key, own[6 * at[i] : 6 * at[i + 1]]))
+                    out.append((int(ids[take[w.lo + i]]), key, values[at[i] : at[i + 1]].tobytes()))
             yield _batch(out, pa.schema([("doc_id", pa.int64()), ("class_key", pa.int64()), ("members", pa.binary())]))
 
     sets = docs.where("doc_id is not null").mapInArrow(incidence, "doc_id long, class_key long, members binary")
-    # Blocks of each leader's group, and their pairs.
-    sized = stars.join(named.select(F.col("class_key").alias("member"), "n", "doc_id"), "member")
-    blocks = sized.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / members)).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
-    dealt = sized.join(blocks.drop("size"), "leader").withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("leader", "member", "doc_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    met = dealt.join(sets.withColumnRenamed("class_key", "member"), ["member", "doc_id"]).select("leader", "i", "j", "side", "member", "members")
-
-    def multiply(table: pa.Table) -> pa.Table:
-        keys, first = np.unique(table["member"].to_numpy(), return_index=True)
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        side = table["side"].to_numpy()[first].astype(np.int64)
-        blobs = table["members"].take(pa.array(first)).to_pylist()
-        found = []
-        if len(keys) > 1 and (i == j or 0 < side.sum() < len(side)):
-            found = block_links(keys, [_wide(b) for b in blobs], side if i != j else np.zeros(len(keys), np.int64), percent)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
-
-    links = storage.keep(met.groupBy("leader", "i", "j").applyInArrow(multiply, "a long, b long"), "pairs")
+    links = _links(stars, named, sets, percent, rows, members)
     found = components(links)
 
     labelled = described.join(found.withColumnRenamed("node", "class_key"), "class_key", "left")
@@ -356,11 +400,13 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: int = LO
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group of linked ones: that with the smallest doc_id, and one row of it. Rows without an id stay."""
     found = storage.keep(join(docs, **options), "components")
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg((F.count("*") > 1).alias("_repeated"))
-    one = docs.join(kept, F.col("doc_id").cast("long") == F.col("_id"))
-    out = one.where(~F.col("_repeated")).select(*docs.columns)
-    if not kept.where("_repeated").isEmpty():
-        out = out.unionByName(one.where("_repeated").dropDuplicates(["_id"]).select(*docs.columns))
+    own, repeated = storage.unused(docs.columns, "id", "repeated")
+    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg((F.count("*") > 1).alias(repeated))
+    one = docs.join(kept, F.col("doc_id").cast("long") == F.col(own))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = one.where(~F.col(repeated)).select(*names)
+    if not kept.where(repeated).isEmpty():
+        out = out.unionByName(one.where(repeated).dropDuplicates([own]).select(*names))
     if not found.where("doc_id is null").isEmpty():
         out = out.unionByName(docs.where("doc_id is null"))
     return out

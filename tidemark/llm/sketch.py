@@ -1,8 +1,8 @@
 """Bloom filters of 64-bit keys with a fixed size, built by the executors.
 
 A filter answers "maybe" or "certainly not"; it is used only to leave out work that cannot matter, and every
-result is exact whatever its answers. Its size is a parameter, not a function of the data: a fuller filter says
-"maybe" more often. What reaches the driver is at most ``bits`` bits.
+result is exact whatever its answers. ``fitting`` gives a size for a number of keys, within fixed limits: beyond the upper one
+a fuller filter says "maybe" more often. What reaches the driver is at most ``bits`` bits.
 """
 
 from __future__ import annotations
@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 from .text import U64, mix
 
 BITS = 1 << 23
+MOST_BITS = 1 << 27
+
+
+def fitting(keys: int) -> int:
+    """Bits of a filter that answers "maybe" to about one other key in seventy, 16 MB at most."""
+    return min(MOST_BITS, max(BITS, 1 << (16 * max(1, keys) - 1).bit_length()))
 
 
 def _places(keys: np.ndarray, bits: int) -> np.ndarray:

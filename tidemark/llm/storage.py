@@ -2,7 +2,7 @@
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (local tests) a
 temporary folder of this machine is taken. A table read from there needs none of the work before it, so a lost
-executor costs no more than the stage it was in. ``sweep`` deletes what this application has written.
+executor costs no more than the stage it was in. The folder goes when the application ends; ``discard`` deletes one table before, ``sweep`` all of them.
 """
 
 from __future__ import annotations
@@ -14,10 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
+#: Rows of ids or counters, some tens of bytes each, up to which a table is sent to all tasks.
+FEW = 200_000
+_leaving: set[str] = set()
 
 
 def folder(spark: SparkSession) -> str:
     root = spark.conf.get(KEY, None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {KEY} to a folder that driver and executors share")
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set(KEY, root)
@@ -29,12 +34,45 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if folder(spark) not in _leaving:
+        _leaving.add(folder(spark))
+        fs, own = _hadoop(spark, folder(spark))
+        fs.deleteOnExit(own)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept = path
+    return out
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``keep`` has returned and that nothing reads any more."""
+    fs, p = _hadoop(df.sparkSession, df._kept)
+    fs.delete(p, True)
 
 
 def sweep(spark: SparkSession) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    fs, p = _hadoop(spark, folder(spark))
+    fs.delete(p, True)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """These names, each with underscores before it until columns has none like it."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def few(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """df; marked for broadcast only if a count says that it has at most rows rows."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def partitions(spark: SparkSession) -> int:
