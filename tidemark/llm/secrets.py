@@ -7,10 +7,10 @@ all paths that hold the blob. Re-running over known content therefore scans noth
 Where a match lies comes from the lengths of the text's pieces between matches and of the matches, summed up in order,
 so positions count code points. A text without a match of a rule costs that rule's search alone.
 
-Skew: copies of one text are one blob; only (path, blob) pairs of them are shuffled, pre-aggregated before the shuffle, and the join back
-to paths is a plain equi-join that adaptive execution may split. Defined cases: a null text is an empty one; rows without a path
-are scanned, reported and redacted like others; repeated
-rows are reported once each; rules may overlap, and each reports its own spans; an empty table gives an empty result; other columns are ignored.
+Skew: copies of one text are one blob; only (path, blob) pairs of them are shuffled, pre-aggregated before the shuffle. The join back deals the copies
+of a blob into ``SALTS`` parts by path; findings, of which a blob has few, go to each part. Empty texts have no part in it. Defined cases: a null text is an empty
+one; rows without a path are scanned, reported and redacted like others; repeated rows are reported once each; rules may overlap, and each reports its
+own spans; an empty table gives an empty result; other columns are ignored by ``digest`` and kept, whatever their names, by ``redact``.
 """
 
 from __future__ import annotations
@@ -21,6 +21,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import storage
+
+#: Parts that the copies of a blob are dealt into.
+SALTS = 16
+
 
 class Rule(NamedTuple):
     """A kind of secret: matches of pattern whose group has at least ``least`` characters. Raise version on any change."""
@@ -68,22 +73,25 @@ def _matches(rule: Rule, k: int) -> Column:
         F.arrays_zip(found.alias("m"), group.alias("g"), F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found)).alias("p")),
         lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("i"), F.length(x["p"]).alias("lead"), F.length(x["m"]).alias("size"), F.length(x["g"]).alias("counts")),
     )
-    return F.when(F.array_contains("pending", rule.key) & text.rlike(rule.pattern), made)
+    return F.when((F.shiftright("pending", k) % 2 == 1) & text.rlike(rule.pattern), made)
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """Findings (blob_id, kind, version, start, end) and ledger rows (blob_id, rule) that are new against the ledger.
 
     versions: path and text, one row for each version of each path."""
-    keys = F.array(*(F.lit(r.key) for r in rules))
+    every_rule = (1 << len(rules)) - 1
     blobs = versions.select("path", blob_id(F.col("text")).alias("blob_id")).groupBy("blob_id").agg(F.min("path").alias("path"))
     if ledger is None:
-        blobs = blobs.withColumn("pending", keys)
+        blobs = blobs.withColumn("pending", F.lit(every_rule))
     else:
-        seen = ledger.groupBy("blob_id").agg(F.collect_set("rule").alias("seen"))
-        blobs = blobs.join(seen, "blob_id", "left").withColumn("pending", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))).drop("seen")
-        blobs = blobs.where(F.size("pending") > 0)
-    done = blobs.select("blob_id", F.explode("pending").alias("rule"))
+        # Rules that a blob has seen, and those still pending, as bits.
+        bit = reduce(lambda a, k: a.when(F.col("rule") == rules[k].key, 1 << k), range(len(rules)), F).otherwise(0)
+        seen = ledger.groupBy("blob_id").agg(F.bit_or(bit).alias("seen"))
+        blobs = blobs.join(seen, "blob_id", "left").withColumn("pending", F.lit(every_rule).bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0))))).drop("seen")
+        blobs = blobs.where("pending > 0")
+    named = F.array(*(F.lit(r.key) for r in rules))
+    done = blobs.select("blob_id", F.explode(F.filter(named, lambda _, k: F.expr("pending").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) > 0)).alias("rule"))
     # A blob without any path is represented by its rows without one.
     texts = versions.select(F.col("path").alias("_path"), blob_id(F.col("text")).alias("_blob"), "text")
     texts = texts.join(blobs.hint("shuffle_hash"), F.expr("_path <=> path AND _blob = blob_id"))
@@ -111,8 +119,6 @@ class Ledger:
 
     def update(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """Scans what is new in versions and returns the findings of the current rule versions, for all paths."""
-        from . import storage
-
         found, done = (storage.keep(x, "scan") for x in scan(versions, self._read("ledger", LEDGER), rules))
         found.write.mode("append").parquet(f"{self.path}/findings")
         # Last: if the job dies before this, the same pairs are scanned again and their findings read once below.
@@ -146,17 +152,27 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         F.sha2(words(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         words(F.col("spans")).alias("spans"),
     )
-    every = docs.select("doc_id", blob_id(F.col("text")).alias("blob_id")).join(per, "blob_id", "left")
+    every = _with_blob(docs.select("doc_id", blob_id(F.col("text")).alias("blob_id"), (F.coalesce(F.length("text"), F.lit(0)) == 0).alias("none")), per, "blob_id", "salt", F.col("none"))
     filled = [F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in base]
     return every.select("doc_id", *filled, F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+def _with_blob(docs: DataFrame, per: DataFrame, blob: str, salt: str, none: Column) -> DataFrame:
+    """docs with what per, one row for each blob with findings, says of their blob (null: nothing). Rows that are none hold nothing, and meet nothing."""
+    parts = per.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Where a row without findings goes doesn't matter; empty texts are many, so they are dealt by their path alone.
+    left = docs.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    left = left.withColumn(blob, F.when(none, F.concat(F.lit("none-"), F.xxhash64("doc_id"))).otherwise(F.col(blob)))
+    return left.join(parts, [blob, salt], "left")
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every secret in ``text`` replaced by mark (overlapping ones by one), and ``n_chars``, if there, recounted."""
     versions = docs.select(F.col("doc_id").alias("path"), "text")
     found, _ = scan(versions, None, rules)
-    spans = _spans(found, rules).withColumnRenamed("spans", "_spans").withColumnRenamed("blob_id", "_blob")
-    joined = docs.withColumn("_blob", blob_id(F.col("text"))).join(spans, "_blob", "left")
+    cut, blob, salt = storage.unused(docs.columns, "cut", "blob", "salt")
+    spans = _spans(found, rules).withColumnRenamed("spans", cut).withColumnRenamed("blob_id", blob)
+    joined = _with_blob(docs.withColumn(blob, blob_id(F.col("text"))), spans, blob, salt, F.coalesce(F.length("text"), F.lit(0)) == 0)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -166,8 +182,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
     def rest(a: Column) -> Column:
         return F.concat(a["out"], F.col("text").substr((a["at"] + 1).cast("int"), F.length("text")))
 
-    cleaned = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", start, step, rest)))
+    cleaned = joined.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.aggregate(cut, start, step, rest)))
     if "n_chars" in docs.columns:
         n = docs.schema["n_chars"].dataType
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(n)))
-    return cleaned.select(*docs.columns)
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(n)))
+    return cleaned.select(*(F.col(f"`{c}`") for c in docs.columns))
