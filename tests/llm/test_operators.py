@@ -213,10 +213,39 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.item_id): r.shared for r in decontaminate.matches(docs, table).collect()} == expected
     kept = decontaminate.clean(docs, table)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in expected}
+    # More sketches than may be broadcast: joined in parts.
+    assert {(r.doc_id, r.item_id): r.shared for r in decontaminate.matches(docs, table, few=0).collect()} == expected
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, table, few=0).collect()) == sorted(r.doc_id for r in kept.collect())
     assert decontaminate.matches(empty(spark), table).count() == 0
     assert decontaminate.matches(docs, table.where("false")).count() == 0
 
 
+def test_decontamination_verifies_candidates_only(spark):
+    """Pairs that share a shingle but no member of the sketch, or whose document is too small, are not counted out; without candidates nothing is found."""
+    items = [prose(400 + i, 60) for i in range(8)]
+    texts = [" ".join(items[i].split()[a : a + 9]) + " " + prose(500 + i, n) for i in range(8) for a in (0, 20, 40) for n in (0, 80)] + [prose(600, 80) + " " + x for x in items]
+    docs, table = documents(spark, texts, repeat=False), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    parts = decontaminate.item_shingles(table).withColumn("least", F.ceil(F.col("size") * 0.8).cast("int"))
+    found = decontaminate.hits(docs, parts, 5, 1 << 16).cache()
+    sharing = found.join(parts, ["span", "hash"]).select("doc_id", "item_id").distinct().count()
+    pairs = decontaminate.candidates(found, parts, 5).cache()
+    assert sharing == 56 and 8 <= pairs.count() < sharing
+    small = pairs.join(found.where("n < 40").select("doc_id").distinct(), "doc_id", "left_semi")
+    assert small.isEmpty()  # nine words can't hold four fifths of sixty
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.verified(pairs, found, parts).collect()) == [(48 + i, i) for i in range(8)]
+    assert decontaminate.verified(pairs.where("item_id < 3"), found, parts).count() == 3
+
+
+def test_decontamination_of_rows_without_or_with_shared_ids(spark):
+    item = prose(700, 30)
+    half, most = " ".join(item.split()[:17]), " ".join(item.split()[12:])
+    rows = [(None, item + " and more", 1), (None, "clean", 2), (1, half, 3), (1, most, 4), (2, item, 5), (2, "harmless", 6), (2, item, 7)]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string, item_id int"), spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert sorted((str(r.doc_id), r.item_id, r.containment) for r in decontaminate.matches(docs, table).collect()) == [("2", 9, 1.0), ("None", 9, 1.0)]
+    for few in (0, 1000):
+        assert sorted(r.item_id for r in decontaminate.clean(docs, table, few=few).collect()) == [2, 3, 4, 6]
+
+
 def test_licenses(spark):
     files = [
         ("LICENSE", "Licensed under the Apache License, Version 2.0."), ("src/a.txt", "prose here.\nReleased under the MIT License.\nmore prose"), ("src/b.txt", "nothing"),
