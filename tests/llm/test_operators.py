@@ -395,6 +395,101 @@ def test_html(spark):
     assert html.extract(table.where("false")).count() == 0
 
 
+def sentence(i: int, n: int = 14) -> str:
+    return ", ".join(f"word{i} more{j} text" for j in range(n)) + "."
+
+
+MENU, FOOT, SIDE = '<nav><a href="/a">Home</a> <a href="/b">About us</a></nav>', "<footer>Copyright 2024, all rights reserved by the company.</footer>", f"<h3>Side</h3><p>{sentence(9, 4)}</p>"
+BODY = f"<h1>Title</h1><p>{sentence(1)}</p><p>{sentence(2)}</p>"
+TEXT = f"Title\n\n{sentence(1)}\n\n{sentence(2)}"
+LAYOUTS = {
+    "form around the page": f'<body><form action="/x" id="aspnetForm"><input type="hidden" name="v">{MENU}<div id="content">{BODY}</div>{FOOT}</form></body>',
+    "form around an article": f"<body><form><div><article>{BODY}</article></div><label>Mail</label><input></form></body>",
+    "form beside": f"<body><article>{BODY}</article><form><p>{sentence(8, 9)}</p><input><button>Go</button></form></body>",
+    "named after its sidebar": f'<body>{MENU}<div class="content-sidebar-wrap"><div class="content">{BODY}</div><div class="sidebar">{SIDE}</div></div><div class="credits">Copyright 2024</div></body>',
+    "one widget": f'<body>{MENU}<div class="elementor-widget"><div>{BODY}</div></div><div class="credits">Copyright 2024</div></body>',
+    "widgets": "<body><div class=page>" + "".join(f'<div class="elementor-widget">{x}</div>' for x in (f"<h1>Title</h1><p>{sentence(1)}</p>", f"<p>{sentence(2)}</p>")) + '</div><div class="credits">Copyright 2024</div></body>',
+    "widgets beside an article": f'<body><article>{BODY}</article><div id="second"><div class="widget">{SIDE * 9}</div><div class="widget">{SIDE}</div></div></body>',
+    "short article, long aside": f"<body><article>{BODY}</article><aside>{SIDE * 30}</aside></body>",
+    "comments": f'<body><div class="post">{BODY}</div><div id="comments">{"".join(f"<p>{sentence(20 + i)}</p>" for i in range(9))}</div></body>',
+    "main with cards": f'<body><main><article>{BODY}</article><article class="card"><p>{sentence(5, 2)}</p></article></main></body>',
+    "no article, no main": f'<body><div><div class="top"><a href="/x">One, two, three, four, five, six link</a></div><div class="text">{BODY}</div></div><div>Short, text, here, with, some, commas.</div></body>',
+    "head that is not closed": f"<html><head><title>T</title><body><div>{BODY}</div>",
+    "unclosed menu in an article": f'<body><article>{BODY}<nav><ul><li><a href="/x">Next</a></article><p>short</p></body>',
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_html_layouts(name):
+    assert html.main_text(LAYOUTS[name]) == TEXT
+
+
+def test_html_lists_of_links():
+    links = lambda *to: "<ul>" + "".join(f'<li><a href="{x}">Item {x} of the list</a></li>' for x in to) + "</ul>"
+    items = lambda *to: "".join(f"\n\nItem {x} of the list" for x in to)
+    page = lambda inner: html.main_text(f"<body>{MENU}<article>{inner}</article></body>")
+    assert page(f"{BODY}<h2>Sources</h2>{links('/a', '/b')}") == f"{TEXT}\n\nSources{items('/a', '/b')}"
+    assert page(f"{BODY}<p>See these pages:</p>{links('/a', '/b')}<p>{sentence(3)}</p>") == f"{TEXT}\n\nSee these pages:{items('/a', '/b')}\n\n{sentence(3)}"
+    assert page(f"<h1>All posts</h1>{links('/a', '/b', '/c')}") == f"All posts{items('/a', '/b', '/c')}"
+    assert page(f"{BODY}<h2>Related articles</h2>{links('/a', '/b')}") == TEXT
+    assert page(f"{BODY}{links('/a', '/b')}") == TEXT and page(f"{links('/a', '/b')}{BODY}") == TEXT
+    assert page(BODY.replace("</h1>", "</h1>" + links("#a", "#b"))) == TEXT
+
+
+def test_html_container_against_brute_force():
+    """Random trees without suspects: the container's score, summed up block by block along all ancestors."""
+    rng = np.random.default_rng(12)
+
+    def tree(depth: int) -> str:
+        out = []
+        for _ in range(int(rng.integers(1, 5))):
+            kind = rng.integers(8)
+            if kind < 3 or depth == 0:
+                words = ", ".join(f"w{x}" for x in rng.integers(0, 99, int(rng.integers(1, 30))))
+                out.append(f"<p>{words}</p>" if kind else f'<p><a href="/x">{words}</a> and some text</p>')
+            else:
+                tag = ("div", "section", "article", "main", "div")[kind - 3]
+                out.append(f"<{tag}>{tree(depth - 1)}</{tag}>")
+        return "".join(out)
+
+    def up(node):
+        while node is not None:
+            yield node
+            node = node.parent
+
+    for _ in range(150):
+        page = f"<body>{tree(4)}</body>"
+        nodes = html.parse(page)
+        blocks = html._blocks(nodes[0])
+        best = html._container(nodes, blocks)
+        score = {}
+        for n in nodes:
+            inside = [(o, t, x, 1 + t.count(",") + min(len(t) / 100, 3) if len(t) >= 25 else 0) for o, t, x in blocks if n in up(o)]
+            near = 0.0
+            for o, t, x, p in inside:
+                step = list(up(o)).index(n) - (o.tag == "p")
+                near += 0 if step < 0 or step >= 6 else p / (1 if step == 0 else 2 if step == 1 else 3 * step)
+            total = sum(p for *_, p in inside)
+            nested = sum(p for o, *_, p in inside if any(a.tag == "article" for a in up(o) if a is not n and n in up(a)))
+            if n.tag == "article":
+                near = max(near, 1.25 * total + 25 * (total > 0))
+            if n.tag == "main":
+                near = max(near, 1.1 * (total - nested) + nested / 2 + 10 * (total > nested))
+            chars, linked = sum(len(t) for _, t, *_ in inside), sum(x for *_, x, _ in inside)
+            score[n.order] = near * (1 - linked / chars) if chars else -1
+        assert score[best.order] == pytest.approx(max(score.values())) and best.score() == pytest.approx(score[best.order])
+
+
+@pytest.mark.parametrize("shape", ["<div>{}", "<div><b>{}</b>", "<nav><div>{}", "<span>{}", "<p><a href=x>{}", "<ul><li>{}", "<table><tr><td>{}", "<article><section>{}</section></article>", "<b>{}</b></i>"])
+def test_html_time_grows_with_length(shape):
+    import time
+
+    open_part, _, close_part = shape.partition("{}")
+    began = time.perf_counter()
+    html.main_text((open_part + "text, that, is, long, enough, ") * 40_000 + close_part * 40_000)
+    assert time.perf_counter() - began < 8
+
+
 def test_quality(spark):
     rng = np.random.default_rng(8)
     texts, labels = [], []
