@@ -6,7 +6,8 @@ the whole of a file that is named like a licence file. Units are hashed and each
 it: its terms, weighted (1 + ln tf) idf, are joined with those of the templates, a table of fixed size, and summed up to cosines. The
 best template from ``LEAST`` on is the unit's licence; the best unit's is the file's. A file named like a licence file, or all of whose text
 is one matching unit, licenses its directory. A file without a licence of its own takes that of its nearest licensed directory upwards:
-directories, not files, are joined with their ancestors' paths, so a directory with a third of all files is one row there.
+directories, not files, are joined with their ancestors' paths, so a directory with a third of all files is one row there. What a directory gives goes to all
+tasks if directories are few, and else to each of the ``SALTS`` parts that a directory's files are dealt into. Texts are read once.
 
 Defined cases: a null text has no units; a null path is the file's own empty path; ties between templates go to the smaller name, between files of a directory to the higher
 cosine, then the smaller name; repeated rows of a path are one file and reported once each; an empty table gives an empty result; other columns are ignored.
@@ -21,7 +22,11 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
+
 LEAST = 0.6
+#: Parts that the files of a directory are dealt into.
+SALTS = 16
 # Short notices of well-known licences.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -72,7 +77,7 @@ def _units(path: Column, text: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(some, F.when(path.rlike(LICENCE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))), F.trim))
 
 
-def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, few: int = storage.FEW) -> DataFrame:
     """path, license, basis (own, inherited or null), similarity and directory of each file of files (path, text)."""
     spark = files.sparkSession
     files = files.select(F.coalesce("path", F.lit("")).alias("path"), "text")
@@ -83,7 +88,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     cued = files.where(F.col("text").isNotNull() & (F.col("text").rlike(CUE) | F.col("path").rlike(LICENCE_FILE)))
     parts = cued.withColumn("unit", F.explode(_units(F.col("path"), F.col("text"))))
     whole = (F.col("unit") == F.trim("text")) | F.col("path").rlike(LICENCE_FILE)
-    parts = parts.select("path", F.sha2("unit", 256).alias("unit_id"), "unit", whole.alias("whole"))
+    parts = storage.keep(parts.select("path", F.sha2("unit", 256).alias("unit_id"), "unit", whole.alias("whole")), "units")
     # Each distinct unit once: only its hash is kept beside the path.
     units = parts.groupBy("unit_id").agg(F.first("unit").alias("unit"))
     words = units.select("unit_id", F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(TERM), F.lit(0))).alias("term"))
@@ -97,13 +102,19 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     best = scored.groupBy("unit_id").agg(F.min(first).alias("best"))
 
     own = parts.select("path", "unit_id", "whole").join(best, "unit_id")
-    own = own.groupBy("path").agg(F.min("best").alias("best"), F.min(F.when(F.col("whole"), F.col("best"))).alias("whole"))
+    own = storage.keep(own.groupBy("path").agg(F.min("best").alias("best"), F.min(F.when(F.col("whole"), F.col("best"))).alias("whole")), "own")
     licensed = own.where("whole is not null").groupBy(_parent(F.col("path")).alias("ancestor")).agg(F.min("whole").alias("given"))
 
     folders = files.select(_parent(F.col("path")).alias("folder")).distinct()
     ancestors = folders.select("folder", F.posexplode(_ancestors(F.col("folder"))).alias("steps", "ancestor"))
     nearest = ancestors.join(licensed, "ancestor").groupBy("folder").agg(F.min(F.struct("steps", "ancestor", "given")).alias("near"))
-    out = files.select("path", _parent(F.col("path")).alias("folder")).join(own.drop("whole"), "path", "left").join(nearest, "folder", "left")
+    nearest = storage.keep(nearest, "nearest")
+    out = files.select("path", _parent(F.col("path")).alias("folder")).join(own.drop("whole"), "path", "left")
+    if nearest.count() <= few:
+        out = out.join(F.broadcast(nearest), "folder", "left")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        out = out.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(nearest.withColumn("salt", salts), ["folder", "salt"], "left")
     has = F.col("best").isNotNull()
     return out.select(
         "path",
