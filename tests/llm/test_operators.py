@@ -252,7 +252,9 @@ def test_licenses(spark):
         ("lib/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("lib/deep/er/c.txt", None), ("lib2/d.txt", ""),
         ("lib/x.txt", "Copyright notices are discussed in this long sentence about something else entirely, with no licence given."), (None, "word"), ("lib2/d.txt", ""),
     ]
-    got = {r.path: (r.license, r.basis, r.directory) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    table = spark.createDataFrame(files, "path string, text string")
+    got = {r.path: (r.license, r.basis, r.directory) for r in licenses.scan(table).collect()}
+    assert sorted(map(str, licenses.scan(table, few=0).collect())) == sorted(map(str, licenses.scan(table).collect()))  # too many directories to be broadcast
     assert got["src/a.txt"] == ("MIT", "own", None) and got["src/b.txt"] == ("Apache-2.0", "inherited", "")
     assert got["lib/deep/er/c.txt"] == ("GPL-3.0", "inherited", "lib") and got["lib2/d.txt"] == ("Apache-2.0", "inherited", "")
     assert got["lib/x.txt"] == ("GPL-3.0", "inherited", "lib") and got[""] == ("Apache-2.0", "inherited", "")
@@ -312,6 +314,12 @@ def test_topk(spark):
     table = spark.createDataFrame([(i, v, 0, 1.0) for i, v in rows], "vec_id long, embedding array<float>, score int, q double").repartition(3)
     got = topk.search(table, F.col("vec_id") % 50 == 0, 5)
     assert {tuple(r) for r in got.collect()} == brute_topk(rows, 5, 50)
+    repeated = table.unionByName(table.where("vec_id IN (100, 150)"))
+    again = {tuple(r) for r in topk.search(repeated, F.col("vec_id") % 50 == 0, 5).where("query_id IN (100, 150)").collect()}
+    want = collections.defaultdict(list)
+    for q, _, i, s in brute_topk(rows, 10, 50):
+        want[q] += [(-s, i)] * (2 if i in (100, 150) else 1)
+    assert again == {(q, r + 1, i, -s) for q in (100, 150) for r, (s, i) in enumerate(sorted(want[q])[:5])}
     assert topk.search(table.where("false"), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 

@@ -12,7 +12,8 @@ Queries are blocked too: a task holds one block of queries and one of candidates
 does not depend on the tables, and a lost task is redone from the shuffle files.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; a query is compared with vectors of its
-own length only; rows that share the query's id count as its own; equal scores go to the smaller id; a query with fewer than
+own length only; rows that share the query's id count as its own; repeated rows of a query are one query (those that share an id but differ are ranked together), and
+repeated candidates are candidates each; equal scores go to the smaller id; a query with fewer than
 k candidates gets all of them; further columns are ignored; an empty table gives an empty result.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CANDIDATES = 8192
-QUERIES = 512
+QUERIES = 4096
 LEVELS = 16
 FEW = 64
 #: Segments between two looks for a proof, as a share of all.
@@ -115,7 +116,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", ve
     total, asked = ints.agg(F.count("*"), F.count_if("q")).first()
     n_blocks, q_blocks = max(1, -(-total // CANDIDATES)), max(1, -(-asked // QUERIES))
     deal = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
-    left = ints.where("q").withColumn("qb", deal(1, q_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    left = ints.where("q").dropDuplicates(["id", "v"]).withColumn("qb", deal(1, q_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     right = ints.withColumn("cb", deal(2, n_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     names = ["dims", "qb", "cb"]
 
