@@ -7,7 +7,7 @@ it: its terms, weighted (1 + ln tf) idf, are joined with those of the templates,
 best template from ``LEAST`` on is the unit's licence; the best unit's is the file's. A file named like a licence file, or all of whose text
 is one matching unit, licenses its directory. A file without a licence of its own takes that of its nearest licensed directory upwards:
 directories, not files, are joined with their ancestors' paths, so a directory with a third of all files is one row there. What a directory gives goes to all
-tasks if directories are few, and else to each of the ``SALTS`` parts that a directory's files are dealt into. Texts are read once.
+tasks if directories are few, and else to each of the ``SALTS`` parts that a directory's files are dealt into; so does a unit's licence. Texts are read once.
 
 Defined cases: a null text has no units; a null path is the file's own empty path; ties between templates go to the smaller name, between files of a directory to the higher
 cosine, then the smaller name; repeated rows of a path are one file and reported once each; an empty table gives an empty result; other columns are ignored.
@@ -99,9 +99,9 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
     scored = dots.join(norms, "unit_id").select("unit_id", "license", cosine.alias("similarity")).where(F.col("similarity") >= least)
     first = F.struct((-F.col("similarity")).alias("s"), "license")
-    best = scored.groupBy("unit_id").agg(F.min(first).alias("best"))
+    best = storage.keep(scored.groupBy("unit_id").agg(F.min(first).alias("best")), "best")
 
-    own = parts.select("path", "unit_id", "whole").join(best, "unit_id")
+    own = _dealt_join(parts.select("path", "unit_id", "whole"), best, "unit_id", "inner", few)
     own = storage.keep(own.groupBy("path").agg(F.min("best").alias("best"), F.min(F.when(F.col("whole"), F.col("best"))).alias("whole")), "own")
     licensed = own.where("whole is not null").groupBy(_parent(F.col("path")).alias("ancestor")).agg(F.min("whole").alias("given"))
 
@@ -110,11 +110,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     nearest = ancestors.join(licensed, "ancestor").groupBy("folder").agg(F.min(F.struct("steps", "ancestor", "given")).alias("near"))
     nearest = storage.keep(nearest, "nearest")
     out = files.select("path", _parent(F.col("path")).alias("folder")).join(own.drop("whole"), "path", "left")
-    if nearest.count() <= few:
-        out = out.join(F.broadcast(nearest), "folder", "left")
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        out = out.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(nearest.withColumn("salt", salts), ["folder", "salt"], "left")
+    out = _dealt_join(out, nearest, "folder", "left", few)
     has = F.col("best").isNotNull()
     return out.select(
         "path",
@@ -125,6 +121,15 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     )
 
 
+def _dealt_join(files: DataFrame, one: DataFrame, key: str, how: str, few: int) -> DataFrame:
+    """files with the one row of their key; one, which storage.keep has written, goes to all tasks or to each part of a key's files."""
+    if one.count() <= few:
+        return files.join(F.broadcast(one), key, how)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = files.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+    return dealt.join(one.withColumn("salt", salts), [key, "salt"], how).drop("salt")
+
+
 def _parent(path: Column) -> Column:
     """The directory of a path, an empty string at the top."""
     return F.when(F.instr(path, "/") == 0, F.lit("")).otherwise(F.regexp_replace(path, "/[^/]*$", ""))
