@@ -27,7 +27,7 @@ and it is linked with nothing; ``join`` keeps repeated rows and ids; a row witho
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -299,7 +299,7 @@ def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
     return keys[first], side[first], [np.frombuffer(b, U64) for b in blobs]
 
 
-def _links(stars: DataFrame, named: DataFrame, sets: DataFrame, percent: int, rows: int, members: int) -> DataFrame:
+def _links(stars: DataFrame, named: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, rows: int, members: int) -> DataFrame:
     """Links a, b that connect what is connected within each leader's group."""
     sized = stars.join(named.select(F.col("class_key").alias("member"), "n", "doc_id"), "member")
     blocks = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / members)).cast("int")
@@ -309,8 +309,9 @@ def _links(stars: DataFrame, named: DataFrame, sets: DataFrame, percent: int, ro
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     first = dealt.withColumn("block", F.explode(F.when(F.col("member") == F.col("leader"), every).otherwise(F.array("own"))))
-    with_sets = lambda df: df.join(sets.withColumnRenamed("class_key", "member"), ["member", "doc_id"])
-    first = with_sets(first.select("leader", "block", F.lit(0).alias("side"), F.col("blocks"), "member", "doc_id"))
+    with_sets = lambda df, docs: df.join(sets(docs).withColumnRenamed("class_key", "member"), ["member", "doc_id"])
+    first = first.select("leader", "block", F.lit(0).alias("side"), F.col("blocks"), "member", "doc_id")
+    first = with_sets(first, named)
 
     def within(table: pa.Table) -> pa.Table:
         leader, blocks = table["leader"][0].as_py(), table["blocks"][0].as_py()
@@ -343,7 +344,8 @@ def _links(stars: DataFrame, named: DataFrame, sets: DataFrame, percent: int, ro
         links = _forest(*block_links(keys, own, side, percent)) if 0 < side.sum() < len(side) else []
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
-    more = with_sets(one.unionByName(two)).groupBy("leader", "part", "block").applyInArrow(across, "a long, b long")
+    met = storage.keep(one.unionByName(two), "met")
+    more = with_sets(met, met).groupBy("leader", "part", "block").applyInArrow(across, "a long, b long")
     return links.unionByName(storage.keep(more, "pairs"))
 
 
@@ -371,30 +373,39 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: int = LO
     stars = storage.keep(_stars(texts, k, percent, long, buckets), "stars")
 
     candidates = stars.select(F.col("member").alias("class_key")).distinct()
-    named = described.where("doc_id is not null").groupBy("class_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    named = storage.keep(named.join(candidates, "class_key", "left_semi"), "members")
-    wanted = sketch.bloom(named.select("doc_id"), bits or sketch.fitting(named.count()))
+    usable = described.where("doc_id is not null AND n_shingles > 0")
+    classes = storage.keep(usable.groupBy("class_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count("*").alias("rows")), "named")
+    named = storage.keep(classes.drop("rows").join(candidates, "class_key", "left_semi"), "members")
+
+    def sets(those: DataFrame) -> DataFrame:
+        """doc_id, class_key and members of documents, among them all of those, each of which stands for a class."""
+        wanted = sketch.bloom(those.select("doc_id"), bits or sketch.fitting(those.count()))
+
+        def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = np.asarray(batch.column(0))
+                take = np.flatnonzero(wanted.test(ids.view(U64)))
+                out = []
+                for w in words(batch.column(1).take(pa.array(take))):
+                    values, at = shingles(w, k)
+                    for i, key in enumerate(_keys(values, at).tolist()):
+                        out.append((int(ids[take[w.lo + i]]), key, values[at[i] : at[i + 1]].tobytes()))
+                yield _batch(out, pa.schema([("doc_id", pa.int64()), ("class_key", pa.int64()), ("members", pa.binary())]))
+
+        return docs.where("doc_id is not null").mapInArrow(incidence, "doc_id long, class_key long, members binary")
 
-    def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.asarray(batch.column(0))
-            take = np.flatnonzero(wanted.test(ids.view(U64)))
-            out = []
-            for w in words(batch.column(1).take(pa.array(take))):
-                values, at = shingles(w, k)
-                for i, key in enumerate(_keys(values, at).tolist()):
-                    out.append((int(ids[take[w.lo + i]]), key, values[at[i] : at[i + 1]].tobytes()))
-            yield _batch(out, pa.schema([("doc_id", pa.int64()), ("class_key", pa.int64()), ("members", pa.binary())]))
-
-    sets = docs.where("doc_id is not null").mapInArrow(incidence, "doc_id long, class_key long, members binary")
     links = _links(stars, named, sets, percent, rows, members)
     found = components(links)
 
-    labelled = described.join(found.withColumnRenamed("node", "class_key"), "class_key", "left")
-    labelled = labelled.withColumn("component", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "class_key")))
-    smallest = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(smallest, "component", "left")
-    return out.select("doc_id", "n_shingles", "class_key", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # The smallest id of each component, for its classes and then for all documents of them.
+    nodes = storage.keep(found.withColumnRenamed("node", "class_key"), "nodes")
+    smallest = nodes.join(classes, "class_key").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("nodes"))
+    linked = storage.hot_join(nodes, storage.keep(smallest, "smallest"), "component", "nodes").select("class_key", "component_id")
+    labels = classes.join(linked, "class_key", "left").select("class_key", F.coalesce("component_id", "doc_id").alias("component_id"), "doc_id", "rows")
+    labels = storage.keep(labels.where("rows > 1 OR component_id <> doc_id").drop("doc_id"), "labels")
+    out = storage.hot_join(described, labels, "class_key", "rows")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "class_key", F.when(F.col("n_shingles") > 0, own).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:

@@ -70,6 +70,16 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def hot_join(many: DataFrame, one: DataFrame, key: str, weight: str) -> DataFrame:
+    """many with the columns of one, or nulls; one, which ``keep`` has written, has a row for each key and how many rows of many have it, in the column weight. Keys
+    with a thousandth of these rows or more, a thousand keys at most, are broadcast, so that none of them fills a task."""
+    total = one.agg(F.sum(weight)).first()[0] or 0
+    large = F.col(weight) * 1000 >= max(total, 100_000)
+    hot = F.broadcast(one.where(large).drop(weight))
+    rest = many.join(F.broadcast(one.where(large).select(key)), key, "left_anti").join(one.where(~large).drop(weight), key, "left")
+    return many.join(hot, key).unionByName(rest)
+
+
 def few(df: DataFrame, rows: int = FEW) -> DataFrame:
     """df; marked for broadcast only if a count says that it has at most rows rows."""
     return F.broadcast(df) if df.count() <= rows else df
