@@ -361,20 +361,42 @@ def test_toxicity(spark):
     assert toxicity.query(empty(spark), table).count() == 0
 
 
-def test_lm_scores(spark):
-    texts = TEXTS + [prose(7, 200), prose(8, 200) + " " + BASE]
-    docs = documents(spark, texts, repeat=False)
+def brute_lm(split, min_count=2):
+    one, two, three = (collections.Counter(g for x in split for g in zip(*(x[j:] for j in range(n)))) for n in (1, 2, 3))
+    total, out = sum(one.values()), []
+    for x in split:
+        s = 0.0
+        for i, w in enumerate(x):
+            if i > 1 and three[x[i - 2], x[i - 1], w] >= min_count:
+                s += math.log(three[x[i - 2], x[i - 1], w] / two[x[i - 2], x[i - 1]])
+            elif i > 0 and two[x[i - 1], w] >= min_count:
+                s += math.log((0.4 if i > 1 else 1) * two[x[i - 1], w] / one[x[i - 1],])
+            else:
+                s += math.log(0.4 ** min(i, 2) * one[w,] / total)
+        out.append(s)
+    return out
+
+
+# With few codes most words are joined in as rows; with a low bar frequent pairs and triples are hot; with few occurrences a partition there are many partitions.
+@pytest.mark.parametrize("options", [{}, {"codes": 6}, {"codes": 0, "hot": 0}, {"hot": 40, "local": 2}, {"hot": 9, "local": 2, "codes": 50, "occurrences": 900}, {"local": 1, "min_count": 4, "codes": 20}])
+def test_lm_scores(spark, options):
+    few = " ".join(f"v{x}" for x in np.random.default_rng(9).zipf(1.3, 4000) if x < 200)
+    texts = TEXTS + [prose(7, 200), prose(8, 200) + " " + BASE, few, "a b", "the the", "x"]
+    docs = documents(spark, texts, repeat=False).unionByName(documents(spark, ["no id"], repeat=False).withColumn("doc_id", F.lit(None).cast("long")))
     split = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) for t in texts]
-    one, two = collections.Counter(w for x in split for w in x), collections.Counter(p for x in split for p in zip(x, x[1:]))
-    total = sum(one.values())
-    for codes, top in ((lm.CODES, lm.DENSE), (6, 3)):  # with few codes most words are joined in as rows
-        got = {r.doc_id: r for r in lm.score(docs, codes=codes, top=top).collect()}
-        for d, x in enumerate(split):
-            s = math.log(one[x[0]] / total) if x else 0.0
-            for a, b in zip(x, x[1:]):
-                s += math.log(two[a, b] / one[a]) if two[a, b] >= 2 else math.log(0.4 * one[b] / total)
-            assert got[d].n_words == len(x) and got[d].score == pytest.approx(s, rel=1e-9, abs=1e-9)
-            assert got[d].perplexity == (pytest.approx(math.exp(-s / len(x))) if x else None)
+    got = {r.doc_id: r for r in lm.score(docs, **options).collect()}
+    assert len(got) == len(texts)
+    for d, (x, s) in enumerate(zip(split, brute_lm(split, options.get("min_count", 2)))):
+        assert got[d].n_words == len(x) and got[d].score == pytest.approx(s, rel=1e-9, abs=1e-9)
+        assert got[d].perplexity == (pytest.approx(math.exp(-s / len(x))) if x else None)
+
+
+def test_lm_rows_that_share_an_id_and_no_rows(spark):
+    texts = ["a b c d a b c", "a b c", "b c d"]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2])], "doc_id long, text string")
+    s = brute_lm([t.split() for t in texts])
+    got = {r.doc_id: (r.n_words, r.score) for r in lm.score(docs).collect()}
+    assert got == {1: (10, pytest.approx(s[0] + s[1])), 2: (3, pytest.approx(s[2]))}
     assert lm.score(empty(spark)).count() == 0
 
 

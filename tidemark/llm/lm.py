@@ -1,14 +1,18 @@
 """Language-model scores of documents by stupid backoff, computed relationally.
 
-The model is two count tables over the words and word pairs of all documents, partitioned by hash. A word scores
-c(previous, word) / c(previous) if the pair was counted ``min_count`` times at least (a pair counted once is the scored
-document's own), and otherwise ``ALPHA`` c(word) / N; a document's first word scores c(word) / N. Logarithms are summed per document.
+The model is three count tables, of the words, word pairs and word triples of all documents, partitioned by hash. A word scores
+c(a, b, word) / c(a, b) if the triple with the two words before it was counted ``min_count`` times at least (one counted once is the scored document's own), else
+``ALPHA`` c(b, word) / c(b) if the pair was, else ``ALPHA``^2 c(word) / N; a document's first word scores c(word) / N, its second by pairs. Logarithms are summed per document.
 
-Each pair occurrence goes once, with its document, to the partition of its pair, where count and occurrences meet without a further
-join. What it costs there is kept small and even by coding, never by leaving rows out: the 65,535 most frequent words travel as
-two-byte codes whose counts every task holds (a table of fixed size); pairs of the 256 most frequent words are counted
-in a dense table of fixed size and never travel, so no travelling pair has more than one in 257 of all words; the
-counts of the other words are joined in as rows, only where a score needs them.
+1. Words are counted; the ``CODES`` most frequent ones travel as three-byte codes whose counts every task holds (a table of fixed size).
+2. Pairs and triples that are frequent in some million words are candidates; of these the ``HOT`` with the highest counts are counted over all documents and held by every task (a
+   table of fixed size). They never travel, so no key of what travels fills a task: a hot n-gram is split among all tasks.
+3. Each other triple occurrence goes once, with its document, to the partition of its first pair (or, if that pair is hot, of the triple). There the pair
+   and triple tables are counted, and occurrences of counted triples are scored.
+4. Occurrences that back off go, once, to the partition of their second pair and meet the pair table there. Counts of words without a code are joined in as rows.
+
+What travels is coded, never left out: columns of code bytes, runs of documents, compressed. A task sorts about ``OCCURRENCES`` of them, however large the input. N-grams
+are told apart by 64-bit hashes.
 
 Words are runs of characters other than space and U+0009 to U+000D, with A-Z in lower case. Defined cases: rows without doc_id take no part;
 rows that share a doc_id are parts of one document whose scores add up; null or empty texts have no words, score 0 and no perplexity; an empty table gives an
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +35,16 @@ from .text import U64, constants, mix, words
 
 ALPHA = 0.4
 MIN_COUNT = 2
-CODES = 65_535
-DENSE = 256
-#: Pairs that a task gathers before it sends them.
-PAIRS = 1 << 20
-_PAIR = constants(2, 71)
+CODES = 1 << 20
+HOT = 1 << 16
+#: How often an n-gram occurs in some million words to be a candidate for the hot ones.
+LOCAL = 64
+#: Words that a task gathers before it sends what they give.
+CHUNK = 1 << 20
+#: Occurrences that a partition holds, about.
+OCCURRENCES = 4_000_000
+_GRAM = constants(3, 71)
+_END = U64(0x9D39247E33776D41)  # what follows a document's last pair
 
 
 def unigrams(docs: DataFrame) -> DataFrame:
@@ -49,184 +59,364 @@ def unigrams(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Coder:
-    """Codes of the most frequent words, and their counts."""
-
-    def __init__(self, table: pa.Table):
-        word, self.counts = np.asarray(table["word"]).view(U64), np.asarray(table["n"]).astype(np.int64)
-        self.order = np.argsort(word)
-        self.words = word[self.order]
-
-    def codes(self, hashes: np.ndarray) -> np.ndarray:
-        """The code of each word, CODES if it has none."""
-        if not len(self.words):
-            return np.full(len(hashes), CODES)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.order[at], CODES)
-
-
-def _most_frequent(table: DataFrame, codes: int) -> DataFrame:
-    """The most frequent words. A histogram of counts, of a few hundred bars whatever the table's size, tells first which counts can be among them."""
+def _most_frequent(table: DataFrame, rows: int) -> DataFrame:
+    """The rows with the highest n. A histogram of counts, of a few hundred bars whatever the table's size, tells first which counts can be among them."""
     bar = F.floor(F.log2("n") * 8).cast("int")
-    bars = table.groupBy(bar.alias("bar")).agg(F.count("*").alias("words")).orderBy(F.desc("bar")).collect()
+    bars = table.groupBy(bar.alias("bar")).agg(F.count("*").alias("rows")).orderBy(F.desc("bar")).collect()
     least, held = 0, 0
     for b in bars:
-        least, held = b.bar, held + b.words
-        if held >= codes:
+        least, held = b.bar, held + b.rows
+        if held >= rows:
             break
-    return table.where(bar >= least).orderBy(F.desc("n"), "word").limit(codes)
-
+    return table.where(bar >= least).orderBy(F.desc("n"), table.columns[0]).limit(rows)
 
-def _pairs(w) -> tuple[np.ndarray, np.ndarray]:
-    """Documents of all words, and the places of words that follow another of their document."""
-    doc = np.repeat(np.arange(w.hi - w.lo), np.diff(w.bounds))
-    return doc, np.flatnonzero(doc[1:] == doc[:-1]) + 1
 
+class Table:
+    """Counts of some hashes."""
 
-def _dense_counts(docs: DataFrame, coder: Coder, size: int) -> np.ndarray:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = np.sort(coder.words[coder.order < size])
-        code = coder.codes(top)
-        total = np.zeros(size * size, np.int64)
-        for batch in batches:
-            for w in words(batch.column(0)):
-                at = np.minimum(np.searchsorted(top, w.hashes), max(0, len(top) - 1))
-                own = np.where(top[at] == w.hashes, code[at], size) if len(top) else np.full(len(w.hashes), size)
-                _, second = _pairs(w)
-                a, b = own[second - 1], own[second]
-                both = (a < size) & (b < size)
-                total += np.bincount(a[both] * size + b[both], minlength=size * size)
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
 
-    found = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size * size, np.int64)
-    out[np.asarray(found["cell"])] = np.asarray(found["n"])
-    return out
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are in the table, and where."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return self.keys[at] == hashes, at
 
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        """The count of each hash, 0 if it has none."""
+        known, at = self.places(hashes)
+        return np.where(known, self.counts[at], 0) if len(self.keys) else np.zeros(len(hashes), np.int64)
 
-def _sum_by(doc: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ids, inverse = np.unique(doc, return_inverse=True)
-    return ids, np.bincount(inverse, weights=values, minlength=len(ids))
 
+class Coder:
+    """Codes of the most frequent words: the word is its place among them by hash."""
 
-_PARTS = pa.schema([("doc_id", pa.int64()), ("word", pa.int64()), ("sign", pa.int8()), ("score", pa.float64()), ("n_words", pa.int64())])
-_PARTS_DDL = "doc_id long, word long, sign byte, score double, n_words long"
+    def __init__(self, table: pa.Table):
+        self.table = Table(np.asarray(table["word"]).view(U64), np.asarray(table["n"]).astype(np.int64))
+        n = len(self.table.keys)
+        rank = np.argsort(np.argsort(-self.table.counts, kind="stable"), kind="stable")  # frequent words get small codes, which compress
+        self.code = rank.astype(np.int32)
+        self.none, self.end = n, n + 1
+        self.hashes = np.zeros(n + 2, U64)
+        self.hashes[rank] = self.table.keys
+        self.hashes[self.end] = _END
+        self.log = np.zeros(n + 2)
+        self.log[rank] = np.log(np.maximum(self.table.counts, 1))
 
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        known, at = self.table.places(hashes)
+        return np.where(known, self.code[at], self.none).astype(np.int32) if len(self.code) else np.full(len(hashes), self.none, np.int32)
+
+
+def _gram(*hashes: np.ndarray) -> np.ndarray:
+    out = np.full(len(hashes[0]), U64(len(hashes)), U64)
+    for h, c in zip(hashes, _GRAM):
+        out += h * c
+    return mix(out)
+
+
+class Chunk(NamedTuple):
+    """Words of some documents on end: hashes, the document each word is in (a place in ids), and its number in it."""
+
+    ids: np.ndarray
+    hashes: np.ndarray
+    doc: np.ndarray
+    place: np.ndarray
+    counts: np.ndarray
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    """Batches of doc_id and text, cut between documents after about ``CHUNK`` words."""
+    for batch in batches:
+        ids, held, size = np.asarray(batch.column(0)), [], 0
+        for w in words(batch.column(1)):
+            held.append((ids[w.lo : w.hi], w.hashes, np.diff(w.bounds)))
+            size += len(w.hashes)
+            if size >= CHUNK:
+                yield _chunk(held)
+                held, size = [], 0
+        if held:
+            yield _chunk(held)
+
+
+def _chunk(held: list[tuple]) -> Chunk:
+    ids, hashes, n = (np.concatenate(x) for x in zip(*held))
+    first = np.cumsum(n) - n
+    return Chunk(ids, hashes, np.repeat(np.arange(len(ids)), n), np.arange(len(hashes)) - np.repeat(first, n), n)
+
+
+def _candidates(docs: DataFrame, local: int) -> DataFrame:
+    """gram, prefix (of a triple: its first pair) and n of pairs and triples that are frequent in some chunk, added up over those chunks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _chunks(batches):
+            h = c.hashes
+            two, three = np.flatnonzero(c.place >= 1), np.flatnonzero(c.place >= 2)
+            gram, n = np.unique(_gram(h[two - 1], h[two]), return_counts=True)
+            often = n >= local
+            yield pa.RecordBatch.from_arrays([pa.array(gram[often].view(np.int64)), pa.nulls(int(often.sum()), pa.int64()), pa.array(n[often])], names)
+            gram, first, n = np.unique(_gram(h[three - 2], h[three - 1], h[three]), return_index=True, return_counts=True)
+            often = n >= local
+            at = three[first[often]]
+            yield pa.RecordBatch.from_arrays([pa.array(gram[often].view(np.int64)), pa.array(_gram(h[at - 2], h[at - 1]).view(np.int64)), pa.array(n[often])], names)
+
+    names = ["gram", "prefix", "n"]
+    return docs.mapInArrow(work, "gram long, prefix long, n long").groupBy("gram", "prefix").agg(F.sum("n").alias("n"))
+
+
+def _hot(docs: DataFrame, rows: int, local: int) -> tuple[Table, Table]:
+    """The most frequent pairs and triples with their counts over all documents; a triple's first pair is among the pairs."""
+    found = storage.keep(_candidates(docs, local), "candidates")
+    two = np.sort(np.asarray(_most_frequent(found.where("prefix IS NULL").select("gram", "n"), rows).toArrow()["gram"]).astype(np.int64).view(U64))
+    triples = _most_frequent(found.where("prefix IS NOT NULL").select("gram", "n", "prefix"), rows).toArrow()
+    three = np.asarray(triples["gram"]).astype(np.int64).view(U64)
+    three = np.sort(three[np.isin(np.asarray(triples["prefix"]).astype(np.int64).view(U64), two)])
+    keys = [Table(x, np.zeros(len(x), np.int64)) for x in (two, three)]
 
-def _parts(ids: np.ndarray, score: np.ndarray, n_words: np.ndarray | None = None) -> pa.RecordBatch:
-    empty = pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int8())
-    return pa.RecordBatch.from_arrays([pa.array(ids), *empty, pa.array(score.astype(float)), pa.array(np.zeros(len(ids), np.int64) if n_words is None else n_words)], schema=_PARTS)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(len(k.keys) + 1, np.int64) for k in keys]
+        for c in _chunks(batches):
+            h = c.hashes
+            for k, (table, sums) in enumerate(zip(keys, total)):
+                at = np.flatnonzero(c.place >= k + 1)
+                known, cell = table.places(_gram(*(h[at - j] for j in range(k + 1, -1, -1))))
+                sums += np.bincount(cell[known], minlength=len(sums))
+        for k, sums in enumerate(total):
+            cell = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k, np.int32)), pa.array(cell), pa.array(sums[cell])], ["k", "cell", "n"])
+
+    rows_found = docs.mapInArrow(count, "k int, cell long, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toArrow()
+    k, cell, n = (np.asarray(rows_found[c]).astype(np.int64) for c in ("k", "cell", "n"))
+    for i, table in enumerate(keys):
+        table.counts[cell[k == i]] = n[k == i]
+    return keys[0], keys[1]
+
+
+# What travels: occurrences of two or three words as codes or hashes, counts of pairs, and parts of documents' sums.
+PAIRS_CODED, PAIRS, FIRST_CODED, FIRST, TRIPLES_CODED, TRIPLES, COUNTS = range(7)
+_SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("runs", pa.int32()), ("data", pa.binary()), ("docs", pa.binary()), ("doc_id", pa.int64()), ("word", pa.int64()), ("sign", pa.int8()), ("score", pa.float64()), ("n_words", pa.int64())])
+_DDL = "bucket int, kind int, n int, runs int, data binary, docs binary, doc_id long, word long, sign byte, score double, n_words long"
+
+
+def _zstd() -> pa.Codec:
+    return pa.Codec("zstd", 1)
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Codes by their bytes, three planes a column; hashes as they are."""
+    raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes() if c.dtype == np.int32 else c.tobytes() for c in columns)
+    return _zstd().compress(raw, asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, columns: int, coded: bool) -> list[np.ndarray]:
+    width = 3 if coded else 8
+    raw = np.frombuffer(_zstd().decompress(data, n * columns * width, asbytes=True), np.uint8).reshape(columns, n * width)
+    if not coded:
+        return [c.view(U64) for c in raw]
+    out = np.zeros((columns, n, 4), np.uint8)
+    out[:, :, :3] = raw.reshape(columns, 3, n).transpose(0, 2, 1)
+    return [np.ascontiguousarray(c).view(np.int32).reshape(-1) for c in out]
+
+
+def _sent(bucket: np.ndarray, buckets: int, kind: int, columns: list[np.ndarray], owner: np.ndarray | None) -> pa.RecordBatch:
+    """A row for each bucket that occurs; owner: the documents' ids, in runs."""
+    order = np.argsort(bucket, kind="stable")
+    columns = [c[order] for c in columns]
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows: list[tuple] = []
+    for b in np.flatnonzero(np.diff(cuts)):
+        s = slice(cuts[b], cuts[b + 1])
+        docs, m = b"", 0
+        if owner is not None:
+            own = owner[order[s]]
+            new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            m = len(new)
+            docs = _zstd().compress(own[new].tobytes() + np.diff(np.append(new, len(own))).astype(np.uint32).tobytes(), asbytes=True)
+        rows.append((int(b), kind, s.stop - s.start, m, _packed([c[s] for c in columns]), docs))
+    made = [pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 6, _SENT)]
+    return pa.RecordBatch.from_arrays([*made, *(pa.nulls(len(rows), f.type) for f in list(_SENT)[6:])], schema=_SENT)
+
+
+def _owners(docs: bytes, runs: int) -> np.ndarray:
+    raw = _zstd().decompress(docs, 12 * runs, asbytes=True)
+    return np.repeat(np.frombuffer(raw[: 8 * runs], np.int64), np.frombuffer(raw[8 * runs :], np.uint32))
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
+
+
+def _parts(buckets: int, ids: np.ndarray, score: np.ndarray, n_words: np.ndarray | None = None, word: np.ndarray | None = None, sign: int = 0) -> pa.RecordBatch:
+    """Parts of documents' sums. With word: the logarithm of its count, with that sign, is still to be added."""
+    n = len(ids)
+    tail = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int8())] if word is None else [pa.array(word.view(np.int64)), pa.array(np.full(n, sign, np.int8))]
+    bucket = pa.array(_bucket(mix(ids.view(U64)), buckets))
+    return pa.RecordBatch.from_arrays([bucket, *(pa.nulls(n, f.type) for f in list(_SENT)[1:6]), pa.array(ids), *tail, pa.array(score.astype(float)), pa.array(np.zeros(n, np.int64) if n_words is None else n_words)], schema=_SENT)
+
+
+class Scorer(NamedTuple):
+    """What every task knows of the model."""
+
+    coder: Coder
+    pairs: Table
+    triples: Table
+    log_n: float
+    back: float
+    min_count: int
+    buckets: int
+
+    def summed(self, owner: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        ids, inverse = np.unique(owner, return_inverse=True)
+        return _parts(self.buckets, ids, np.bincount(inverse, weights=part, minlength=len(ids)))
+
+    def single(self, word: np.ndarray, code: np.ndarray, owner: np.ndarray, more: float | np.ndarray, sign: int) -> Iterator[pa.RecordBatch]:
+        """Parts more + sign log c(word)."""
+        known, more = code != self.coder.none, more + np.zeros(len(word))
+        yield self.summed(owner[known], more[known] + sign * self.coder.log[code[known]])
+        yield _parts(self.buckets, owner[~known], more[~known], None, word[~known], sign)
+
+    def by_pair(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], count: np.ndarray, owner: np.ndarray, more: float) -> Iterator[pa.RecordBatch]:
+        """Parts of words b (hashes, codes) after a, by the count of the pair, or by the word's own."""
+        seen = count >= self.min_count
+        yield from self.single(a[0][seen], a[1][seen], owner[seen], more + np.log(count[seen]), -1)
+        yield from self.single(b[0][~seen], b[1][~seen], owner[~seen], more + self.back - self.log_n, 1)
+
+    def pairs_or_later(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], owner: np.ndarray, first: bool) -> Iterator[pa.RecordBatch]:
+        """Scores words b after a by hot pairs, and sends the others to their pairs. first: a document's second words, which don't back off from a triple."""
+        gram = _gram(a[0], b[0])
+        hot, at = self.pairs.places(gram)
+        if hot.any():
+            yield from self.by_pair(*((x[hot], c[hot]) for x, c in (a, b)), self.pairs.counts[at[hot]], owner[hot], 0.0 if first else self.back)
+        coded = (a[1] != self.coder.none) & (b[1] != self.coder.none)
+        for kind, take, k in ((FIRST_CODED if first else PAIRS_CODED, ~hot & coded, 1), (FIRST if first else PAIRS, ~hot & ~coded, 0)):
+            if take.any():
+                yield _sent(_bucket(gram[take], self.buckets), self.buckets, kind, [a[k][take], b[k][take]], owner[take])
+
+    def explode(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Triples, sent to where they are counted; what needs no further count is scored here."""
+        for c in _chunks(batches):
+            h, code, owner = c.hashes, self.coder.codes(c.hashes), c.ids[c.doc]
+            yield _parts(self.buckets, c.ids, np.zeros(len(c.ids)), c.counts)
+            at = np.flatnonzero(c.place == 0)
+            yield from self.single(h[at], code[at], owner[at], -self.log_n, 1)
+            at = np.flatnonzero(c.place == 1)
+            yield from self.pairs_or_later((h[at - 1], code[at - 1]), (h[at], code[at]), owner[at], True)
+            # Triples, and each document's last pair with nothing after it.
+            ends = np.cumsum(c.counts)[c.counts >= 2]
+            third = np.concatenate([np.flatnonzero(c.place >= 2), ends])
+            is_end = np.arange(len(third)) >= len(third) - len(ends)
+            inner = np.minimum(third, len(h) - 1)
+            h3, c3 = np.where(is_end, _END, h[inner] if len(h) else U64(0)), np.where(is_end, self.coder.end, code[inner] if len(h) else 0).astype(np.int32)
+            order = np.argsort(third - is_end, kind="stable")
+            third, is_end, h3, c3 = third[order], is_end[order], h3[order], c3[order]
+            one, two = third - 2, third - 1
+            pair, gram, own = _gram(h[one], h[two]), _gram(h[one], h[two], h3), owner[two]
+            hot, _ = self.pairs.places(pair)
+            known, cell = self.triples.places(gram)
+            known &= hot & ~is_end
+            if known.any():
+                counted = self.triples.counts[cell[known]]
+                seen = counted >= self.min_count
+                yield self.summed(own[known][seen], np.log(counted[seen]) - np.log(self.pairs.get(pair[known][seen])))
+                rest = np.flatnonzero(known)[~seen]
+                yield from self.pairs_or_later((h[two[rest]], code[two[rest]]), (h3[rest], c3[rest]), own[rest], False)
+            go = ~known & ~(hot & is_end)
+            coded = (code[one] != self.coder.none) & (code[two] != self.coder.none) & (c3 != self.coder.none)
+            bucket = _bucket(np.where(hot, gram, pair), self.buckets)
+            for kind, take, columns in ((TRIPLES_CODED, go & coded, (code[one], code[two], c3)), (TRIPLES, go & ~coded, (h[one], h[two], h3))):
+                if take.any():
+                    yield _sent(bucket[take], self.buckets, kind, [x[take] for x in columns], own[take])
+
+    @staticmethod
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, object]]:
+        """Rows of sums as they are (no kind), and the kind and the packed columns of all else."""
+        for batch in batches:
+            sums = batch.filter(batch.column("doc_id").is_valid())
+            if sums.num_rows:
+                yield None, sums
+            blobs = batch.filter(batch.column("kind").is_valid())
+            for kind, n, runs, data, docs in zip(*(blobs.column(c).to_pylist() for c in ("kind", "n", "runs", "data", "docs"))):
+                yield kind, [n, runs, data, docs]
+
+    def words_of(self, rows: list[tuple[int, list]], columns: int, coded: tuple[int, ...]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Hashes and codes of each column, and the documents, of rows that travelled."""
+        hashes, codes, owner = [[] for _ in range(columns)], [[] for _ in range(columns)], []
+        for kind, (n, runs, data, docs) in rows:
+            for i, c in enumerate(_unpacked(data, n, columns, kind in coded)):
+                hashes[i].append(self.coder.hashes[c] if kind in coded else c)
+                codes[i].append(c if kind in coded else self.coder.codes(c))
+            owner.append(_owners(docs, runs))
+        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        return [(join(h, U64), join(c, np.int32)) for h, c in zip(hashes, codes)], join(owner, np.int64)
+
+    def triples_counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts triples and their first pairs, scores what was counted, and sends on the pair table and what backs off."""
+        own = []
+        for kind, row in self.gathered(batches):
+            if kind is None:
+                yield row
+            elif kind in (TRIPLES_CODED, TRIPLES):
+                own.append((kind, row))
+            else:  # on its way to its pair; the bucket is the same
+                words_, owner = self.words_of([(kind, row)], 2, (PAIRS_CODED, FIRST_CODED))
+                coded = kind in (PAIRS_CODED, FIRST_CODED)
+                yield _sent(_bucket(_gram(words_[0][0], words_[1][0]), self.buckets), self.buckets, kind, [w[1] if coded else w[0] for w in words_], owner)
+        if not own:
+            return
+        (a, b, c), owner = self.words_of(own, 3, (TRIPLES_CODED,))
+        del own
+        pair = _gram(a[0], b[0])
+        _, inverse, counts = np.unique(_gram(a[0], b[0], c[0]), return_inverse=True, return_counts=True)
+        count = counts[inverse]
+        del inverse
+        hot, at = self.pairs.places(pair)
+        keys, inverse, counts = np.unique(pair[~hot], return_inverse=True, return_counts=True)
+        of_pair = np.where(hot, self.pairs.counts[at] if len(self.pairs.keys) else 0, 0)
+        of_pair[~hot] = counts[inverse]
+        often = counts >= self.min_count
+        if often.any():
+            yield _sent(_bucket(keys[often], self.buckets), self.buckets, COUNTS, [keys[often], counts[often].astype(U64)], None)
+        word = c[0] != _END
+        seen = word & (count >= self.min_count)
+        yield self.summed(owner[seen], np.log(count[seen]) - np.log(of_pair[seen]))
+        later = word & ~seen
+        yield from self.pairs_or_later(*((h[later], k[later]) for h, k in (b, c)), owner[later], False)
+
+    def pairs_counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Joins what backed off with the pair table."""
+        keys, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        own: dict[bool, list] = {True: [], False: []}
+        for kind, row in self.gathered(batches):
+            if kind is None:
+                yield row
+            elif kind == COUNTS:
+                k, c = _unpacked(row[2], row[0], 2, False)
+                keys.append(k)
+                counts.append(c.astype(np.int64))
+            else:
+                own[kind in (FIRST_CODED, FIRST)].append((kind, row))
+        table = Table(np.concatenate(keys), np.concatenate(counts))
+        for first, rows in own.items():
+            (a, b), owner = self.words_of(rows, 2, (PAIRS_CODED, FIRST_CODED))
+            if len(owner):
+                yield from self.by_pair(a, b, table.get(_gram(a[0], b[0])), owner, 0.0 if first else self.back)
 
 
-def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, codes: int = CODES, top: int = DENSE) -> DataFrame:
+def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, codes: int = CODES, hot: int = HOT, local: int = LOCAL, occurrences: int = OCCURRENCES) -> DataFrame:
     """doc_id, n_words, score (sum of natural logarithms) and perplexity."""
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = storage.keep(unigrams(docs), "unigrams")
     total = table.agg(F.sum("n")).first()[0] or 1
-    coder = Coder(_most_frequent(table, codes).toArrow())
-    log_c1 = np.append(np.log(np.maximum(coder.counts, 1)), 0.0)
-    log_c1 = np.append(log_c1, np.zeros(CODES + 1 - len(log_c1)))  # 0 for words without a code
-    dense = _dense_counts(docs, coder, top)
-    buckets = storage.partitions(spark)
-    back, log_n = math.log(alpha), math.log(total)
-    # What travels: pairs of two codes, code and word, word and code, two words.
-    kinds = ((np.uint16, np.uint16), (np.uint16, U64), (U64, np.uint16), (U64, U64))
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per bucket and kind: the pairs, and how many each document has; what needs no pair count is summed here."""
-        for batch in batches:
-            ids, pieces, held = np.asarray(batch.column(0)), [], 0
-            for w in words(batch.column(1)):
-                code, (doc, second) = coder.codes(w.hashes), _pairs(w)
-                doc = doc + w.lo
-                a, b = code[second - 1], code[second]
-                inner = (a < top) & (b < top)
-                c2 = dense[a[inner] * top + b[inner]]
-                own = np.where(c2 >= min_count, np.log(np.maximum(c2, 1)) - log_c1[a[inner]], back + log_c1[b[inner]] - log_n)
-                first = np.setdiff1d(np.arange(len(doc)), second, assume_unique=True)
-                known = first[code[first] < CODES]
-                sums = np.bincount(doc[second[inner]] - w.lo, weights=own, minlength=w.hi - w.lo) + np.bincount(doc[known] - w.lo, weights=log_c1[code[known]] - log_n, minlength=w.hi - w.lo)
-                yield out(_parts(ids[w.lo : w.hi], sums, np.diff(w.bounds)))
-                rest = first[code[first] == CODES]
-                yield out(_tail(w.hashes[rest], ids[doc[rest]], 1, -log_n))
-                pieces.append((w.hashes[second - 1][~inner], w.hashes[second][~inner], a[~inner].astype(np.int32), b[~inner].astype(np.int32), doc[second][~inner].astype(np.int32)))
-                held += len(second)
-                if held > PAIRS:
-                    yield from packed(ids, pieces)
-                    pieces, held = [], 0
-            if pieces:
-                yield from packed(ids, pieces)
-
-    def packed(ids: np.ndarray, pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
-        p, h, a, b, doc = (np.concatenate(x) for x in zip(*pieces))
-        kind = (a == CODES) * 2 + (b == CODES)
-        for k, (left, right) in enumerate(kinds):
-            at = np.flatnonzero(kind == k)
-            one, two = (a if left is np.uint16 else p)[at].astype(left), (b if right is np.uint16 else h)[at].astype(right)
-            bucket = ((mix(p[at] * _PAIR[0] + h[at] * _PAIR[1]) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")  # documents stay in order within a bucket
-            one, two, owner = one[order], two[order], doc[at][order]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for x in np.flatnonzero(np.diff(cuts)):
-                s = slice(cuts[x], cuts[x + 1])
-                new = np.flatnonzero(np.diff(owner[s], prepend=-1))
-                n = np.diff(np.append(new, s.stop - s.start)).astype(np.uint32)
-                yield pa.RecordBatch.from_pydict({"bucket": [int(x)], "kind": [k], "one": [one[s].tobytes()], "two": [two[s].tobytes()], "docs": [ids[owner[s][new]].tobytes()], "n": [n.tobytes()]} | {f.name: pa.nulls(1, f.type) for f in _PARTS}, sent)
-
-    sent = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("one", "two", "docs", "n")), *_PARTS])
-
-    def out(parts: pa.RecordBatch) -> pa.RecordBatch:
-        """Parts that are ready, passed through the shuffle by document."""
-        bucket = (mix(np.asarray(parts.column(0)).view(U64)) % U64(buckets)).astype(np.int32)
-        empty = [pa.nulls(parts.num_rows, f.type) for f in list(sent)[1:6]]
-        return pa.RecordBatch.from_arrays([pa.array(bucket), *empty, *parts.columns], schema=sent)
-
-    def _tail(word: np.ndarray, ids: np.ndarray, sign: int, rest: np.ndarray | float) -> pa.RecordBatch:
-        """Parts that need the count of a word without a code, with that logarithm's sign."""
-        n = len(word)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(word.view(np.int64)), pa.array(np.full(n, sign, np.int8)), pa.array(np.zeros(n) + rest), pa.array(np.zeros(n, np.int64))], schema=_PARTS)
-
-    def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts the pairs of the task's buckets and scores their occurrences."""
-        held: dict[int, list[tuple]] = {k: [] for k in range(len(kinds))}
-        for batch in batches:
-            ready = batch.filter(batch.column("doc_id").is_valid())
-            if ready.num_rows:
-                yield pa.RecordBatch.from_arrays(ready.columns[6:], schema=_PARTS)
-            blobs = batch.filter(batch.column("kind").is_valid())
-            for k, *x in zip(*(blobs.column(c).to_pylist() for c in ("kind", "one", "two", "docs", "n"))):
-                held[k].append(x)
-        sums: list[tuple[np.ndarray, np.ndarray]] = []
-        for k, (left, right) in enumerate(kinds):
-            own = held.pop(k)
-            if not own:
-                continue
-            one, two = (np.frombuffer(b"".join(x[i] for x in own), t) for i, t in enumerate((left, right)))
-            doc = np.repeat(np.frombuffer(b"".join(x[2] for x in own), np.int64), np.frombuffer(b"".join(x[3] for x in own), np.uint32))
-            del own
-            pair = mix(one.astype(U64) * _PAIR[0] + two.astype(U64) * _PAIR[1])
-            _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-            c2 = count[inverse]
-            del pair, inverse
-            seen = c2 >= min_count
-            part = np.where(seen, np.log(c2), back - log_n)
-            if left is np.uint16:
-                part[seen] -= log_c1[one[seen]]
-            else:
-                yield _tail(one[seen], doc[seen], -1, part[seen])
-            if right is np.uint16:
-                part[~seen] += log_c1[two[~seen]]
-            else:
-                yield _tail(two[~seen], doc[~seen], 1, part[~seen])
-            done = np.where(seen, left is np.uint16, right is np.uint16)
-            sums.append((doc[done], part[done]))
-        if sums:
-            yield _parts(*_sum_by(*(np.concatenate(x) for x in zip(*sums))))
-
-    ddl = f"bucket int, kind int, one binary, two binary, docs binary, n binary, {_PARTS_DDL}"
-    parts = storage.keep(docs.mapInArrow(explode, ddl).repartitionById(buckets, "bucket").mapInArrow(lookup, _PARTS_DDL), "scores")
+    pairs, triples = _hot(docs, hot, local)
+    buckets = max(storage.partitions(spark), -(-total // occurrences))
+    scorer = Scorer(Coder(_most_frequent(table, codes).toArrow()), pairs, triples, math.log(total), math.log(alpha), min_count, buckets)
+    sent = docs.mapInArrow(scorer.explode, _DDL).repartitionById(buckets, "bucket").mapInArrow(scorer.triples_counted, _DDL)
+    parts = sent.repartitionById(buckets, "bucket").mapInArrow(scorer.pairs_counted, _DDL)
+    parts = storage.keep(parts.select("doc_id", "word", "sign", "score", "n_words"), "scores")
     tail = parts.where("word is not null").join(table, "word")
     tail = tail.select("doc_id", (F.col("score") + F.col("sign") * F.log("n")).alias("score"), "n_words")
     every = parts.where("word is null").select("doc_id", "score", "n_words").unionByName(tail)

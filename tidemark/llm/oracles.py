@@ -92,11 +92,17 @@ LM = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
 one AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM d) GROUP BY w),
 total AS (SELECT sum(n) AS n FROM one),
-occ AS MATERIALIZED (SELECT doc_id, CASE WHEN i > 1 THEN w[i - 1] END AS p, w[i] AS w FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+occ AS MATERIALIZED (SELECT doc_id, CASE WHEN i > 2 THEN w[i - 2] END AS o, CASE WHEN i > 1 THEN w[i - 1] END AS p, w[i] AS w FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 two AS (SELECT p, w, count(*) AS n FROM occ WHERE p IS NOT NULL GROUP BY ALL),
+three AS (SELECT o, p, w, count(*) AS n FROM occ WHERE o IS NOT NULL GROUP BY ALL),
 scored AS (
-    SELECT doc_id, CASE WHEN o.p IS NULL THEN ln(b.n / total.n) WHEN two.n >= {lm.MIN_COUNT} THEN ln(two.n / a.n) ELSE ln({lm.ALPHA} * b.n / total.n) END AS s
-    FROM occ o JOIN one b ON b.w = o.w LEFT JOIN one a ON a.w = o.p LEFT JOIN two ON two.p = o.p AND two.w = o.w CROSS JOIN total
+    SELECT doc_id, CASE
+        WHEN three.n >= {lm.MIN_COUNT} THEN ln(three.n / before.n)
+        WHEN c.p IS NULL THEN ln(b.n / total.n)
+        WHEN two.n >= {lm.MIN_COUNT} THEN ln(CASE WHEN c.o IS NULL THEN 1 ELSE {lm.ALPHA} END * two.n / a.n)
+        ELSE ln(CASE WHEN c.o IS NULL THEN 1 ELSE {lm.ALPHA} END * {lm.ALPHA} * b.n / total.n) END AS s
+    FROM occ c JOIN one b ON b.w = c.w LEFT JOIN one a ON a.w = c.p LEFT JOIN two ON two.p = c.p AND two.w = c.w
+        LEFT JOIN two before ON before.p = c.o AND before.w = c.p LEFT JOIN three ON three.o = c.o AND three.p = c.p AND three.w = c.w CROSS JOIN total
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s.score, 0), 4) AS score, round(CASE WHEN len(w) > 0 THEN exp(-s.score / len(w)) END, 2) AS perplexity
 FROM d LEFT JOIN (SELECT doc_id, sum(s) AS score FROM scored GROUP BY doc_id) s USING (doc_id)
