@@ -11,8 +11,9 @@ c(a, b, word) / c(a, b) if the triple with the two words before it was counted `
    and triple tables are counted, and occurrences of counted triples are scored.
 4. Occurrences that back off go, once, to the partition of their second pair and meet the pair table there. Counts of words without a code are joined in as rows.
 
-What travels is coded, never left out: columns of code bytes, runs of documents, compressed. A task sorts about ``OCCURRENCES`` of them, however large the input. N-grams
-are told apart by 64-bit hashes.
+An n-gram with a word that was counted less than ``min_count`` times was so itself. Such words are known from the word table, by a filter that says of each other word
+whether it may be frequent enough; what needs only them is scored where it stands. All else travels coded, never left out: columns of code bytes, runs of documents,
+compressed. A task sorts about ``OCCURRENCES`` of them, however large the input. N-grams are told apart by 64-bit hashes.
 
 Words are runs of characters other than space and U+0009 to U+000D, with A-Z in lower case. Defined cases: rows without doc_id take no part;
 rows that share a doc_id are parts of one document whose scores add up; null or empty texts have no words, score 0 and no perplexity; an empty table gives an
@@ -30,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import storage
+from . import sketch, storage
 from .text import U64, constants, mix, words
 
 ALPHA = 0.4
 MIN_COUNT = 2
-CODES = 1 << 20
+CODES = 1 << 18
 HOT = 1 << 16
 #: How often an n-gram occurs in some million words to be a candidate for the hot ones.
 LOCAL = 64
@@ -92,11 +93,12 @@ class Table:
 
 
 class Coder:
-    """Codes of the most frequent words: the word is its place among them by hash."""
+    """Codes of the most frequent words."""
 
-    def __init__(self, table: pa.Table):
-        self.table = Table(np.asarray(table["word"]).view(U64), np.asarray(table["n"]).astype(np.int64))
-        n = len(self.table.keys)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, min_count: int):
+        self.given = keys, counts, min_count
+        self.table = Table(keys, counts)
+        n = len(keys)
         rank = np.argsort(np.argsort(-self.table.counts, kind="stable"), kind="stable")  # frequent words get small codes, which compress
         self.code = rank.astype(np.int32)
         self.none, self.end = n, n + 1
@@ -105,6 +107,11 @@ class Coder:
         self.hashes[self.end] = _END
         self.log = np.zeros(n + 2)
         self.log[rank] = np.log(np.maximum(self.table.counts, 1))
+        self.rare = np.zeros(n + 2, bool)
+        self.rare[rank] = self.table.counts < min_count
+
+    def __reduce__(self):
+        return Coder, self.given
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
         known, at = self.table.places(hashes)
@@ -261,6 +268,7 @@ class Scorer(NamedTuple):
     """What every task knows of the model."""
 
     coder: Coder
+    often: sketch.Bloom
     pairs: Table
     triples: Table
     log_n: float
@@ -272,11 +280,21 @@ class Scorer(NamedTuple):
         ids, inverse = np.unique(owner, return_inverse=True)
         return _parts(self.buckets, ids, np.bincount(inverse, weights=part, minlength=len(ids)))
 
+    def rare(self, word: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Words that were certainly counted less than min_count times."""
+        out = self.coder.rare[code]
+        other = np.flatnonzero(code == self.coder.none)
+        out[other] = ~self.often.test(word[other])
+        return out
+
     def single(self, word: np.ndarray, code: np.ndarray, owner: np.ndarray, more: float | np.ndarray, sign: int) -> Iterator[pa.RecordBatch]:
         """Parts more + sign log c(word)."""
         known, more = code != self.coder.none, more + np.zeros(len(word))
+        if self.min_count == 2:  # what was counted less often was counted once
+            known |= self.rare(word, code)
         yield self.summed(owner[known], more[known] + sign * self.coder.log[code[known]])
-        yield _parts(self.buckets, owner[~known], more[~known], None, word[~known], sign)
+        if not known.all():
+            yield _parts(self.buckets, owner[~known], more[~known], None, word[~known], sign)
 
     def by_pair(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], count: np.ndarray, owner: np.ndarray, more: float) -> Iterator[pa.RecordBatch]:
         """Parts of words b (hashes, codes) after a, by the count of the pair, or by the word's own."""
@@ -286,6 +304,10 @@ class Scorer(NamedTuple):
 
     def pairs_or_later(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], owner: np.ndarray, first: bool) -> Iterator[pa.RecordBatch]:
         """Scores words b after a by hot pairs, and sends the others to their pairs. first: a document's second words, which don't back off from a triple."""
+        rare = self.rare(*a) | self.rare(*b)
+        if rare.any():
+            yield from self.single(b[0][rare], b[1][rare], owner[rare], self.back * (1 if first else 2) - self.log_n, 1)
+            a, b, owner = (a[0][~rare], a[1][~rare]), (b[0][~rare], b[1][~rare]), owner[~rare]
         gram = _gram(a[0], b[0])
         hot, at = self.pairs.places(gram)
         if hot.any():
@@ -313,6 +335,14 @@ class Scorer(NamedTuple):
             order = np.argsort(third - is_end, kind="stable")
             third, is_end, h3, c3 = third[order], is_end[order], h3[order], c3[order]
             one, two = third - 2, third - 1
+            # Where a word of the first pair is rare, nothing counts the pair; where the last one is, the pair alone is counted.
+            rare = self.rare(h, code)
+            last, first = ~is_end & rare[np.minimum(third, len(h) - 1)] if len(h) else is_end, rare[one] | rare[two]
+            later = np.flatnonzero(~is_end & (first | last))
+            if len(later):
+                yield from self.pairs_or_later((h[two[later]], code[two[later]]), (h3[later], c3[later]), owner[two[later]], False)
+            h3, c3, is_end = np.where(last, _END, h3), np.where(last, self.coder.end, c3).astype(np.int32), is_end | last
+            third, is_end, h3, c3, one, two = (x[~first] for x in (third, is_end, h3, c3, one, two))
             pair, gram, own = _gram(h[one], h[two]), _gram(h[one], h[two], h3), owner[two]
             hot, _ = self.pairs.places(pair)
             known, cell = self.triples.places(gram)
@@ -413,9 +443,13 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, cod
     total = table.agg(F.sum("n")).first()[0] or 1
     pairs, triples = _hot(docs, hot, local)
     buckets = max(storage.partitions(spark), -(-total // occurrences))
-    scorer = Scorer(Coder(_most_frequent(table, codes).toArrow()), pairs, triples, math.log(total), math.log(alpha), min_count, buckets)
-    sent = docs.mapInArrow(scorer.explode, _DDL).repartitionById(buckets, "bucket").mapInArrow(scorer.triples_counted, _DDL)
-    parts = sent.repartitionById(buckets, "bucket").mapInArrow(scorer.pairs_counted, _DDL)
+    top = _most_frequent(table, codes).toArrow()
+    coder = Coder(np.asarray(top["word"]).astype(np.int64).view(U64), np.asarray(top["n"]).astype(np.int64), min_count)
+    often = table.where(F.col("n") >= min_count).select("word")
+    # One copy for each executor, of fixed size, whichever step asks for it.
+    model = spark.sparkContext.broadcast(Scorer(coder, sketch.bloom(often, sketch.fitting(often.count())), pairs, triples, math.log(total), math.log(alpha), min_count, buckets))
+    sent = docs.mapInArrow(lambda b: model.value.explode(b), _DDL).repartitionById(buckets, "bucket").mapInArrow(lambda b: model.value.triples_counted(b), _DDL)
+    parts = sent.repartitionById(buckets, "bucket").mapInArrow(lambda b: model.value.pairs_counted(b), _DDL)
     parts = storage.keep(parts.select("doc_id", "word", "sign", "score", "n_words"), "scores")
     tail = parts.where("word is not null").join(table, "word")
     tail = tail.select("doc_id", (F.col("score") + F.col("sign") * F.log("n")).alias("score"), "n_words")
