@@ -36,14 +36,14 @@ from .text import U64, constants, mix, words
 
 ALPHA = 0.4
 MIN_COUNT = 2
-CODES = 1 << 18
+CODES = 1 << 20
 HOT = 1 << 16
 #: How often an n-gram occurs in some million words to be a candidate for the hot ones.
 LOCAL = 64
 #: Words that a task gathers before it sends what they give.
 CHUNK = 1 << 20
 #: Occurrences that a partition holds, about.
-OCCURRENCES = 4_000_000
+OCCURRENCES = 3_000_000
 _GRAM = constants(3, 71)
 _END = U64(0x9D39247E33776D41)  # what follows a document's last pair
 
@@ -96,7 +96,7 @@ class Coder:
     """Codes of the most frequent words."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, min_count: int):
-        self.given = keys, counts, min_count
+        self.min_count = min_count
         self.table = Table(keys, counts)
         n = len(keys)
         rank = np.argsort(np.argsort(-self.table.counts, kind="stable"), kind="stable")  # frequent words get small codes, which compress
@@ -111,7 +111,7 @@ class Coder:
         self.rare[rank] = self.table.counts < min_count
 
     def __reduce__(self):
-        return Coder, self.given
+        return Coder, (self.table.keys, self.table.counts, self.min_count)
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
         known, at = self.table.places(hashes)
@@ -155,6 +155,13 @@ def _chunk(held: list[tuple]) -> Chunk:
     return Chunk(ids, hashes, np.repeat(np.arange(len(ids)), n), np.arange(len(hashes)) - np.repeat(first, n), n)
 
 
+def _maybe(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those hashes, and their places, that may occur least times: as often at least as others with the same 21 bits."""
+    slot = (hashes >> U64(43)).astype(np.int64)
+    at = np.flatnonzero(np.bincount(slot, minlength=1 << 21)[slot] >= least)
+    return hashes[at], at
+
+
 def _candidates(docs: DataFrame, local: int) -> DataFrame:
     """gram, prefix (of a triple: its first pair) and n of pairs and triples that are frequent in some chunk, added up over those chunks."""
 
@@ -162,12 +169,13 @@ def _candidates(docs: DataFrame, local: int) -> DataFrame:
         for c in _chunks(batches):
             h = c.hashes
             two, three = np.flatnonzero(c.place >= 1), np.flatnonzero(c.place >= 2)
-            gram, n = np.unique(_gram(h[two - 1], h[two]), return_counts=True)
+            gram, n = np.unique(_maybe(_gram(h[two - 1], h[two]), local)[0], return_counts=True)
             often = n >= local
             yield pa.RecordBatch.from_arrays([pa.array(gram[often].view(np.int64)), pa.nulls(int(often.sum()), pa.int64()), pa.array(n[often])], names)
-            gram, first, n = np.unique(_gram(h[three - 2], h[three - 1], h[three]), return_index=True, return_counts=True)
+            gram, kept = _maybe(_gram(h[three - 2], h[three - 1], h[three]), local)
+            gram, first, n = np.unique(gram, return_index=True, return_counts=True)
             often = n >= local
-            at = three[first[often]]
+            at = three[kept[first[often]]]
             yield pa.RecordBatch.from_arrays([pa.array(gram[often].view(np.int64)), pa.array(_gram(h[at - 2], h[at - 1]).view(np.int64)), pa.array(n[often])], names)
 
     names = ["gram", "prefix", "n"]
@@ -203,9 +211,10 @@ def _hot(docs: DataFrame, rows: int, local: int) -> tuple[Table, Table]:
 
 
 # What travels: occurrences of two or three words as codes or hashes, counts of pairs, and parts of documents' sums.
-PAIRS_CODED, PAIRS, FIRST_CODED, FIRST, TRIPLES_CODED, TRIPLES, COUNTS = range(7)
+PAIRS_CODED, PAIRS, FIRST_CODED, FIRST, TRIPLES_CODED, TRIPLES, COUNTS, SUMS = range(8)
 _SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("runs", pa.int32()), ("data", pa.binary()), ("docs", pa.binary()), ("doc_id", pa.int64()), ("word", pa.int64()), ("sign", pa.int8()), ("score", pa.float64()), ("n_words", pa.int64())])
 _DDL = "bucket int, kind int, n int, runs int, data binary, docs binary, doc_id long, word long, sign byte, score double, n_words long"
+Sums = list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # documents, parts of their scores, and words
 
 
 def _zstd() -> pa.Codec:
@@ -264,6 +273,17 @@ def _parts(buckets: int, ids: np.ndarray, score: np.ndarray, n_words: np.ndarray
     return pa.RecordBatch.from_arrays([bucket, *(pa.nulls(n, f.type) for f in list(_SENT)[1:6]), pa.array(ids), *tail, pa.array(score.astype(float)), pa.array(np.zeros(n, np.int64) if n_words is None else n_words)], schema=_SENT)
 
 
+def _summed(sums: Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    owner, part, n = (np.concatenate(x) for x in zip(*sums))
+    ids, inverse = np.unique(owner, return_inverse=True)
+    return ids, np.bincount(inverse, weights=part, minlength=len(ids)), np.bincount(inverse, weights=n, minlength=len(ids)).astype(np.int64)
+
+
+def _sums(row: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, part, n = _unpacked(row[2], row[0], 3, False)
+    return ids.view(np.int64), part.view(np.float64), n.view(np.int64)
+
+
 class Scorer(NamedTuple):
     """What every task knows of the model."""
 
@@ -276,9 +296,16 @@ class Scorer(NamedTuple):
     min_count: int
     buckets: int
 
-    def summed(self, owner: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-        ids, inverse = np.unique(owner, return_inverse=True)
-        return _parts(self.buckets, ids, np.bincount(inverse, weights=part, minlength=len(ids)))
+    @staticmethod
+    def add(sums: Sums, owner: np.ndarray, part: np.ndarray) -> None:
+        if len(owner):
+            sums.append(_summed([(owner, part, np.zeros(len(owner), np.int64))]))
+
+    def sent_sums(self, sums: Sums, bucket: int) -> Iterator[pa.RecordBatch]:
+        """Sums, on their way through the shuffles."""
+        if sums:
+            columns = [x.view(U64) for x in _summed(sums)]
+            yield _sent(np.full(len(columns[0]), bucket, np.int32), self.buckets, SUMS, columns, None)
 
     def rare(self, word: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Words that were certainly counted less than min_count times."""
@@ -287,31 +314,31 @@ class Scorer(NamedTuple):
         out[other] = ~self.often.test(word[other])
         return out
 
-    def single(self, word: np.ndarray, code: np.ndarray, owner: np.ndarray, more: float | np.ndarray, sign: int) -> Iterator[pa.RecordBatch]:
-        """Parts more + sign log c(word)."""
+    def single(self, word: np.ndarray, code: np.ndarray, owner: np.ndarray, more: float | np.ndarray, sign: int, sums: Sums) -> Iterator[pa.RecordBatch]:
+        """Adds more + sign log c(word) to sums, or sends it where the count isn't known."""
         known, more = code != self.coder.none, more + np.zeros(len(word))
         if self.min_count == 2:  # what was counted less often was counted once
             known |= self.rare(word, code)
-        yield self.summed(owner[known], more[known] + sign * self.coder.log[code[known]])
+        self.add(sums, owner[known], more[known] + sign * self.coder.log[code[known]])
         if not known.all():
             yield _parts(self.buckets, owner[~known], more[~known], None, word[~known], sign)
 
-    def by_pair(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], count: np.ndarray, owner: np.ndarray, more: float) -> Iterator[pa.RecordBatch]:
+    def by_pair(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], count: np.ndarray, owner: np.ndarray, more: float, sums: Sums) -> Iterator[pa.RecordBatch]:
         """Parts of words b (hashes, codes) after a, by the count of the pair, or by the word's own."""
         seen = count >= self.min_count
-        yield from self.single(a[0][seen], a[1][seen], owner[seen], more + np.log(count[seen]), -1)
-        yield from self.single(b[0][~seen], b[1][~seen], owner[~seen], more + self.back - self.log_n, 1)
+        yield from self.single(a[0][seen], a[1][seen], owner[seen], more + np.log(count[seen]), -1, sums)
+        yield from self.single(b[0][~seen], b[1][~seen], owner[~seen], more + self.back - self.log_n, 1, sums)
 
-    def pairs_or_later(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], owner: np.ndarray, first: bool) -> Iterator[pa.RecordBatch]:
+    def pairs_or_later(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], owner: np.ndarray, first: bool, sums: Sums) -> Iterator[pa.RecordBatch]:
         """Scores words b after a by hot pairs, and sends the others to their pairs. first: a document's second words, which don't back off from a triple."""
         rare = self.rare(*a) | self.rare(*b)
         if rare.any():
-            yield from self.single(b[0][rare], b[1][rare], owner[rare], self.back * (1 if first else 2) - self.log_n, 1)
+            yield from self.single(b[0][rare], b[1][rare], owner[rare], self.back * (1 if first else 2) - self.log_n, 1, sums)
             a, b, owner = (a[0][~rare], a[1][~rare]), (b[0][~rare], b[1][~rare]), owner[~rare]
         gram = _gram(a[0], b[0])
         hot, at = self.pairs.places(gram)
         if hot.any():
-            yield from self.by_pair(*((x[hot], c[hot]) for x, c in (a, b)), self.pairs.counts[at[hot]], owner[hot], 0.0 if first else self.back)
+            yield from self.by_pair(*((x[hot], c[hot]) for x, c in (a, b)), self.pairs.counts[at[hot]], owner[hot], 0.0 if first else self.back, sums)
         coded = (a[1] != self.coder.none) & (b[1] != self.coder.none)
         for kind, take, k in ((FIRST_CODED if first else PAIRS_CODED, ~hot & coded, 1), (FIRST if first else PAIRS, ~hot & ~coded, 0)):
             if take.any():
@@ -321,11 +348,11 @@ class Scorer(NamedTuple):
         """Triples, sent to where they are counted; what needs no further count is scored here."""
         for c in _chunks(batches):
             h, code, owner = c.hashes, self.coder.codes(c.hashes), c.ids[c.doc]
-            yield _parts(self.buckets, c.ids, np.zeros(len(c.ids)), c.counts)
+            sums: Sums = [(c.ids, np.zeros(len(c.ids)), c.counts.astype(np.int64))] if len(c.ids) else []
             at = np.flatnonzero(c.place == 0)
-            yield from self.single(h[at], code[at], owner[at], -self.log_n, 1)
+            yield from self.single(h[at], code[at], owner[at], -self.log_n, 1, sums)
             at = np.flatnonzero(c.place == 1)
-            yield from self.pairs_or_later((h[at - 1], code[at - 1]), (h[at], code[at]), owner[at], True)
+            yield from self.pairs_or_later((h[at - 1], code[at - 1]), (h[at], code[at]), owner[at], True, sums)
             # Triples, and each document's last pair with nothing after it.
             ends = np.cumsum(c.counts)[c.counts >= 2]
             third = np.concatenate([np.flatnonzero(c.place >= 2), ends])
@@ -340,7 +367,7 @@ class Scorer(NamedTuple):
             last, first = ~is_end & rare[np.minimum(third, len(h) - 1)] if len(h) else is_end, rare[one] | rare[two]
             later = np.flatnonzero(~is_end & (first | last))
             if len(later):
-                yield from self.pairs_or_later((h[two[later]], code[two[later]]), (h3[later], c3[later]), owner[two[later]], False)
+                yield from self.pairs_or_later((h[two[later]], code[two[later]]), (h3[later], c3[later]), owner[two[later]], False, sums)
             h3, c3, is_end = np.where(last, _END, h3), np.where(last, self.coder.end, c3).astype(np.int32), is_end | last
             third, is_end, h3, c3, one, two = (x[~first] for x in (third, is_end, h3, c3, one, two))
             pair, gram, own = _gram(h[one], h[two]), _gram(h[one], h[two], h3), owner[two]
@@ -350,20 +377,22 @@ class Scorer(NamedTuple):
             if known.any():
                 counted = self.triples.counts[cell[known]]
                 seen = counted >= self.min_count
-                yield self.summed(own[known][seen], np.log(counted[seen]) - np.log(self.pairs.get(pair[known][seen])))
+                self.add(sums, own[known][seen], np.log(counted[seen]) - np.log(self.pairs.get(pair[known][seen])))
                 rest = np.flatnonzero(known)[~seen]
-                yield from self.pairs_or_later((h[two[rest]], code[two[rest]]), (h3[rest], c3[rest]), own[rest], False)
+                yield from self.pairs_or_later((h[two[rest]], code[two[rest]]), (h3[rest], c3[rest]), own[rest], False, sums)
             go = ~known & ~(hot & is_end)
             coded = (code[one] != self.coder.none) & (code[two] != self.coder.none) & (c3 != self.coder.none)
             bucket = _bucket(np.where(hot, gram, pair), self.buckets)
             for kind, take, columns in ((TRIPLES_CODED, go & coded, (code[one], code[two], c3)), (TRIPLES, go & ~coded, (h[one], h[two], h3))):
                 if take.any():
                     yield _sent(bucket[take], self.buckets, kind, [x[take] for x in columns], own[take])
+            yield from self.sent_sums(sums, int(_bucket(mix(c.ids[:1].view(U64)), self.buckets)[0]) if len(c.ids) else 0)
 
     @staticmethod
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, object]]:
-        """Rows of sums as they are (no kind), and the kind and the packed columns of all else."""
+    def gathered(batches: Iterator[pa.RecordBatch], at: list[int]) -> Iterator[tuple[int | None, object]]:
+        """Rows that wait for a word's count as they are (no kind), and the kind and the packed columns of all else; at: the bucket."""
         for batch in batches:
+            at[:] = batch.column("bucket").to_pylist()[:1] or at
             sums = batch.filter(batch.column("doc_id").is_valid())
             if sums.num_rows:
                 yield None, sums
@@ -384,10 +413,12 @@ class Scorer(NamedTuple):
 
     def triples_counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts triples and their first pairs, scores what was counted, and sends on the pair table and what backs off."""
-        own = []
-        for kind, row in self.gathered(batches):
+        own, sums, bucket = [], [], [0]
+        for kind, row in self.gathered(batches, bucket):
             if kind is None:
                 yield row
+            elif kind == SUMS:
+                sums.append(_sums(row))
             elif kind in (TRIPLES_CODED, TRIPLES):
                 own.append((kind, row))
             else:  # on its way to its pair; the bucket is the same
@@ -395,6 +426,7 @@ class Scorer(NamedTuple):
                 coded = kind in (PAIRS_CODED, FIRST_CODED)
                 yield _sent(_bucket(_gram(words_[0][0], words_[1][0]), self.buckets), self.buckets, kind, [w[1] if coded else w[0] for w in words_], owner)
         if not own:
+            yield from self.sent_sums(sums, bucket[0])
             return
         (a, b, c), owner = self.words_of(own, 3, (TRIPLES_CODED,))
         del own
@@ -411,17 +443,21 @@ class Scorer(NamedTuple):
             yield _sent(_bucket(keys[often], self.buckets), self.buckets, COUNTS, [keys[often], counts[often].astype(U64)], None)
         word = c[0] != _END
         seen = word & (count >= self.min_count)
-        yield self.summed(owner[seen], np.log(count[seen]) - np.log(of_pair[seen]))
+        self.add(sums, owner[seen], np.log(count[seen]) - np.log(of_pair[seen]))
         later = word & ~seen
-        yield from self.pairs_or_later(*((h[later], k[later]) for h, k in (b, c)), owner[later], False)
+        yield from self.pairs_or_later(*((h[later], k[later]) for h, k in (b, c)), owner[later], False, sums)
+        yield from self.sent_sums(sums, bucket[0])
 
     def pairs_counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Joins what backed off with the pair table."""
         keys, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         own: dict[bool, list] = {True: [], False: []}
-        for kind, row in self.gathered(batches):
+        sums: Sums = []
+        for kind, row in self.gathered(batches, [0]):
             if kind is None:
                 yield row
+            elif kind == SUMS:
+                sums.append(_sums(row))
             elif kind == COUNTS:
                 k, c = _unpacked(row[2], row[0], 2, False)
                 keys.append(k)
@@ -432,7 +468,10 @@ class Scorer(NamedTuple):
         for first, rows in own.items():
             (a, b), owner = self.words_of(rows, 2, (PAIRS_CODED, FIRST_CODED))
             if len(owner):
-                yield from self.by_pair(a, b, table.get(_gram(a[0], b[0])), owner, 0.0 if first else self.back)
+                yield from self.by_pair(a, b, table.get(_gram(a[0], b[0])), owner, 0.0 if first else self.back, sums)
+        if sums:
+            ids, part, n = _summed(sums)
+            yield _parts(self.buckets, ids, part, n)
 
 
 def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, codes: int = CODES, hot: int = HOT, local: int = LOCAL, occurrences: int = OCCURRENCES) -> DataFrame:
