@@ -9,7 +9,9 @@ c(a, b, word) / c(a, b) if the triple with the two words before it was counted `
    table of fixed size). They never travel, so no key of what travels fills a task: a hot n-gram is split among all tasks.
 3. Each other triple occurrence goes once, with its document, to the partition of its first pair (or, if that pair is hot, of the triple). There the pair
    and triple tables are counted, and occurrences of counted triples are scored.
-4. Occurrences that back off go, once, to the partition of their second pair and meet the pair table there. Counts of words without a code are joined in as rows.
+4. Occurrences that back off go, once, to the partition of their second pair and meet the pair table there. What needs the count of a word without a code goes to the
+   partition of that word, where the word table is.
+5. Each step adds up what it has of a document; these sums meet in the document's partition.
 
 An n-gram with a word that was counted less than ``min_count`` times was so itself. Such words are known from the word table, by a filter that says of each other word
 whether it may be frequent enough; what needs only them is scored where it stands. All else travels coded, never left out: columns of code bytes, runs of documents,
@@ -211,10 +213,12 @@ def _hot(docs: DataFrame, rows: int, local: int) -> tuple[Table, Table]:
 
 
 # What travels: occurrences of two or three words as codes or hashes, counts of pairs, and parts of documents' sums.
-PAIRS_CODED, PAIRS, FIRST_CODED, FIRST, TRIPLES_CODED, TRIPLES, COUNTS, SUMS = range(8)
-_SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("runs", pa.int32()), ("data", pa.binary()), ("docs", pa.binary()), ("doc_id", pa.int64()), ("word", pa.int64()), ("sign", pa.int8()), ("score", pa.float64()), ("n_words", pa.int64())])
-_DDL = "bucket int, kind int, n int, runs int, data binary, docs binary, doc_id long, word long, sign byte, score double, n_words long"
+PAIRS_CODED, PAIRS, FIRST_CODED, FIRST, TRIPLES_CODED, TRIPLES, COUNTS, SUMS, WORDS = range(9)
+_SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("runs", pa.int32()), ("data", pa.binary()), ("docs", pa.binary())])
+_DDL = "bucket int, kind int, n int, runs int, data binary, docs binary"
 Sums = list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # documents, parts of their scores, and words
+#: Sums that a task holds before it adds them up.
+HELD = 1 << 21
 
 
 def _zstd() -> pa.Codec:
@@ -252,8 +256,7 @@ def _sent(bucket: np.ndarray, buckets: int, kind: int, columns: list[np.ndarray]
             m = len(new)
             docs = _zstd().compress(own[new].tobytes() + np.diff(np.append(new, len(own))).astype(np.uint32).tobytes(), asbytes=True)
         rows.append((int(b), kind, s.stop - s.start, m, _packed([c[s] for c in columns]), docs))
-    made = [pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 6, _SENT)]
-    return pa.RecordBatch.from_arrays([*made, *(pa.nulls(len(rows), f.type) for f in list(_SENT)[6:])], schema=_SENT)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 6, _SENT)], schema=_SENT)
 
 
 def _owners(docs: bytes, runs: int) -> np.ndarray:
@@ -265,12 +268,11 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
 
 
-def _parts(buckets: int, ids: np.ndarray, score: np.ndarray, n_words: np.ndarray | None = None, word: np.ndarray | None = None, sign: int = 0) -> pa.RecordBatch:
-    """Parts of documents' sums. With word: the logarithm of its count, with that sign, is still to be added."""
-    n = len(ids)
-    tail = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int8())] if word is None else [pa.array(word.view(np.int64)), pa.array(np.full(n, sign, np.int8))]
-    bucket = pa.array(_bucket(mix(ids.view(U64)), buckets))
-    return pa.RecordBatch.from_arrays([bucket, *(pa.nulls(n, f.type) for f in list(_SENT)[1:6]), pa.array(ids), *tail, pa.array(score.astype(float)), pa.array(np.zeros(n, np.int64) if n_words is None else n_words)], schema=_SENT)
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, int]]:
+    """Kind, packed columns and bucket of each row."""
+    for batch in batches:
+        for bucket, kind, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            yield kind, row, bucket
 
 
 def _summed(sums: Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,17 +297,21 @@ class Scorer(NamedTuple):
     back: float
     min_count: int
     buckets: int
+    doc_buckets: int
 
     @staticmethod
     def add(sums: Sums, owner: np.ndarray, part: np.ndarray) -> None:
         if len(owner):
             sums.append(_summed([(owner, part, np.zeros(len(owner), np.int64))]))
 
-    def sent_sums(self, sums: Sums, bucket: int) -> Iterator[pa.RecordBatch]:
-        """Sums, on their way through the shuffles."""
+    def sent_sums(self, sums: Sums) -> Iterator[pa.RecordBatch]:
+        """Sums, to their documents' partitions; each of these is spread over some of the others on the way."""
         if sums:
-            columns = [x.view(U64) for x in _summed(sums)]
-            yield _sent(np.full(len(columns[0]), bucket, np.int32), self.buckets, SUMS, columns, None)
+            columns, width = [x.view(U64) for x in _summed(sums)], self.buckets // self.doc_buckets
+            yield _sent(_bucket(mix(columns[0]), self.doc_buckets) * np.int32(width) + np.int32(int(columns[0][0]) % width), self.buckets, SUMS, columns, None)
+
+    def passed(self, kind: int, row: list, bucket: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((bucket, kind, *row), _SENT)], schema=_SENT)
 
     def rare(self, word: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Words that were certainly counted less than min_count times."""
@@ -321,7 +327,8 @@ class Scorer(NamedTuple):
             known |= self.rare(word, code)
         self.add(sums, owner[known], more[known] + sign * self.coder.log[code[known]])
         if not known.all():
-            yield _parts(self.buckets, owner[~known], more[~known], None, word[~known], sign)
+            columns = [owner[~known].view(U64), word[~known], more[~known].view(U64), np.full(int((~known).sum()), sign, np.int64).view(U64)]
+            yield _sent(_bucket(mix(columns[1]), self.buckets), self.buckets, WORDS, columns, None)
 
     def by_pair(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], count: np.ndarray, owner: np.ndarray, more: float, sums: Sums) -> Iterator[pa.RecordBatch]:
         """Parts of words b (hashes, codes) after a, by the count of the pair, or by the word's own."""
@@ -386,19 +393,7 @@ class Scorer(NamedTuple):
             for kind, take, columns in ((TRIPLES_CODED, go & coded, (code[one], code[two], c3)), (TRIPLES, go & ~coded, (h[one], h[two], h3))):
                 if take.any():
                     yield _sent(bucket[take], self.buckets, kind, [x[take] for x in columns], own[take])
-            yield from self.sent_sums(sums, int(_bucket(mix(c.ids[:1].view(U64)), self.buckets)[0]) if len(c.ids) else 0)
-
-    @staticmethod
-    def gathered(batches: Iterator[pa.RecordBatch], at: list[int]) -> Iterator[tuple[int | None, object]]:
-        """Rows that wait for a word's count as they are (no kind), and the kind and the packed columns of all else; at: the bucket."""
-        for batch in batches:
-            at[:] = batch.column("bucket").to_pylist()[:1] or at
-            sums = batch.filter(batch.column("doc_id").is_valid())
-            if sums.num_rows:
-                yield None, sums
-            blobs = batch.filter(batch.column("kind").is_valid())
-            for kind, n, runs, data, docs in zip(*(blobs.column(c).to_pylist() for c in ("kind", "n", "runs", "data", "docs"))):
-                yield kind, [n, runs, data, docs]
+            yield from self.sent_sums(sums)
 
     def words_of(self, rows: list[tuple[int, list]], columns: int, coded: tuple[int, ...]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
         """Hashes and codes of each column, and the documents, of rows that travelled."""
@@ -413,20 +408,13 @@ class Scorer(NamedTuple):
 
     def triples_counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts triples and their first pairs, scores what was counted, and sends on the pair table and what backs off."""
-        own, sums, bucket = [], [], [0]
-        for kind, row in self.gathered(batches, bucket):
-            if kind is None:
-                yield row
-            elif kind == SUMS:
-                sums.append(_sums(row))
-            elif kind in (TRIPLES_CODED, TRIPLES):
+        own, sums = [], []
+        for kind, row, bucket in _rows(batches):
+            if kind in (TRIPLES_CODED, TRIPLES):
                 own.append((kind, row))
-            else:  # on its way to its pair; the bucket is the same
-                words_, owner = self.words_of([(kind, row)], 2, (PAIRS_CODED, FIRST_CODED))
-                coded = kind in (PAIRS_CODED, FIRST_CODED)
-                yield _sent(_bucket(_gram(words_[0][0], words_[1][0]), self.buckets), self.buckets, kind, [w[1] if coded else w[0] for w in words_], owner)
+            else:  # on its way; the bucket stays
+                yield self.passed(kind, row, bucket)
         if not own:
-            yield from self.sent_sums(sums, bucket[0])
             return
         (a, b, c), owner = self.words_of(own, 3, (TRIPLES_CODED,))
         del own
@@ -446,18 +434,16 @@ class Scorer(NamedTuple):
         self.add(sums, owner[seen], np.log(count[seen]) - np.log(of_pair[seen]))
         later = word & ~seen
         yield from self.pairs_or_later(*((h[later], k[later]) for h, k in (b, c)), owner[later], False, sums)
-        yield from self.sent_sums(sums, bucket[0])
+        yield from self.sent_sums(sums)
 
     def pairs_counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Joins what backed off with the pair table."""
         keys, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         own: dict[bool, list] = {True: [], False: []}
         sums: Sums = []
-        for kind, row in self.gathered(batches, [0]):
-            if kind is None:
-                yield row
-            elif kind == SUMS:
-                sums.append(_sums(row))
+        for kind, row, bucket in _rows(batches):
+            if kind in (SUMS, WORDS):
+                yield self.passed(kind, row, bucket)
             elif kind == COUNTS:
                 k, c = _unpacked(row[2], row[0], 2, False)
                 keys.append(k)
@@ -469,9 +455,46 @@ class Scorer(NamedTuple):
             (a, b), owner = self.words_of(rows, 2, (PAIRS_CODED, FIRST_CODED))
             if len(owner):
                 yield from self.by_pair(a, b, table.get(_gram(a[0], b[0])), owner, 0.0 if first else self.back, sums)
-        if sums:
-            ids, part, n = _summed(sums)
-            yield _parts(self.buckets, ids, part, n)
+        yield from self.sent_sums(sums)
+
+    def words_sent(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The word table's rows of words without a code."""
+        for batch in batches:
+            word, n = np.asarray(batch.column(0)).astype(np.int64).view(U64), np.asarray(batch.column(1)).astype(np.int64)
+            other = ~self.coder.table.places(word)[0]
+            if other.any():
+                yield _sent(_bucket(mix(word[other]), self.buckets), self.buckets, COUNTS, [word[other], n[other].view(U64)], None)
+
+    def words_counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Joins what needs a word's count with the word table, which has those of more than one."""
+        keys, counts, own = [np.zeros(0, U64)], [np.zeros(0, np.int64)], []
+        for kind, row, _ in _rows(batches):
+            columns = _unpacked(row[2], row[0], 2 if kind == COUNTS else 4, False)
+            if kind == COUNTS:
+                keys.append(columns[0])
+                counts.append(columns[1].astype(np.int64))
+            else:
+                own.append(columns)
+        table = Table(np.concatenate(keys), np.concatenate(counts))
+        sums: Sums = []
+        for owner, word, more, sign in own:
+            self.add(sums, owner.view(np.int64), more.view(np.float64) + sign.view(np.int64) * np.log(np.maximum(table.get(word), 1)))
+        yield from self.sent_sums(sums)
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's sums, added up."""
+    sums: Sums = []
+    held = 0
+    for _, row, _ in _rows(batches):
+        sums.append(_sums(row))
+        held += row[0]
+        if held > HELD:
+            sums = [_summed(sums)]
+            held = len(sums[0][0])
+    if sums:
+        ids, part, n = _summed(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(part)], ["doc_id", "n_words", "score"])
 
 
 def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, codes: int = CODES, hot: int = HOT, local: int = LOCAL, occurrences: int = OCCURRENCES) -> DataFrame:
@@ -486,12 +509,11 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, cod
     coder = Coder(np.asarray(top["word"]).astype(np.int64).view(U64), np.asarray(top["n"]).astype(np.int64), min_count)
     often = table.where(F.col("n") >= min_count).select("word")
     # One copy for each executor, of fixed size, whichever step asks for it.
-    model = spark.sparkContext.broadcast(Scorer(coder, sketch.bloom(often, sketch.fitting(often.count())), pairs, triples, math.log(total), math.log(alpha), min_count, buckets))
+    model = spark.sparkContext.broadcast(Scorer(coder, sketch.bloom(often, sketch.fitting(often.count())), pairs, triples, math.log(total), math.log(alpha), min_count, buckets, min(buckets, max(8, -(-total // (16 * occurrences))))))
     sent = docs.mapInArrow(lambda b: model.value.explode(b), _DDL).repartitionById(buckets, "bucket").mapInArrow(lambda b: model.value.triples_counted(b), _DDL)
-    parts = sent.repartitionById(buckets, "bucket").mapInArrow(lambda b: model.value.pairs_counted(b), _DDL)
-    parts = storage.keep(parts.select("doc_id", "word", "sign", "score", "n_words"), "scores")
-    tail = parts.where("word is not null").join(table, "word")
-    tail = tail.select("doc_id", (F.col("score") + F.col("sign") * F.log("n")).alias("score"), "n_words")
-    every = parts.where("word is null").select("doc_id", "score", "n_words").unionByName(tail)
-    summed = every.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
-    return summed.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("score") / F.col("n_words"))))
+    parts = storage.keep(sent.repartitionById(buckets, "bucket").mapInArrow(lambda b: model.value.pairs_counted(b), _DDL), "scores")
+    counts = table.where("n > 1").select("word", "n").mapInArrow(lambda b: model.value.words_sent(b), _DDL)
+    tail = parts.where(F.col("kind") == WORDS).unionByName(counts).repartitionById(buckets, "bucket").mapInArrow(lambda b: model.value.words_counted(b), _DDL)
+    sums = parts.where(F.col("kind") == SUMS).unionByName(tail).withColumn("bucket", F.expr(f"bucket div {buckets // model.value.doc_buckets}").cast("int"))
+    sums = sums.repartitionById(model.value.doc_buckets, "bucket").mapInArrow(_documents, "doc_id long, n_words long, score double")
+    return sums.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("score") / F.col("n_words"))))
