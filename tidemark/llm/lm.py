@@ -5,7 +5,7 @@ c(a, b, word) / c(a, b) if the triple with the two words before it was counted `
 ``ALPHA`` c(b, word) / c(b) if the pair was, else ``ALPHA``^2 c(word) / N; a document's first word scores c(word) / N, its second by pairs. Logarithms are summed per document.
 
 1. Words are counted; the ``CODES`` most frequent ones travel as three-byte codes whose counts every task holds (a table of fixed size).
-2. Pairs and triples that are frequent in some million words are candidates; of these the ``HOT`` with the highest counts are counted over all documents and held by every task (a
+2. Pairs and triples that are frequent in some half million words are candidates; of these the ``HOT`` with the highest counts are counted over all documents and held by every task (a
    table of fixed size). They never travel, so no key of what travels fills a task: a hot n-gram is split among all tasks.
 3. Each other triple occurrence goes once, with its document, to the partition of its first pair (or, if that pair is hot, of the triple). There the pair
    and triple tables are counted, and occurrences of counted triples are scored.
@@ -38,14 +38,14 @@ from .text import U64, constants, mix, words
 
 ALPHA = 0.4
 MIN_COUNT = 2
-CODES = 1 << 20
+CODES = 1 << 19
 HOT = 1 << 16
-#: How often an n-gram occurs in some million words to be a candidate for the hot ones.
+#: How often an n-gram occurs in some half million words to be a candidate for the hot ones.
 LOCAL = 64
 #: Words that a task gathers before it sends what they give.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Occurrences that a partition holds, about.
-OCCURRENCES = 3_000_000
+OCCURRENCES = 1_500_000
 _GRAM = constants(3, 71)
 _END = U64(0x9D39247E33776D41)  # what follows a document's last pair
 
