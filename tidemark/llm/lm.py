@@ -38,14 +38,14 @@ from .text import U64, constants, mix, words
 
 ALPHA = 0.4
 MIN_COUNT = 2
-CODES = 1 << 19
+CODES = 1 << 20
 HOT = 1 << 16
 #: How often an n-gram occurs in some half million words to be a candidate for the hot ones.
 LOCAL = 64
 #: Words that a task gathers before it sends what they give.
 CHUNK = 1 << 19
 #: Occurrences that a partition holds, about.
-OCCURRENCES = 1_500_000
+OCCURRENCES = 2_000_000
 _GRAM = constants(3, 71)
 _END = U64(0x9D39247E33776D41)  # what follows a document's last pair
 
@@ -403,7 +403,12 @@ class Scorer(NamedTuple):
                 hashes[i].append(self.coder.hashes[c] if kind in coded else c)
                 codes[i].append(c if kind in coded else self.coder.codes(c))
             owner.append(_owners(docs, runs))
-        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+
+        def join(parts: list, kind: type) -> np.ndarray:
+            out = np.concatenate(parts) if parts else np.zeros(0, kind)
+            parts.clear()  # or everything is there twice
+            return out
+
         return [(join(h, U64), join(c, np.int32)) for h, c in zip(hashes, codes)], join(owner, np.int64)
 
     def triples_counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,11 +422,12 @@ class Scorer(NamedTuple):
         if not own:
             return
         (a, b, c), owner = self.words_of(own, 3, (TRIPLES_CODED,))
-        del own
-        pair = _gram(a[0], b[0])
-        _, inverse, counts = np.unique(_gram(a[0], b[0], c[0]), return_inverse=True, return_counts=True)
+        own.clear()
+        pair, gram = _gram(a[0], b[0]), _gram(a[0], b[0], c[0])
+        del a
+        _, inverse, counts = np.unique(gram, return_inverse=True, return_counts=True)
         count = counts[inverse]
-        del inverse
+        del inverse, gram
         hot, at = self.pairs.places(pair)
         keys, inverse, counts = np.unique(pair[~hot], return_inverse=True, return_counts=True)
         of_pair = np.where(hot, self.pairs.counts[at] if len(self.pairs.keys) else 0, 0)
