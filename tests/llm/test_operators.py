@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import re
 import zlib
 
@@ -543,6 +544,27 @@ def test_quality(spark):
     assert quality.keep(empty(spark), quality.fit(empty(spark), table)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_quality_on_labels_it_has_not_seen(spark):
+    """Four fifths of the labels of the test tables are learnt from, the rest is scored."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = "crc32(CAST(doc_id AS STRING)) % 5 = 0"
+    model = quality.fit(docs, labels.where(f"NOT {held}"))
+    got = quality.score(docs, model).join(labels.where(held), "doc_id").where("quality IS NOT NULL").collect()
+    y = np.array([r.quality for r in got])
+    assert len(got) >= 40 and auc(np.array([r.score for r in got]), y) > 0.97
+    assert np.mean([r.keep == (r.quality == 1) for r in got]) > 0.93
+
+
+def test_quality_views_are_separate():
+    import pyarrow as pa
+
+    a, b = (pa.RecordBatch.from_pydict({"text": [t], "lang": ["en"], "source": [s], "n_chars": [n]}) for t, s, n in (("some words", "x", 10), ("BAD | BAD\n|", "y", 900)))
+    swapped = pa.RecordBatch.from_arrays([b.column(0), *a.columns[1:]], names=a.schema.names)
+    assert (quality._views(swapped, 0)[0] == quality._views(b, 0)[0]).all() and (quality._views(swapped, 0)[1] == quality._views(a, 0)[1]).all()
+    assert (quality._views(a, 0)[1] != quality._views(b, 0)[1]).any()
+
+
 def test_quality_draws_from_all_unlabelled_documents(spark):
     """More of them than a fixed pool of 8,000, repeated rows and a row without an id."""
     frame = spark.range(9_000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN concat('plain words here and there ', id) ELSE concat('BAD | X | ', id, '!!') END AS text")

@@ -1,7 +1,7 @@
 """Quality classification by co-training of two views.
 
-The content view sees the text: classes of characters, function words, repetition of words and shingles, sentence length.
-The metadata view sees what describes the page: its length, its lines, its language and source. Each view is a boosted-tree
+The content view sees the text: classes of characters, function words, repetition of words, shingles and lines, lengths of sentences and lines.
+The metadata view sees the columns beside it and nothing of the text: language, source and the recorded length. Each view is a boosted-tree
 classifier. Over some rounds, each labels the unlabelled documents it is surest about and hands them to the other; then both
 are calibrated on labelled rows that neither learnt from, and the calibrated views are combined, each in proportion to
 how well it does there, to score all documents.
@@ -52,23 +52,21 @@ def content_features(column) -> np.ndarray:
     words = np.concatenate(rows) if rows else np.zeros((0, 7))
     shares = byte_shares(column)
     sentence = shares[:, 3] / np.maximum(shares[:, 5], 1e-4)  # words by full stops
-    return np.column_stack([words, shares, np.minimum(sentence, 100)])
+    return np.column_stack([words, shares, np.minimum(sentence, 100), line_features(column)])
 
 
-def metadata_features(column, lang: list, source: list, n_chars: list) -> np.ndarray:
-    lines = line_features(column)
-    bits = np.zeros((len(lines), 8 + 16))
+def metadata_features(lang: list, source: list, n_chars: list) -> np.ndarray:
+    bits = np.zeros((len(lang), 8 + 16))
     for i, (a, b) in enumerate(zip(lang, source)):
         bits[i, zlib.crc32(str(a).encode()) % 8] = 1
         bits[i, 8 + zlib.crc32(str(b).encode()) % 16] = 1
     size = np.log1p(np.array([max(0, n or 0) for n in n_chars], float))
-    return np.column_stack([size, lines, bits])
+    return np.column_stack([size, bits])
 
 
 def _views(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
     """Both views of the columns text, lang, source and n_chars, from column at on."""
-    text = batch.column(at)
-    return content_features(text), metadata_features(text, *(batch.column(at + k).to_pylist() for k in (1, 2, 3)))
+    return content_features(batch.column(at)), metadata_features(*(batch.column(at + k).to_pylist() for k in (1, 2, 3)))
 
 
 class View(NamedTuple):
@@ -219,7 +217,7 @@ def _scored(docs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
             value = model.score(*_views(batch, len(keys))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(value)], [*names, "_score"])
 
-    return docs.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), *_inputs(docs)).mapInArrow(work, schema)
+    return docs.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)), *_inputs(docs)).mapInArrow(work, schema)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
