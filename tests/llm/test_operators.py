@@ -544,16 +544,16 @@ def test_quality(spark):
     assert quality.keep(empty(spark), quality.fit(empty(spark), table)).count() == 0
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
 def test_quality_on_labels_it_has_not_seen(spark):
-    """Four fifths of the labels of the test tables are learnt from, the rest is scored."""
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    """Four fifths of some 4,000 labels of the test tables are learnt from, the rest is scored. (Of the 399 labels of sf0.01, 70 are held out: too few to tell.)"""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = "crc32(CAST(doc_id AS STRING)) % 5 = 0"
     model = quality.fit(docs, labels.where(f"NOT {held}"))
     got = quality.score(docs, model).join(labels.where(held), "doc_id").where("quality IS NOT NULL").collect()
     y = np.array([r.quality for r in got])
-    assert len(got) >= 40 and auc(np.array([r.score for r in got]), y) > 0.97
-    assert np.mean([r.keep == (r.quality == 1) for r in got]) > 0.93
+    assert len(got) >= 800 and auc(np.array([r.score for r in got]), y) > 0.99
+    assert np.mean([r.keep == (r.quality == 1) for r in got]) > 0.98
 
 
 def test_quality_views_are_separate():
