@@ -27,7 +27,7 @@ def top_n(stage: TopN, df: DataFrame) -> DataFrame:
     end = stage.offset + stage.limit
     if not stage.ties:
         return df.orderBy(*keys).offset(stage.offset).limit(stage.limit)
-    # The last row taken bounds the ties: only rows that don't sort after it go into the ranking, which is global.
+    # The last row taken bounds the ties: only rows that don't sort after it are taken, and ranked, in one task, if some are to be skipped.
     r = Renderer(df)
     columns = [f"__k{i}" for i in range(len(stage.order))]
     keyed = df.selectExpr("*", *(f"{r(k.expr)} AS {c}" for k, c in zip(stage.order, columns)))
@@ -42,5 +42,7 @@ def top_n(stage: TopN, df: DataFrame) -> DataFrame:
         strictly = F.when(a.isNull() | b.isNull(), (a.isNull() & b.isNotNull()) if not k.nulls_first else (a.isNotNull() & b.isNull())).otherwise((a < b) if k.descending else (a > b))
         after = strictly | (a.eqNullSafe(b) & after)
     near = near.where(F.col("__full").isNull() | ~after)
+    if not stage.offset:  # all of these, and nothing to rank
+        return near.select(*(F.col(f"`{c}`") for c in df.columns))
     ranked = near.withColumn("__rn", F.row_number().over(w)).withColumn("__rk", F.rank().over(w))
     return ranked.where((F.col("__rn") > stage.offset) & (F.col("__rk") <= end)).select(*df.columns)
