@@ -89,3 +89,23 @@ def test_empty_table(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{DIR}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_carry_other_columns_and_repeated_rows(spark, tmp_path):
+    """Columns of any name stay; of repeated rows the join keeps one, the other stages each."""
+    from .test_operators import BASE, TEXTS, documents, shingle_set
+
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(0, " ".join(BASE.split()[:40]))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = documents(spark, TEXTS)
+    kept = {name: stage(spark, docs, folder) for name, stage in corpus_pipeline.STAGES[:-1]}
+    assert all(df.columns == docs.columns for df in kept.values())
+    ids = {name: sorted(r.doc_id for r in df.collect()) for name, df in kept.items()}
+    assert ids["secret scans"] == sorted(r.doc_id for r in docs.collect())
+    # Rows that hold four fifths of the item go, repeated ones too; of equal or near texts, the first stays, once.
+    item = shingle_set(" ".join(BASE.split()[:40]), 5)
+    clean = {i for i, t in enumerate(TEXTS) if len(item & shingle_set(t, 5)) < 0.8 * len(item)}
+    assert set(ids["benchmark decontamination"]) == clean and 7 not in clean and 11 not in clean
+    assert len(ids["n-gram Jaccard join"]) == len(set(ids["n-gram Jaccard join"])) and set(ids["n-gram Jaccard join"]) & {7, 8, 9, 10} == {7}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).select("doc_id").distinct().count() == len(TEXTS)
