@@ -193,6 +193,17 @@ def test_maintained_queries_parse(name):
     assert parse(MAINTAINED[name][0]).items
 
 
+@pytest.mark.parametrize(("written", "limit", "offset"), [("LIMIT 1+1", 2, 0), ("LIMIT CAST(7 AS BIGINT) / 2 OFFSET 2 * 3 - 5", 3, 1), ("LIMIT 17 % 10 OFFSET 1", 7, 1), ("OFFSET 4 LIMIT 5", 5, 4), ("FETCH FIRST 3 ROWS ONLY", 3, 0)])
+def test_limits_are_constant_expressions(written, limit, offset):
+    from tidemark.plans.parser import parse
+
+    q = parse(f"SELECT id FROM l ORDER BY id {written}")
+    assert (q.limit, q.offset) == (limit, offset)
+    for bad in ("LIMIT -1", "LIMIT 1 - 2", "LIMIT 1/0", "LIMIT id", "LIMIT 1.5"):
+        with pytest.raises(SqlError):
+            parse(f"SELECT id FROM l ORDER BY id {bad}")
+
+
 def test_index(spark, engine):
     engine.create("g", "SELECT group_id, amount, id FROM l")
     engine.create_index("g", "by_group", ["group_id"])
