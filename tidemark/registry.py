@@ -138,6 +138,9 @@ ENTRIES: dict[str, Entry] = {
         f"SELECT c_custkey, CAST(sum(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY n, g ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE NO OTHERS) AS BIGINT) AS a, count(*) OVER (PARTITION BY c_nationkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES) AS c FROM (SELECT c_custkey, c_nationkey, c_custkey AS n, c_custkey AS g FROM customer) t"
     ),
     "win_exclude_rows_group": Entry(f"SELECT c_custkey, CAST(sum(v) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS BIGINT) AS s FROM (SELECT c_custkey, c_nationkey, n AS v FROM ({FEW}) u) t"),
+    "win_nth_dynamic": Entry("SELECT o_orderkey, nth_value(o_totalprice, nullif(o_orderkey % 4, 3) + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING) AS v FROM orders"),
+    "win_exclude_values": Entry(f"SELECT c_custkey, first_value(c_custkey) OVER w AS a, last_value(c_custkey) OVER w AS b, nth_value(c_custkey, 3) OVER w AS c FROM ({FEW}) t WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW)"),
+    "win_exclude_moments": Entry(f"SELECT c_custkey, round(stddev_samp(c_acctbal) OVER w, 4) AS s, round(covar_pop(sqrt(abs(c_acctbal)), n) OVER w, 6) AS v, bit_or(n) OVER w AS b, min(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY n RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW) AS m FROM ({FEW}) t WINDOW w AS (PARTITION BY c_nationkey ORDER BY n GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP)"),
     "win_agg_filter": Entry(f"SELECT c_custkey, count(*) FILTER (WHERE n > 4) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS a, CAST(sum(n) FILTER (WHERE g = 2) OVER (PARTITION BY c_nationkey) AS BIGINT) AS b FROM ({FEW}) t"),
     "win_multi_clause": Entry(f"SELECT c_custkey, rank() OVER (PARTITION BY g ORDER BY n NULLS FIRST) AS a, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS b, count(*) OVER (PARTITION BY g) AS c FROM ({FEW}) t"),
     "win_global": Entry("SELECT n_nationkey, row_number() OVER (ORDER BY n_name) AS rn, count(*) OVER () AS n FROM nation"),
