@@ -15,6 +15,8 @@ from ..functions.tree import Between, Binary, Node, Slot, conjuncts, walk
 from ..plans.model import Join
 
 BINS = 64
+#: Columns of a NOT IN up to which each set of them gets a join of its own.
+KEYS = 4
 HOW = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 
 
@@ -45,12 +47,31 @@ def not_in(stage: Join, left: DataFrame, right: DataFrame) -> DataFrame:
         counts = right.selectExpr("count(*) AS __rows", f"count(CASE WHEN {s(b)} IS NULL THEN 1 END) AS __nulls")
         kept = left.join(F.broadcast(counts), F.expr(f"__rows = 0 OR (__nulls = 0 AND {r(a)} IS NOT NULL)")).select(*left.columns)
         return kept.join(right, F.expr(f"{r(a)} = {s(b)}"), "left_anti")
+    if stage.condition is None and len(stage.keys) <= KEYS:
+        return _not_in_rows(stage, left, right, r, s)
     both = Renderer(left.limit(0).join(right.limit(0)))
     equal = " AND ".join(both(Binary("=", a, b)) for a, b in stage.keys)
     open_or_equal = f"coalesce({equal}, true)"
     return left.join(right, F.expr(open_or_equal + (f" AND {both(stage.condition)}" if stage.condition else "")), "left_anti")
 
 
+def _not_in_rows(stage: Join, left: DataFrame, right: DataFrame, r: Renderer, s: Renderer) -> DataFrame:
+    """NOT IN of several columns. Two rows meet if they agree in all columns that neither has as null; for each set of such columns that is an equi-join, with
+    which columns the left row knows as one more key."""
+    places = range(len(stage.keys))
+    known = lambda side: " + ".join(f"CASE WHEN __{side}{i} IS NULL THEN 0 ELSE {1 << i} END" for i in places)
+    kept = left.selectExpr("*", *(f"{r(a)} AS __a{i}" for i, (a, _) in enumerate(stage.keys))).selectExpr("*", f"{known('a')} AS __known")
+    rows = right.selectExpr(*(f"{s(b)} AS __b{i}" for i, (_, b) in enumerate(stage.keys))).distinct().selectExpr("*", f"{known('b')} AS __seen")
+    for common in reversed(range(1 << len(stage.keys))):
+        columns = [i for i in places if common >> i & 1]
+        lefts = ", ".join(str(m) for m in range(1 << len(stage.keys)) if m & common == common)
+        met = rows.selectExpr(*(f"__b{i}" for i in columns), "__seen", f"explode(array({lefts})) AS __for").where(f"(__for & __seen) = {common}").drop("__seen").distinct()
+        equal = " AND ".join(["__known = __for", *(f"__a{i} = __b{i}" for i in columns)])
+        # Without columns in common, met has a row for each set of columns at most.
+        kept = kept.join(met if columns else F.broadcast(met), F.expr(equal), "left_anti")
+    return kept.select(*left.columns)
+
+
 def _slots(*nodes: Node) -> set[str]:
     return {x.name for n in nodes for x in walk(n) if isinstance(x, Slot)}
 
