@@ -114,6 +114,41 @@ def test_signatures_meet_for_every_link():
                     assert set(s[o == 0].tolist()) & set(s[o == 1].tolist())
 
 
+def test_parities_rule_out_no_link():
+    rng = np.random.default_rng(3)
+    for percent in (50, 85, 99):
+        sets = [np.unique(rng.integers(1, 2**63, n).astype(np.uint64)) for n in (1, 2, 60, 64, 65, 127, 129, 300, 1025) for _ in range(2)]
+        sets += [np.sort(rng.choice(s, max(1, len(s) * m // 100), replace=False)) for s in sets for m in (99, 90, 86, 70, 40)]
+        sets = [sets[i] for i in rng.permutation(len(sets))]
+        size = np.array([len(s) for s in sets])
+        parity = ngram_join.parities(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
+        got = list(zip(*(x.tolist() for x in ngram_join.may_link(size, parity, percent))))
+        assert len(got) == len({frozenset(x) for x in got}) and all(a != b for a, b in got)
+        shared = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in itertools.combinations(range(len(sets)), 2)}
+        links = {frozenset(x) for x, i in shared.items() if 100 * i >= percent * (size[x[0]] + size[x[1]] - i)}
+        assert links and links <= {frozenset(x) for x in got}
+        assert percent < 85 or not any(shared[min(x), max(x)] == 0 and min(size[list(x)]) > 100 for x in got)
+
+
+def test_ngram_join_sends_no_sets_of_chance_meetings(spark, monkeypatch):
+    """Documents that share a run of words meet in posting lists; the sets of those that can't be links stay where they are."""
+    rng = np.random.default_rng(8)
+    run, near = prose(50, 60), prose(51, 300).split()
+    texts = [f"{prose(200 + i, 150)} {run} {prose(300 + i, int(rng.integers(90, 110)))}" for i in range(40)]
+    texts += [" ".join([*near[:j], "changed", *near[j + 1 :]]) for j in (20, 150, 280)]
+    sent, keep = {}, ngram_join.storage.keep
+
+    def kept(df, name):
+        out = sent[name] = keep(df, name)
+        return out
+
+    monkeypatch.setattr(ngram_join.storage, "keep", kept)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(documents(spark, texts, repeat=False), k=4, percent=85).collect()}
+    assert got == brute_components(texts, 4, 85)
+    assert sent["stars"].select("member").distinct().count() > 10
+    assert sent["members"].count() == 3
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 9), (3, 1), *((10 + i, 11 + i) for i in range(40)), (2, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

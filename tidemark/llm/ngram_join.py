@@ -13,11 +13,14 @@ D = floor((1 - t) / (1 + t) (a + b)) members at most.
    needed, as the chance of so many empty segments is under 1e-9 per document, like that of a clash of 64-bit hashes.)
 2. Of each posting list the smallest key is the leader, and the list becomes links (leader, member): as many rows as members, not as pairs.
    Lists that are long already within one task's documents aren't gathered in a task, but led by an aggregation and a join.
-3. All members of a leader are one group, so every pair of every posting list is covered. A group is cut into blocks of bounded
-   size, and the leader's set goes to each; every block is multiplied with itself: frequent shingles densely, rare ones sparsely. A block returns a spanning forest of its
+3. All members of a leader are one group, so every pair of every posting list is covered. First only sizes and parities are compared: a class's parity is a bit
+   for about each of its members, hashed there, that says whether an odd number of members fell on it. Two sets differ in no fewer members than their parities differ
+   in bits, so pairs whose parities or sizes are more than D apart are no links. Groups fall apart into what the other pairs connect, and
+   the sets of classes left alone never travel. (Groups of more than one block skip this.)
+4. A group is cut into blocks of bounded size, and the leader's set goes to each; every block is multiplied with itself: frequent shingles densely, rare ones sparsely. A block returns a spanning forest of its
    links, not the links, and, if its group has more blocks, the members that no link of the block connects to the leader. Only these are multiplied with the
    group's other blocks: all others are one component already. A group of copies so costs rows in proportion to its members.
-4. Connected components of the links, brought back to all documents of the classes.
+5. Connected components of the links, brought back to all documents of the classes.
 
 Shingles are compared by 64-bit hashes, sets by a 64-bit key (n sets of different texts hold a false match with a chance of n^2 / 2^65). Defined cases: A-Z count as a-z; words are runs of other characters
 than space and U+0009 to U+000D; a document of fewer words than a shingle has its whole sequence as its only one; without words (or text) its set is empty
@@ -31,7 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch, storage
@@ -81,6 +84,34 @@ def _first_of_each(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return keep & (sizes > 0)
 
 
+def parities(values: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A bit for each remainder of a set's values, 1 if an odd number of them has it, of as many remainders as the least power of two that is no smaller than the set, 64 at least."""
+    sizes = np.diff(at)
+    width = np.int64(1) << np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(width)])
+    place = np.repeat(begin[:-1], sizes) + (values & np.repeat(width - 1, sizes).astype(U64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=begin[-1]) & 1).astype(np.uint8), bitorder="little")
+    return [packed[a:b].tobytes() for a, b in zip((begin[:-1] >> 3).tolist(), (begin[1:] >> 3).tolist())]
+
+
+def may_link(size: np.ndarray, parity: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of sets that sizes and parities don't prove to be no links."""
+    words = np.array([len(p) >> 3 for p in parity])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for w in np.unique(words):
+        own = np.flatnonzero(words == w)
+        # The wider parities fold to this width, as remainders do.
+        other = np.flatnonzero((words >= w) & (size * percent <= size[own].max() * 100))
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(parity[i], U64).reshape(-1, w), axis=0) for i in other])
+        for i in own:
+            at = np.flatnonzero((other > i) | (words[other] > w))
+            apart = np.bitwise_count(folded[at] ^ np.frombuffer(parity[i], U64)).sum(axis=1, dtype=np.int64)
+            apart = np.maximum(apart, np.abs(size[other[at]] - size[i]))
+            b = other[at[apart * (100 + percent) <= (100 - percent) * (size[other[at]] + size[i])]]
+            found.append((np.full(len(b), i), b))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _sets(column, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values, bounds and keys of the first document of each set in a column, by blocks of documents."""
     for w in words(column):
@@ -273,7 +304,12 @@ def block_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, perc
     b = b + n * bool(m)
     keep = keys[a] != keys[b]
     a, b = a[keep], b[keep]
-    label = np.arange(len(keys))
+    return keys, _labels(a, b, len(keys))
+
+
+def _labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least place that links a, b connect each of n places to."""
+    label = np.arange(n)
     while len(a):
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -283,7 +319,7 @@ def block_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, perc
         if (new == label).all():
             break
         label = new
-    return keys, label
+    return label
 
 
 def _forest(keys: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
@@ -299,10 +335,56 @@ def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
     return keys[first], side[first], [np.frombuffer(b, U64) for b in blobs]
 
 
+def _blocks(rows: int, members: int) -> Column:
+    return F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / members)).cast("int")
+
+
+def _near(stars: DataFrame, named: DataFrame, percent: int, rows: int, members: int) -> DataFrame:
+    """leader and member again, of smaller groups: those that pairs which may be links connect. The other groups' members are left out."""
+    sized = stars.join(named.select(F.col("class_key").alias("member"), "n", "parity"), "member")
+    large = storage.keep(sized.groupBy("leader").agg(_blocks(rows, members).alias("blocks")).where("blocks > 1").select("leader"), "large")
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Rows of whole groups; batches are ordered by leader."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            leader = batch.column(0).to_numpy()
+            if not len(leader):
+                continue
+            # All but the last group of the batch are whole.
+            cut = int(np.searchsorted(leader, leader[-1]))
+            if cut:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held = []
+            elif held and held[-1].column(0)[-1].as_py() != leader[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            leader, member, n = (table[c].to_numpy() for c in ("leader", "member", "n"))
+            begin, size = _runs(leader)
+            out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
+            for lo, rows in zip(begin.tolist(), size.tolist()):
+                order = lo + np.argsort(member[lo : lo + rows])
+                keys = member[order]
+                label = _labels(*may_link(n[order], table["parity"].take(pa.array(order)).to_pylist(), percent), rows)
+                take = np.bincount(label, minlength=rows)[label] > 1
+                out.append((keys[label[take]], keys[take]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["leader", "member"])
+
+    small = sized.select("leader", "member", "n", "parity").join(storage.few(large), "leader", "left_anti")
+    parts = small.repartition("leader").sortWithinPartitions("leader").mapInArrow(split, "leader long, member long")
+    return storage.keep(parts.unionByName(stars.join(storage.few(large), "leader", "left_semi").select("leader", "member")).distinct(), "near")
+
+
 def _links(stars: DataFrame, named: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, rows: int, members: int) -> DataFrame:
     """Links a, b that connect what is connected within each leader's group."""
     sized = stars.join(named.select(F.col("class_key").alias("member"), "n", "doc_id"), "member")
-    blocks = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / members)).cast("int")
+    blocks = _blocks(rows, members)
     # Groups of more than one block: one in some hundreds of members at most.
     large = storage.keep(sized.groupBy("leader").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
     dealt = sized.join(storage.few(large), "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -358,14 +440,16 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: int = LO
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            n, keys, parity = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for w in words(batch.column(1)):
                 values, at = shingles(w, k)
                 n.append(np.diff(at))
                 keys.append(_keys(values, at))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(keys))], ["doc_id", "n_shingles", "class_key"])
+                parity += parities(values, at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(keys)), pa.array(parity, pa.binary())], ["doc_id", "n_shingles", "class_key", "parity"])
 
-    described = storage.keep(docs.mapInArrow(describe, "doc_id long, n_shingles long, class_key long"), "classes")
+    written = storage.keep(docs.mapInArrow(describe, "doc_id long, n_shingles long, class_key long, parity binary"), "classes")
+    described = written.drop("parity")
     texts = docs.where("doc_id is not null").select("text")
     # A set is posted under a share of its members that follows from percent.
     posted = (described.agg(F.sum("n_shingles")).first()[0] or 0) * 4 * (100 - percent) / (100 + percent)
@@ -375,7 +459,10 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: int = LO
     candidates = stars.select(F.col("member").alias("class_key")).distinct()
     usable = described.where("doc_id is not null AND n_shingles > 0")
     classes = storage.keep(usable.groupBy("class_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count("*").alias("rows")), "named")
-    named = storage.keep(classes.drop("rows").join(candidates, "class_key", "left_semi"), "members")
+    named = classes.drop("rows").join(candidates, "class_key", "left_semi")
+    named = storage.keep(written.select("class_key", "doc_id", "parity").join(named, ["class_key", "doc_id"]).dropDuplicates(["class_key", "doc_id"]), "candidates")
+    near = _near(stars, named, percent, rows, members)
+    named = storage.keep(named.drop("parity").join(near.select(F.col("member").alias("class_key")).distinct(), "class_key", "left_semi"), "members")
 
     def sets(those: DataFrame) -> DataFrame:
         """doc_id, class_key and members of documents, among them all of those, each of which stands for a class."""
@@ -394,7 +481,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: int = LO
 
         return docs.where("doc_id is not null").mapInArrow(incidence, "doc_id long, class_key long, members binary")
 
-    links = _links(stars, named, sets, percent, rows, members)
+    links = _links(near, named, sets, percent, rows, members)
     found = components(links)
 
     # The smallest id of each component, for its classes and then for all documents of them.
