@@ -6,9 +6,11 @@ import itertools
 import math
 import os
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -436,6 +438,26 @@ def test_lm_rows_that_share_an_id_and_no_rows(spark):
     assert lm.score(empty(spark)).count() == 0
 
 
+def test_lm_tasks_hold_few_bytes_an_occurrence():
+    """A task holds the codes of what it has read and works on a part of it at a time."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 1000) % 5000) for _ in range(300)]
+    docs = pa.record_batch({"doc_id": pa.array(np.arange(300)), "text": texts})
+    word, n = np.unique(np.concatenate([w.hashes for w in words(docs.column(1))]), return_counts=True)
+    none = lm.Table(np.zeros(0, U64), np.zeros(0, np.int64))
+    scorer = lm.Scorer(lm.Coder(word, n, 2), Bloom(1 << 20).add(word[n >= 2]), none, none, math.log(n.sum()), math.log(0.4), 2, 1, 1)
+    sent = [b for b in scorer.explode(iter([docs])) if b.num_rows]
+    n = sum(x for b in sent for k, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist()) if k == lm.TRIPLES_CODED)
+    assert n > 200_000
+    tracemalloc.start()
+    try:
+        collections.deque(scorer.triples_counted(iter(sent)), maxlen=0)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 100 * n, most / n
+
+
 PAGE = """<html><body class="has-sidebar"><header class="site-header"><h1>Site</h1></header><nav><a href=x>Home</a></nav><div id="cookie-notice">We use cookies, really a lot of them, yes.</div>
 <div class="layout"><div class="content"><h1>Title here</h1><p>First paragraph, with commas, and <a href=x>a link</a>&nbsp;here &lt;ok&gt; of some length to be scored.<p>Second one unclosed, also
  long enough to be counted, surely<ul><li>item one<li>item two</ul><blockquote>Quote &#8212; text</blockquote><div class="share-buttons">Share this</div></div>

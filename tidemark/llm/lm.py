@@ -15,7 +15,7 @@ c(a, b, word) / c(a, b) if the triple with the two words before it was counted `
 
 An n-gram with a word that was counted less than ``min_count`` times was so itself. Such words are known from the word table, by a filter that says of each other word
 whether it may be frequent enough; what needs only them is scored where it stands. All else travels coded, never left out: columns of code bytes, runs of documents,
-compressed. A task sorts about ``OCCURRENCES`` of them, however large the input. N-grams are told apart by 64-bit hashes.
+compressed. A task holds about ``OCCURRENCES`` of them, however large the input, and the hashes of one in ``PARTS`` at a time. N-grams are told apart by 64-bit hashes.
 
 Words are runs of characters other than space and U+0009 to U+000D, with A-Z in lower case. Defined cases: rows without doc_id take no part;
 rows that share a doc_id are parts of one document whose scores add up; null or empty texts have no words, score 0 and no perplexity; an empty table gives an
@@ -46,6 +46,8 @@ LOCAL = 64
 CHUNK = 1 << 19
 #: Occurrences that a partition holds, about.
 OCCURRENCES = 2_000_000
+#: Parts of these whose hashes a task holds at once.
+PARTS = 4
 _GRAM = constants(3, 71)
 _END = U64(0x9D39247E33776D41)  # what follows a document's last pair
 
@@ -127,6 +129,17 @@ def _gram(*hashes: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def _counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often the hash at each place occurs; each hash once, and how often it does."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    n = np.diff(np.append(begin, len(ordered)))
+    count = np.empty(len(hashes), np.int64)
+    count[order] = np.repeat(n, n)
+    return count, ordered[begin], n
+
+
 class Chunk(NamedTuple):
     """Words of some documents on end: hashes, the document each word is in (a place in ids), and its number in it."""
 
@@ -146,13 +159,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
             size += len(w.hashes)
             if size >= CHUNK:
                 yield _chunk(held)
-                held, size = [], 0
+                size = 0
         if held:
             yield _chunk(held)
 
 
 def _chunk(held: list[tuple]) -> Chunk:
     ids, hashes, n = (np.concatenate(x) for x in zip(*held))
+    held.clear()  # or everything is there twice
     first = np.cumsum(n) - n
     return Chunk(ids, hashes, np.repeat(np.arange(len(ids)), n), np.arange(len(hashes)) - np.repeat(first, n), n)
 
@@ -286,6 +300,35 @@ def _sums(row: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids.view(np.int64), part.view(np.float64), n.view(np.int64)
 
 
+class Occurrences:
+    """Words of rows that travelled, as codes; those that came as hashes, the last ones, as hashes too."""
+
+    def __init__(self, coder: Coder, rows: list[tuple[int, list]], columns: int, coded: int):
+        self.coder = coder
+        codes, hashes, owner = [[] for _ in range(columns)], [[np.zeros(0, U64)] for _ in range(columns)], [np.zeros(0, np.int64)]
+        for kind, (n, runs, data, docs) in sorted(rows, key=lambda r: r[0] != coded):
+            for i, c in enumerate(_unpacked(data, n, columns, kind == coded)):
+                codes[i].append(c if kind == coded else coder.codes(c))
+                if kind != coded:
+                    hashes[i].append(c)
+            owner.append(_owners(docs, runs))
+
+        def join(parts: list) -> np.ndarray:
+            out = np.concatenate(parts)
+            parts.clear()  # or everything is there twice
+            return out
+
+        self.codes, self.hashes, self.owner = [join(c) if c else np.zeros(0, np.int32) for c in codes], [join(h) for h in hashes], join(owner)
+        self.coded = len(self.owner) - len(self.hashes[0])
+
+    def words(self, column: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and codes of a column at some places, which are in order."""
+        code = self.codes[column][at]
+        out, first = self.coder.hashes[code], np.searchsorted(at, self.coded)
+        out[first:] = self.hashes[column][at[first:] - self.coded]
+        return out, code
+
+
 class Scorer(NamedTuple):
     """What every task knows of the model."""
 
@@ -354,62 +397,65 @@ class Scorer(NamedTuple):
     def explode(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Triples, sent to where they are counted; what needs no further count is scored here."""
         for c in _chunks(batches):
-            h, code, owner = c.hashes, self.coder.codes(c.hashes), c.ids[c.doc]
-            sums: Sums = [(c.ids, np.zeros(len(c.ids)), c.counts.astype(np.int64))] if len(c.ids) else []
-            at = np.flatnonzero(c.place == 0)
-            yield from self.single(h[at], code[at], owner[at], -self.log_n, 1, sums)
-            at = np.flatnonzero(c.place == 1)
-            yield from self.pairs_or_later((h[at - 1], code[at - 1]), (h[at], code[at]), owner[at], True, sums)
-            # Triples, and each document's last pair with nothing after it.
-            ends = np.cumsum(c.counts)[c.counts >= 2]
-            third = np.concatenate([np.flatnonzero(c.place >= 2), ends])
-            is_end = np.arange(len(third)) >= len(third) - len(ends)
-            inner = np.minimum(third, len(h) - 1)
-            h3, c3 = np.where(is_end, _END, h[inner] if len(h) else U64(0)), np.where(is_end, self.coder.end, code[inner] if len(h) else 0).astype(np.int32)
-            order = np.argsort(third - is_end, kind="stable")
-            third, is_end, h3, c3 = third[order], is_end[order], h3[order], c3[order]
-            one, two = third - 2, third - 1
-            # Where a word of the first pair is rare, nothing counts the pair; where the last one is, the pair alone is counted.
-            rare = self.rare(h, code)
-            last, first = ~is_end & rare[np.minimum(third, len(h) - 1)] if len(h) else is_end, rare[one] | rare[two]
-            later = np.flatnonzero(~is_end & (first | last))
-            if len(later):
-                yield from self.pairs_or_later((h[two[later]], code[two[later]]), (h3[later], c3[later]), owner[two[later]], False, sums)
-            h3, c3, is_end = np.where(last, _END, h3), np.where(last, self.coder.end, c3).astype(np.int32), is_end | last
-            third, is_end, h3, c3, one, two = (x[~first] for x in (third, is_end, h3, c3, one, two))
-            pair, gram, own = _gram(h[one], h[two]), _gram(h[one], h[two], h3), owner[two]
+            yield from self.exploded(c)
+            del c  # before the next one is made
+
+    def exploded(self, c: Chunk) -> Iterator[pa.RecordBatch]:
+        """The same of one chunk."""
+        h, code, owner = c.hashes, self.coder.codes(c.hashes), c.ids[c.doc]
+        sums: Sums = [(c.ids, np.zeros(len(c.ids)), c.counts.astype(np.int64))] if len(c.ids) else []
+        at = np.flatnonzero(c.place == 0)
+        yield from self.single(h[at], code[at], owner[at], -self.log_n, 1, sums)
+        at = np.flatnonzero(c.place == 1)
+        yield from self.pairs_or_later((h[at - 1], code[at - 1]), (h[at], code[at]), owner[at], True, sums)
+        if not len(h):
+            yield from self.sent_sums(sums)
+            return
+        # Triples, and each document's last pair with nothing after it.
+        ends = np.cumsum(c.counts)[c.counts >= 2]
+        third = np.concatenate([np.flatnonzero(c.place >= 2), ends])
+        is_end = np.arange(len(third)) >= len(third) - len(ends)
+        order = np.argsort(third - is_end, kind="stable")
+        third, is_end = third[order], is_end[order]
+        del at, order
+        # Where a word of the first pair is rare, nothing counts the pair; where the last one is, the pair alone is counted.
+        rare = self.rare(h, code)
+        last, first = ~is_end & rare[np.minimum(third, len(h) - 1)], rare[third - 2] | rare[third - 1]
+        later = third[~is_end & (first | last)]
+        if len(later):
+            yield from self.pairs_or_later((h[later - 1], code[later - 1]), (h[later], code[later]), owner[later - 1], False, sums)
+        third, is_end = third[~first], (is_end | last)[~first]
+        del rare, last, first, later
+        go, coded, bucket = np.zeros(len(third), bool), np.zeros(len(third), bool), np.zeros(len(third), np.int32)
+        step = max(1, -(-len(third) // PARTS))
+        for lo in range(0, len(third), step):
+            part = slice(lo, lo + step)
+            (h1, h2, h3), (c1, c2, c3) = self.triple(h, third[part], is_end[part], _END), self.triple(code, third[part], is_end[part], self.coder.end)
+            pair, gram, own = _gram(h1, h2), _gram(h1, h2, h3), owner[third[part] - 1]
             hot, _ = self.pairs.places(pair)
             known, cell = self.triples.places(gram)
-            known &= hot & ~is_end
+            known &= hot & ~is_end[part]
             if known.any():
                 counted = self.triples.counts[cell[known]]
                 seen = counted >= self.min_count
                 self.add(sums, own[known][seen], np.log(counted[seen]) - np.log(self.pairs.get(pair[known][seen])))
                 rest = np.flatnonzero(known)[~seen]
-                yield from self.pairs_or_later((h[two[rest]], code[two[rest]]), (h3[rest], c3[rest]), own[rest], False, sums)
-            go = ~known & ~(hot & is_end)
-            coded = (code[one] != self.coder.none) & (code[two] != self.coder.none) & (c3 != self.coder.none)
-            bucket = _bucket(np.where(hot, gram, pair), self.buckets)
-            for kind, take, columns in ((TRIPLES_CODED, go & coded, (code[one], code[two], c3)), (TRIPLES, go & ~coded, (h[one], h[two], h3))):
-                if take.any():
-                    yield _sent(bucket[take], self.buckets, kind, [x[take] for x in columns], own[take])
-            yield from self.sent_sums(sums)
-
-    def words_of(self, rows: list[tuple[int, list]], columns: int, coded: tuple[int, ...]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-        """Hashes and codes of each column, and the documents, of rows that travelled."""
-        hashes, codes, owner = [[] for _ in range(columns)], [[] for _ in range(columns)], []
-        for kind, (n, runs, data, docs) in rows:
-            for i, c in enumerate(_unpacked(data, n, columns, kind in coded)):
-                hashes[i].append(self.coder.hashes[c] if kind in coded else c)
-                codes[i].append(c if kind in coded else self.coder.codes(c))
-            owner.append(_owners(docs, runs))
-
-        def join(parts: list, kind: type) -> np.ndarray:
-            out = np.concatenate(parts) if parts else np.zeros(0, kind)
-            parts.clear()  # or everything is there twice
-            return out
+                yield from self.pairs_or_later((h2[rest], c2[rest]), (h3[rest], c3[rest]), own[rest], False, sums)
+            go[part] = ~known & ~(hot & is_end[part])
+            coded[part] = (c1 != self.coder.none) & (c2 != self.coder.none) & (c3 != self.coder.none)
+            bucket[part] = _bucket(np.where(hot, gram, pair), self.buckets)
+            del h1, h2, h3, c1, c2, c3, pair, gram, own, hot, known, cell
+        for kind, take, words_of, end in ((TRIPLES_CODED, go & coded, code, self.coder.end), (TRIPLES, go & ~coded, h, _END)):
+            if take.any():
+                yield _sent(bucket[take], self.buckets, kind, list(self.triple(words_of, third[take], is_end[take], end)), owner[third[take] - 1])
+        yield from self.sent_sums(sums)
 
-        return [(join(h, U64), join(c, np.int32)) for h, c in zip(hashes, codes)], join(owner, np.int64)
+    @staticmethod
+    def triple(words_of: np.ndarray, third: np.ndarray, is_end: np.ndarray, end: int | np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes or codes of the three words up to each of third, of which the last may be an end."""
+        last = words_of[np.minimum(third, len(words_of) - 1)]
+        last[is_end] = end
+        return words_of[third - 2], words_of[third - 1], last
 
     def triples_counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts triples and their first pairs, scores what was counted, and sends on the pair table and what backs off."""
@@ -421,25 +467,40 @@ class Scorer(NamedTuple):
                 yield self.passed(kind, row, bucket)
         if not own:
             return
-        (a, b, c), owner = self.words_of(own, 3, (TRIPLES_CODED,))
+        held = Occurrences(self.coder, own, 3, TRIPLES_CODED)
         own.clear()
-        pair, gram = _gram(a[0], b[0]), _gram(a[0], b[0], c[0])
-        del a
-        _, inverse, counts = np.unique(gram, return_inverse=True, return_counts=True)
-        count = counts[inverse]
-        del inverse, gram
-        hot, at = self.pairs.places(pair)
-        keys, inverse, counts = np.unique(pair[~hot], return_inverse=True, return_counts=True)
-        of_pair = np.where(hot, self.pairs.counts[at] if len(self.pairs.keys) else 0, 0)
-        of_pair[~hot] = counts[inverse]
-        often = counts >= self.min_count
-        if often.any():
-            yield _sent(_bucket(keys[often], self.buckets), self.buckets, COUNTS, [keys[often], counts[often].astype(U64)], None)
-        word = c[0] != _END
-        seen = word & (count >= self.min_count)
-        self.add(sums, owner[seen], np.log(count[seen]) - np.log(of_pair[seen]))
-        later = word & ~seen
-        yield from self.pairs_or_later(*((h[later], k[later]) for h, k in (b, c)), owner[later], False, sums)
+        # All occurrences of a pair are in one part.
+        part = np.zeros(len(held.owner), np.uint8)
+        step = max(1, -(-len(part) // PARTS))
+        for lo in range(0, len(part), step):
+            at = np.arange(lo, min(len(part), lo + step))
+            part[at] = _gram(held.words(0, at)[0], held.words(1, at)[0]) % U64(PARTS)
+        to, counted = np.full(len(part), PARTS, np.uint8), []  # parts of the partitions that what backs off goes to
+        for p in range(PARTS):
+            at = np.flatnonzero(part == p)
+            a, b, c = (held.words(i, at)[0] for i in range(3))
+            pair, word = _gram(a, b), c != _END
+            count = _counted(_gram(a, b, c))[0]
+            del a
+            seen = word & (count >= self.min_count)
+            later = np.flatnonzero(word & ~seen)
+            to[at[later]] = _bucket(_gram(b[later], c[later]), PARTS)
+            del b, c, later
+            hot, place = self.pairs.places(pair)
+            of_pair = np.where(hot, self.pairs.counts[place] if len(self.pairs.keys) else 0, 0)
+            del place
+            of_pair[~hot], keys, counts = _counted(pair[~hot])
+            counted.append((keys[counts >= self.min_count], counts[counts >= self.min_count].astype(U64)))
+            self.add(sums, held.owner[at[seen]], np.log(count[seen]) - np.log(of_pair[seen]))
+            del at, pair, word, count, seen, hot, of_pair, keys, counts
+        del part
+        keys, counts = (np.concatenate(x) for x in zip(*counted))
+        if len(keys):
+            yield _sent(_bucket(keys, self.buckets), self.buckets, COUNTS, [keys, counts], None)
+        del keys, counts, counted
+        for p in range(PARTS):
+            at = np.flatnonzero(to == p)
+            yield from self.pairs_or_later(held.words(1, at), held.words(2, at), held.owner[at], False, sums)
         yield from self.sent_sums(sums)
 
     def pairs_counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,9 +519,13 @@ class Scorer(NamedTuple):
                 own[kind in (FIRST_CODED, FIRST)].append((kind, row))
         table = Table(np.concatenate(keys), np.concatenate(counts))
         for first, rows in own.items():
-            (a, b), owner = self.words_of(rows, 2, (PAIRS_CODED, FIRST_CODED))
-            if len(owner):
-                yield from self.by_pair(a, b, table.get(_gram(a[0], b[0])), owner, 0.0 if first else self.back, sums)
+            held = Occurrences(self.coder, rows, 2, FIRST_CODED if first else PAIRS_CODED)
+            rows.clear()
+            step = max(1, -(-len(held.owner) // PARTS))
+            for lo in range(0, len(held.owner), step):
+                at = np.arange(lo, min(len(held.owner), lo + step))
+                a, b = (held.words(i, at) for i in range(2))
+                yield from self.by_pair(a, b, table.get(_gram(a[0], b[0])), held.owner[at], 0.0 if first else self.back, sums)
         yield from self.sent_sums(sums)
 
     def words_sent(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
