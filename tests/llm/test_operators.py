@@ -151,6 +151,20 @@ def test_ngram_join_sends_no_sets_of_chance_meetings(spark, monkeypatch):
     assert sent["members"].count() == 3
 
 
+def test_long_lists_are_found_in_few_bytes():
+    token = np.random.default_rng(4).zipf(1.1, 400_000).astype(np.int64)
+    kind, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
+    tracemalloc.start()
+    try:
+        marked, is_long = ngram_join._long(token, 16)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (marked == kind[count >= 16]).all() and (is_long == (count >= 16)[inverse]).all()
+    assert most < 40 * len(token), most / len(token)
+    assert [len(x) for x in ngram_join._long(token[:0], 16)] == [0, 0]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 9), (3, 1), *((10 + i, 11 + i) for i in range(40)), (2, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

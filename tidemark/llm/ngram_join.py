@@ -186,6 +186,16 @@ def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(owner))).astype(np.uint32)
 
 
+def _long(token: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that occur long times at least, in order, and the places where they do."""
+    order = np.argsort(token)
+    ordered = token[order]
+    begin, size = _runs(ordered)
+    out = np.zeros(len(token), bool)
+    out[order[np.repeat(size >= long, size)]] = True
+    return ordered[begin[size >= long]], out
+
+
 def _stars(texts: DataFrame, k: int, percent: int, long: int, buckets: int) -> DataFrame:
     """leader and member of each posting list."""
     groups = size_groups(percent)
@@ -197,14 +207,12 @@ def _stars(texts: DataFrame, k: int, percent: int, long: int, buckets: int) -> D
             parts = []
             for values, at, own in _sets(batch.column(0), k):
                 signature, place = signatures(values, at, groups)
-                parts.append((signature, own[place]))
+                parts.append((_codes(signature, buckets), own[place]))
             if not parts:
                 continue
-            signature, key = (np.concatenate(x) for x in zip(*parts))
-            token = _codes(signature, buckets)
-            kind, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
-            marked = kind[count >= long]
-            is_long = (count >= long)[inverse]
+            token, key = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()  # or everything is there twice
+            marked, is_long = _long(token, long)
             rows = [(b, codes, None, None, None) for b, codes in _blob_rows(_bucket_of(marked), buckets, marked.astype(np.uint32))]
             rows += [(b, None, t, o, None) for b, t, o in _blob_rows(_bucket(mix(key[is_long].view(U64)), buckets), buckets, token[is_long], key[is_long])]
             token, key = token[~is_long], key[~is_long]
