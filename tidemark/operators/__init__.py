@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..plans.model import Aggregate, Distinct, Filter, Join, Plan, Project, Scan, SetOperation, Stage, TopN, Window
 from .aggregate import aggregate
-from .join import join
+from .join import join, join_many
 from .linear import distinct, filtered, projected, scan
 from .setops import set_operation
 from .topn import top_n
@@ -39,6 +39,11 @@ def apply(stage: Stage, *inputs: DataFrame) -> DataFrame:
     raise TypeError(type(stage).__name__)
 
 
+def apply_above(top: Stage, below: Stage, rows: DataFrame) -> DataFrame:
+    """The stages from top down to below, without it, over below's rows; each has one input."""
+    return rows if top is below else apply(top, apply_above(top.inputs[0], below, rows))
+
+
 def evaluate(plan: Plan, table: Callable[[str], DataFrame]) -> DataFrame:
     """The plan's result over full tables, by its column names."""
 

@@ -7,6 +7,9 @@ from the ranges' lengths, so that a range touches ``BINS`` bins at most, and abo
 
 from __future__ import annotations
 
+import math
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from ..functions.tree import Between, Binary, Node, Slot, conjuncts, walk
 from ..plans.model import Join
 
 BINS = 64
+#: Pairs that one task of a join of many pairs makes, more or less, and the most shares that a key's rows are dealt into.
+TASK_PAIRS, SHARES = 4_000_000, 64
 #: Columns of a NOT IN up to which each set of them gets a join of its own.
 KEYS = 4
 HOW = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
@@ -38,6 +43,32 @@ def join(stage: Join, left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, on(stage, left, right), HOW[stage.kind])
 
 
+def join_many(stage: Join, left: DataFrame, right: DataFrame, pairs: float, rows: tuple[int, int]) -> DataFrame:
+    """The same rows as ``join``, for keys that each have many rows: tasks are as many as the pairs need, and one key is worked on by several. One side's rows are dealt into
+    shares, the other side's are repeated for each. rows: of left and right."""
+    if stage.kind not in ("inner", "left", "right", "full") or not stage.keys:
+        return join(stage, left, right)
+    if stage.kind == "full":
+        # Left rows with and without partners, then right rows without: those ask for the values of left rows only.
+        met = join_many(replace(stage, kind="left"), left, right, pairs, rows)
+        named = _slots(*(x for k in stage.keys for x in k), *([stage.condition] if stage.condition else []))
+        asked = [c for c in left.columns if c in named]
+        alone = right.join(left.select(*asked).distinct(), on(stage, left, right), "left_anti")
+        return met.unionByName(alone, allowMissingColumns=True)
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / TASK_PAIRS))
+    dealt_left = stage.kind == "left" or stage.kind == "inner" and rows[0] >= rows[1]
+    shares = int(min(SHARES, max(1, tasks // 16), max(1, pairs // (8 * max(1, rows[dealt_left])))))
+    r, s = Renderer(left), Renderer(right)
+    sides = []
+    for df, keys, dealt in ((left, [r(a) for a, _ in stage.keys], dealt_left), (right, [s(b) for _, b in stage.keys], not dealt_left)):
+        own = "l" if df is left else "r"
+        share = f"pmod(xxhash64({', '.join(f'`{c}`' for c in df.columns)}), {shares})" if dealt else f"explode(sequence(0L, {shares - 1}L))"
+        df = df.selectExpr("*", *(f"{k} AS __{own}{i}" for i, k in enumerate(keys)), f"{share} AS __{own}")
+        sides.append(df.repartition(tasks, f"__{own}", *(f"__{own}{i}" for i in range(len(keys)))))
+    equal = replace(stage, keys=((Slot("__l"), Slot("__r")), *((Slot(f"__l{i}"), Slot(f"__r{i}")) for i in range(len(stage.keys)))))
+    return sides[0].join(sides[1].hint("merge"), on(equal, *sides), HOW[stage.kind]).select(*left.columns, *right.columns)
+
+
 def not_in(stage: Join, left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of left whose keys are IN right neither truly nor possibly (null)."""
     r, s = Renderer(left), Renderer(right)

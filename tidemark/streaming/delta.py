@@ -5,6 +5,9 @@ Aggregates that are sums (count, and sum and avg of whole numbers or sum of deci
 size of a group. A top-N keeps its rows and reads its whole input again only when one of them goes. All others recompute what the change can have affected (the keys, groups or partitions that occur in it) before and after, with the same operators that
 run full queries, and take the difference; so Catalyst plans every rule. State is read by the buckets of the affected keys only.
 
+A result whose last join makes far more pairs than its inputs have rows is not written out, as such a product can be larger than any disk: it is kept *factored*, as that
+join's two inputs, which are maintained like any state and published by the same manifest, and is joined when it is read. Once it is, changes stop at the join.
+
 A change of at most ``small_rows`` rows is brought to the driver once, where it is a local table: what it touches is known without a further job, joins with it need no
 shuffle, and the state it is written to is written while later stages already go on. A larger one is written first and read back. Either way nothing
 counts before the manifest that names it.
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .. import operators
 from ..functions.rendering import Renderer
-from ..functions.tree import Slot, Star
+from ..functions.tree import Slot, Star, walk
 from ..operators.linear import WEIGHT, filtered, projected, scan
 from ..plans.model import Aggregate, Distinct, Filter, Join, Project, Scan, SetOperation, Stage, TopN, Window
 from . import zset
@@ -39,6 +42,9 @@ class Epoch:
     first: bool
     buckets: int
     small_rows: int = 0
+    last: str | None = None  # the place of the join whose pairs may be left to the reader
+    factored: dict | None = None  # how many pairs that join makes of how many rows, if they are left to the reader
+    pairs_written: int = 1_000_000
     rows: dict[str, int] = field(default_factory=dict)
 
     def __enter__(self) -> Epoch:
@@ -307,6 +313,50 @@ def _added_up(stage: Aggregate, epoch: Epoch, at: str, delta: DataFrame, r: Rend
     return zset.difference(new, rows(summed(old)))
 
 
+def last_join(top: Stage) -> tuple[Join, str] | None:
+    """The join whose rows are the result, filtered and projected at most, and its place."""
+    at = "s"
+    while isinstance(top, (Filter, Project)):
+        top, at = top.child, f"{at}_0"
+    return (top, at) if isinstance(top, Join) and top.kind in ("inner", "left", "right", "full") else None
+
+
+def sides(store: Store, tables: dict[str, list[dict]], at: str) -> list[DataFrame]:
+    """Plain rows of both inputs of a join, of its state."""
+    from pyspark.sql.types import StructType
+
+    found = []
+    for k in "lr":
+        parts = tables[f"{at}_{k}"]
+        found.append(zset.expanded(zset.consolidated(store.read(parts, StructType.fromJson(_own(parts[0]["schema"]))))))
+    return found
+
+
+def _factored(stage: Join, epoch: Epoch, l: Memory, r: Memory) -> dict | None:  # noqa: E741
+    """Whether the join's pairs are left to the reader: what is kept about that, or None. Decided by large changes only; once it is so it stays so."""
+    every = [[f"`{c}`" for c in zset.columns(m.like)] for m in (l, r)]
+    if epoch.factored:
+        for m, own in zip((l, r), every):
+            if m.negative:
+                gone = _keys(own, m.delta.where(F.col(WEIGHT) < 0))
+                if not zset.consolidated(_restricted(m.new(m.touched()), own, gone)).where(F.col(WEIGHT) < 0).isEmpty():
+                    raise ValueError("a row's multiplicity fell below zero")
+        return epoch.factored
+    if not epoch.first and max(l.n, r.n) <= epoch.small_rows:
+        return None
+    # Pairs are counted by key (an upper bound, if there is a condition besides), without keys by the values that the condition speaks of.
+    counted = replace(stage, kind="inner", condition=None if stage.keys else stage.condition)
+    asked = {x.name for n in [*(x for k in counted.keys for x in k), *([counted.condition] if counted.condition else [])] for x in walk(n) if isinstance(x, Slot)}
+    rows = [m.new().agg(F.sum(WEIGHT)).first()[0] or 0 for m in (l, r)]
+    by = [m.new().groupBy(*(c for c in zset.columns(m.like) if c in asked)).agg(F.sum(WEIGHT).cast("double").alias(w)) for m, w in ((l, "__wl"), (r, "__wr"))]
+    pairs = operators.apply(counted, *by).agg(F.sum(F.col("__wl") * F.col("__wr"))).first()[0] or 0
+    if pairs <= max(epoch.pairs_written, 4 * sum(rows)):
+        return None
+    if not epoch.first and any(not zset.consolidated(m.new()).where(F.col(WEIGHT) < 0).isEmpty() for m in (l, r)):
+        return None
+    return {"pairs": pairs, "rows": rows}
+
+
 def _empty(stage: Stage, epoch: Epoch, at: str) -> DataFrame:
     """An input without change, with the schema of its state."""
     from pyspark.sql.types import StructType
@@ -365,6 +415,9 @@ def _join(stage: Join, epoch: Epoch, at: str, left: DataFrame | None, right: Dat
     l, r = memories  # noqa: E741
     if not l.n and not r.n and not epoch.first:
         return None
+    if at == epoch.last and (found := _factored(stage, epoch, l, r)):
+        epoch.factored, epoch.rows["result"] = found, l.n + r.n
+        return None
     if stage.kind == "inner":
         parts = []
         if l.n:

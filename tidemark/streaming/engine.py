@@ -21,7 +21,7 @@ from ..plans.parser import SqlError
 from ..sources import files
 from ..sources.changelog import RECORD, ChangeLog, Transaction, number
 from . import zset
-from .delta import Epoch, _keys, _restricted, changed
+from .delta import Epoch, _keys, _restricted, changed, last_join, sides
 from .store import BUCKET, Store
 
 
@@ -31,7 +31,8 @@ class EngineError(RuntimeError):
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """buckets: folders a table of state is dealt into. files_per_epoch, bytes_per_epoch: ended transactions, and bytes of their changes, that one epoch of a result
+    """buckets: folders a table of state is dealt into. pairs_written: a result whose last join makes more pairs than this, and more than four for each row of its inputs,
+    is not written but joined when it is read. files_per_epoch, bytes_per_epoch: ended transactions, and bytes of their changes, that one epoch of a result
     takes at most (one transaction at least). small_rows: changes up to this size are held by the driver during an epoch. compact_after: parts from which on a table is
     rewritten as one. keep_versions: manifests kept for readers. workers: results that are brought forward at the same time. retry_after: epochs that a
     failed result rests at first; twice as many after each further failure. history: epochs that ``snapshot`` remembers. stall_seconds: age of a pending transaction that is an alert."""
@@ -40,6 +41,7 @@ class EngineConfig:
     files_per_epoch: int = 64
     bytes_per_epoch: int = 1 << 30
     small_rows: int = 10_000
+    pairs_written: int = 1_000_000
     compact_after: int = 8
     keep_versions: int = 2
     workers: int = 4
@@ -185,6 +187,12 @@ class Engine:
             raise EngineError(f"index {index} exists")
         if not 1 <= len(columns) <= 8 or len(indexes) >= 8:
             raise EngineError("an index has 1 to 8 columns, and a result 8 indexes at most")
+        if m.get("factored"):  # an index needs the rows written, and every later change of them
+            if unknown := [c for c in columns if c not in m["names"]]:
+                raise EngineError(f"{name} has no column {unknown[0]}")
+            whole = zset.weighted(self._plain(name, m))
+            part = store.write("result", zset.consolidated(whole), [F.col(f"`{s}`") for s in zset.columns(whole)], self.config.buckets)
+            m |= {"factored": None, "schema": whole.schema.jsonValue(), "tables": m["tables"] | {"result": [part]}}
         schema = T.StructType.fromJson(m["schema"])
         slots = dict(zip(m["names"], schema.names))
         for c in columns:
@@ -242,12 +250,21 @@ class Engine:
     def read(self, name: str) -> DataFrame:
         """The result as of its last commit, a bag of rows."""
         m = self._manifest(name)
+        if m.get("factored"):
+            return self._plain(name, m).toDF(*m["names"])
         parts = m["tables"]["result"]
         schema = T.StructType.fromJson(m["schema"])
         whole = self._store(name).read(parts, schema)
         rows = zset.expanded(zset.consolidated(whole) if len(parts) > 1 else whole)
         return rows.toDF(*m["names"])
 
+    def _plain(self, name: str, m: dict) -> DataFrame:
+        """The rows of a result that is kept as the inputs of its last join, by slots."""
+        top = self.plan(name).top
+        join, at = last_join(top)
+        left, right = sides(self._store(name), m["tables"], at)
+        return operators.apply_above(top, join, operators.join_many(join, left, right, m["factored"]["pairs"], m["factored"]["rows"])).select(*top.outputs)
+
     def recompute(self, name: str) -> DataFrame:
         """The same query over the sources as they are now, from scratch."""
         return operators.evaluate(self.plan(name), self.table)
@@ -345,6 +362,8 @@ class Engine:
     def _apply(self, name: str, plan: Plan, store: Store, manifest: dict, deltas: dict[str, DataFrame], lsn: int, first: bool) -> None:
         began = time.time()
         with Epoch(store, {k: list(v) for k, v in manifest["tables"].items()}, deltas, first, self.config.buckets, self.config.small_rows) as epoch:
+            if (found := last_join(plan.top)) and not manifest.get("indexes"):
+                epoch.last, epoch.factored, epoch.pairs_written = found[1], manifest.get("factored"), self.config.pairs_written
             delta = changed(plan.top, epoch)
             if delta is not None:
                 delta = delta.select(*plan.top.outputs, WEIGHT)
@@ -361,6 +380,9 @@ class Engine:
             if len(parts) >= self.config.compact_after:
                 epoch.tables[table] = [self._compacted(store, table, parts)]
         epoch.tables.setdefault("result", [])
+        if epoch.factored:
+            epoch.tables["result"] = []
+        manifest["factored"] = epoch.factored
         now = time.time()
         manifest |= {"tables": epoch.tables, "lsn": lsn, "rows": epoch.rows, "seconds": round(now - began, 3), "updated_at": now, "total_seconds": round(manifest.get("total_seconds", 0.0) + now - began, 3)}
         self.at_commit("before", name)
@@ -440,7 +462,7 @@ class Engine:
         return self.spark.createDataFrame([tuple(v for *_, v in values)], ", ".join(f"{n} {kind}" for n, kind, _ in values))
 
     def dataflow_status(self) -> DataFrame:
-        """A row per result: how far it is, what waits for it, and what it keeps."""
+        """A row per result: how far it is, what waits for it, and what it keeps. last_changed_rows are rows of the last join's inputs, if those are what it keeps."""
         rows = []
         for n in self.results():
             m, p, f = self._manifest(n), self.progress(n), self._failures.get(n)
